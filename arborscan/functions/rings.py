@@ -31,9 +31,14 @@ def _cross(s: Column) -> Column:
     return s["a"]["x"] * s["b"]["y"] - s["b"]["x"] * s["a"]["y"]
 
 
+def _relative(ring: Column, origin: Column) -> Column:
+    return F.transform(ring, lambda p: F.struct((p["x"] - origin["x"]).cast("double").alias("x"),
+                                                (p["y"] - origin["y"]).cast("double").alias("y")))
+
+
 def ring_area(ring: Column) -> Column:
-    """Signed shoelace area."""
-    return _total(F.transform(_segments(ring), lambda s: _cross(s).cast("double"))) / 2.0
+    """Signed shoelace area, taken about the first corner so that large coordinates keep their digits."""
+    return let(_relative(ring, ring[0]), lambda r: _total(F.transform(_segments(r), _cross)) / 2.0)
 
 
 def area(shape: Column) -> Column:
@@ -43,22 +48,29 @@ def area(shape: Column) -> Column:
 
 
 def centroid(shape: Column) -> Column:
-    """Area-weighted centroid, holes counted negative."""
+    """Area-weighted centroid, holes counted negative; moments are taken about the first corner."""
 
     def moments(ring: Column) -> Column:
-        segments = _segments(ring)
-        a = _total(F.transform(segments, lambda s: _cross(s).cast("double"))) / 2.0
-        mx = _total(F.transform(segments, lambda s: (s["a"]["x"] + s["b"]["x"]) * _cross(s).cast("double"))) / 6.0
-        my = _total(F.transform(segments, lambda s: (s["a"]["y"] + s["b"]["y"]) * _cross(s).cast("double"))) / 6.0
-        sign = F.signum(a)
-        return F.struct((a * sign).alias("a"), (mx * sign).alias("mx"), (my * sign).alias("my"))
-
-    def combine(all_moments: Column) -> Column:
-        first = all_moments[0]
-        totals = {k: first[k] * 2.0 - _total(F.transform(all_moments, lambda m, k=k: m[k])) for k in ("a", "mx", "my")}
-        return F.struct((totals["mx"] / totals["a"]).alias("x"), (totals["my"] / totals["a"]).alias("y"))
-
-    return let(F.transform(shape, moments), combine)
+        def of(segments: Column) -> Column:
+            a = _total(F.transform(segments, _cross)) / 2.0
+            mx = _total(F.transform(segments, lambda s: (s["a"]["x"] + s["b"]["x"]) * _cross(s))) / 6.0
+            my = _total(F.transform(segments, lambda s: (s["a"]["y"] + s["b"]["y"]) * _cross(s))) / 6.0
+            sign = F.signum(a)
+            return F.struct((a * sign).alias("a"), (mx * sign).alias("mx"), (my * sign).alias("my"))
+
+        return let(_segments(ring), of)
+
+    def field(values: Column, name: str) -> Column:
+        """Outer value minus those of the holes."""
+        return values[0][name] * 2.0 - _total(F.transform(values, lambda m: m[name]))
+
+    def combine(values: Column) -> Column:
+        total = field(values, "a")
+        return F.struct((field(values, "mx") / total).alias("x"), (field(values, "my") / total).alias("y"))
+
+    origin = shape[0][0]
+    relative = let(F.transform(shape, lambda ring: moments(_relative(ring, origin))), combine)
+    return let(relative, lambda c: F.struct((c["x"] + origin["x"]).alias("x"), (c["y"] + origin["y"]).alias("y")))
 
 
 def bounds(shape: Column) -> Column:

@@ -13,7 +13,7 @@ from arborscan.functions import names
 
 MAX_NODATA = 5.0
 MAX_CLOUD = 50.0
-START_DATE = "2018-05-01"
+START_DATE = "2017-01-01"
 
 # File suffix of each downloaded band, its slot and the folder it lies in.
 BAND_FILES = {
