@@ -97,7 +97,7 @@ SELECT vec_id AS chip_id, vec_id % 9 AS band, vec_id DIV 9 AS scene, label, pos
        CAST(floor((CAST(e AS DOUBLE) + 1) * 100) AS INT) AS v
 FROM {embeddings} LATERAL VIEW posexplode(embedding) p AS pos, e""",
         "duckdb": """
-SELECT vec_id AS chip_id, vec_id % 9 AS band, vec_id // 9 AS scene, label, pos % 8 AS x, pos // 8 AS y,
+SELECT vec_id AS chip_id, vec_id % 9 AS band, vec_id // 9 AS scene, label, CAST(pos % 8 AS INTEGER) AS x, CAST(pos // 8 AS INTEGER) AS y,
        CAST(floor((CAST(e AS DOUBLE) + 1) * 100) AS INT) AS v
 FROM (SELECT vec_id, label, unnest(embedding) AS e, generate_subscripts(embedding, 1) - 1 AS pos FROM {embeddings})""",
     },
