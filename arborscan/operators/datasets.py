@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from arborscan.functions import chips as chip_fn
+from arborscan.functions import bands, chips as chip_fn, names
+from arborscan.session import cut_lineage
 
 SEED = 42
 _PRIME, _RANGE = 2654435761, 4294967296  # fixed values: multiplicative hash
 
 
 def draw(id: Column, seed: int = 0) -> Column:
-    """Reproducible number in [0, 1) from a non-negative id; the same on every run and partitioning."""
-    return F.pmod((id + seed).cast("decimal(20,0)") * F.lit(_PRIME).cast("decimal(10,0)"), F.lit(_RANGE).cast("decimal(10,0)")).cast("double") / _RANGE
+    """Reproducible number in [0, 1) from an integer id; the same on every run and partitioning."""
+    bounded = F.pmod((id + seed).cast("long"), F.lit(2**31))  # keeps the product inside 64 bits
+    return F.pmod(bounded * F.lit(_PRIME), F.lit(_RANGE)) / F.lit(float(_RANGE))
 
 
 def mask_counts(chips: DataFrame, inset: int = 10) -> DataFrame:
@@ -93,7 +95,8 @@ def _smallest_share(df: DataFrame, strata: str, order: str, id: str, share: floa
 
 def stratified_split(chips: DataFrame, id: str, strata: str, test: float, val: float, seed: int = SEED) -> DataFrame:
     """Exact shares per stratum: test from all rows, then val from the rest."""
-    drawn = chips.select(id, strata, draw(F.col(id), seed).alias("_d"))
+    # the ids are read several times below, so whatever computed the strata runs once
+    drawn = cut_lineage(chips.select(id, strata, draw(F.col(id), seed).alias("_d")))
     test_ids = _smallest_share(drawn, strata, "_d", id, test).withColumn("split", F.lit("test"))
     rest = drawn.join(test_ids, id, "left_anti").withColumn("_d", draw(F.col(id), seed + 1))
     val_ids = _smallest_share(rest, strata, "_d", id, val).withColumn("split", F.lit("val"))
@@ -138,6 +141,20 @@ def shift_rgb(cells: Column, band: Column, id: Column, epoch: Column | int, limi
     return F.when(band < 3, F.transform(cells, lambda v: F.least(F.greatest(v + offset, F.lit(0.0)), F.lit(255.0)))).otherwise(cells)
 
 
+def chip_names(files: DataFrame, column: str = "file_name") -> DataFrame:
+    """dataset_folder, name and position of chip files such as ``scene_a_3_4.tiff``."""
+    stem = F.regexp_replace(F.element_at(F.split(column, "/"), -1), r"\.[^.]*$", "")
+    name, position = names.split_chip_name(stem)
+    return files.select(name.alias("dataset_folder"), name.alias("name"), position.alias("position"))
+
+
+def image_pairs(index: DataFrame, images: DataFrame, masks: DataFrame, channels: list[str]) -> DataFrame:
+    """Image (chosen bands) and mask of every index row, joined on (name, position)."""
+    key = ["name", "position"]
+    chosen = images.select(*key, bands.select_channels(F.col("stack"), channels).alias("image"))
+    return index.join(chosen, key).join(masks.select(*key, "mask"), key)
+
+
 def markup_until(markup: DataFrame, image_date: str, order: str) -> DataFrame:
     """Markup dated up to one day after the image.
 

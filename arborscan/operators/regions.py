@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -10,6 +12,7 @@ from arborscan.operators import cells as cell_sets
 from arborscan.operators.components import connected_components
 from arborscan.operators.rasters import to_chips
 from arborscan.operators.segments import label_cells
+from arborscan.session import cut_lineage
 
 
 def label_regions(mask: DataFrame, keys: list[str], size: int = 64) -> DataFrame:
@@ -20,7 +23,7 @@ def label_regions(mask: DataFrame, keys: list[str], size: int = 64) -> DataFrame
     ``connected_components``. A region is named by its smallest block region.
     """
     blocks = to_chips(mask.withColumn("v", F.lit(1.0)), keys, size)
-    labelled = label_cells(blocks, "cells")
+    labelled = cut_lineage(label_cells(blocks, "cells").select(*keys, "block_x", "block_y", "label"))
     flat = labelled.select(*keys, "block_x", "block_y", F.posexplode("label").alias("_i", "_l")).where("_l > 0")
     block_region = F.concat_ws("/", *keys, "block_x", "block_y", "_l")
     local = flat.select(*keys, (F.col("block_x") * size + F.col("_i") % size).alias("x"),
@@ -40,19 +43,18 @@ def label_regions(mask: DataFrame, keys: list[str], size: int = 64) -> DataFrame
 _RING = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
 
 
-def _walk(edges: pd.DataFrame) -> list[tuple[list, list]]:
+def _walk(ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray) -> list[tuple[list, list]]:
     """Closed walks over directed boundary edges as (corners, owner cells).
 
     At a corner where two cells of the region touch diagonally the walk changes over to
     the other cell, which keeps 8-connected regions in one outer ring.
     """
-    ax, ay, bx, by = (edges[c].to_numpy() for c in ("ax", "ay", "bx", "by"))
     dx, dy = bx - ax, by - ay
     owner = list(zip(ax + np.where((dx < 0) | (dy > 0), -1, 0), ay + np.where((dx < 0) | (dy < 0), -1, 0)))
     leaving: dict = {}
     for i, start in enumerate(zip(ax, ay)):
         leaving.setdefault(start, []).append(i)
-    unused, rings = set(range(len(edges))), []
+    unused, rings = set(range(len(ax))), []
     for first in sorted(unused, key=lambda i: (ay[i], ax[i])):
         if first not in unused:
             continue
@@ -89,11 +91,14 @@ def polygonize(regions: DataFrame, keys: list[str], transform: tuple = (1.0, 0.0
     ``boundary='center'`` runs through cell centres (contours of fewer than three points
     are dropped), ``'cell'`` along cell borders. ``holes='separate'`` gives hole contours
     as polygons of their own, ``'ring'`` puts them into their region's polygon. Only
-    boundary edges reach the grouped step, and its result is one geometry value anyway.
+    boundary edges are gathered per region, and the result is one geometry value anyway.
     """
     edges = cell_sets.boundary(regions.select(*keys, "region", F.col("x").alias("cx"), F.col("y").alias("cy")), "region", keys)
-    flat = edges.select(*keys, "region", F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), F.col("b.x").alias("bx"), F.col("b.y").alias("by"))
-    schema = T.StructType([*[regions.schema[k] for k in keys], T.StructField("region", T.StringType()), T.StructField("part", T.IntegerType()),
+    outline = edges.groupBy(*keys, "region").agg(F.collect_list(F.struct("a", "b")).alias("_e"))
+    ends = {"ax": "a.x", "ay": "a.y", "bx": "b.x", "by": "b.y"}
+    arrays = outline.select(*keys, "region", *[F.col(f"_e.{path.split('.')[0]}.{path.split('.')[1]}").alias(name) for name, path in ends.items()])
+    kinds = {field.name: field for field in regions.schema.fields}
+    schema = T.StructType([*[kinds[k] for k in keys], T.StructField("region", T.StringType()), T.StructField("part", T.IntegerType()),
                            T.StructField("hole", T.BooleanType()), T.StructField("shape", T.ArrayType(_RING))])
     a, b, c, d, e, f = transform
 
@@ -103,23 +108,24 @@ def polygonize(regions: DataFrame, keys: list[str], transform: tuple = (1.0, 0.0
         placed = [{"x": a * (x + shift) + b * (y + shift) + c, "y": d * (x + shift) + e * (y + shift) + f} for x, y in points]
         return placed + placed[:1]
 
-    def trace(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = [pdf[k].iloc[0] for k in [*keys, "region"]]
+    def trace(row: tuple) -> list[list]:
+        *head, ax, ay, bx, by = row
         rings = []
-        for corners, owners in _walk(pdf):
+        for corners, owners in _walk(ax, ay, bx, by):
             hole = _signed(corners) < 0
             points = _simplify([(float(x), float(y)) for x, y in owners] if boundary == "center" else corners)
             if len(points) > 2:
                 rings.append((hole, world(points)))
         if holes == "ring":
-            outer = [r for h, r in rings if not h]
-            inner = [r for h, r in rings if h]
-            rows = [[*head, 0, False, [*outer, *inner]]] if outer else []
-        else:
-            rows = [[*head, n, hole, [ring]] for n, (hole, ring) in enumerate(rings)]
-        return pd.DataFrame(rows, columns=schema.names)
-
-    return flat.groupBy(*keys, "region").applyInPandas(trace, schema)
+            outer, inner = ([ring for hole, ring in rings if hole is side] for side in (False, True))
+            return [[*head, 0, False, [*outer, *inner]]] if outer else []
+        return [[*head, n, hole, [ring]] for n, (hole, ring) in enumerate(rings)]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame([part for row in frame.itertuples(index=False, name=None) for part in trace(row)], columns=schema.names)
+
+    return arrays.mapInPandas(run, schema)
 
 
 def rasterize(shapes: DataFrame, keys: list[str], id: str, shape: str, size: float = 1.0) -> DataFrame:
