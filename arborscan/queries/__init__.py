@@ -6,7 +6,7 @@ import importlib
 
 from arborscan.queries.registry import ORACLES, QUERIES
 
-MODULES = ["catalogue", "zones", "spatial", "raster", "evaluation"]
+MODULES = ["catalogue", "zones", "spatial", "raster", "evaluation", "stream"]
 
 for _module in MODULES:
     importlib.import_module(f"arborscan.queries.{_module}")
