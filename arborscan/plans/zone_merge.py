@@ -5,10 +5,13 @@ detection within reach of stored clearcuts joins the zone of the one it overlaps
 is stored with the union of its own shape and theirs; one without neighbours founds a
 zone. Stored rows never change: a zone is an append-only history.
 
-The order only matters between neighbours, so all detections whose earlier neighbours are
-settled are handled together. Geometry work (neighbours, contacts, shared cells) happens
-once up front; the rounds are joins over identifiers, every round is checkpointed, and no
-group of detections has to fit into one task.
+The order only matters between detections that meet the same stored row, now or through
+rows still to come. A detection is due once none of its neighbours is waiting and it is the
+first waiting one of every row it meets; all due detections are handled together. (A row
+that reaches a detection later on would have to absorb one of the rows it meets, and
+whoever does that first waits in front of it.) Geometry work (neighbours, contacts, shared
+cells) happens once up front; the rounds are joins over identifiers, every round is
+checkpointed, and no group of detections has to fit into one task.
 """
 
 from __future__ import annotations
@@ -84,13 +87,16 @@ def merge(new: DataFrame, rows: DataFrame, members: DataFrame, shapes: DataFrame
                                             on=lambda a, b: (a["id"] != b["id"]) & _contact(a, b))
                            .select(F.col("a.id").alias("u"), F.col("b.id").alias("v")))
 
-    waiting = new.select(F.col("id").alias("p"))
+    waiting = new.select(F.col("id").alias("p"), "seq")
     stored = rejected = added = None
     for _ in range(rounds):
-        blocked = near.join(waiting.select(F.col("p").alias("q")), "q", "left_semi").select("p")
-        ready = cut_lineage(waiting.join(blocked, "p", "left_anti"))
-        hits = cut_lineage(near.join(ready, "p", "left_semi").join(held, F.col("q") == F.col("member"))
-                           .groupBy("p", "row_id").agg(F.bool_or("touch").alias("touch")))
+        met = cut_lineage(near.join(waiting, "p").join(held, F.col("q") == F.col("member"))
+                          .groupBy("p", "seq", "row_id").agg(F.bool_or("touch").alias("touch")))
+        first_in_line = met.groupBy("row_id").agg(F.min("seq").alias("_first"))
+        behind = met.join(first_in_line, "row_id").where(F.col("_first") < F.col("seq")).select("p")
+        blocked = near.join(waiting.select(F.col("p").alias("q")), "q", "left_semi").select("p").unionByName(behind)
+        ready = cut_lineage(waiting.join(blocked, "p", "left_anti").select("p"))
+        hits = met.join(ready, "p", "left_semi").select("p", "row_id", "touch")
         whole = _one_piece(hits, held, contacts) if multipart == "drop" else hits.select("p").distinct()
 
         common = (shared.join(ready, "p", "left_semi").join(held, F.col("q") == F.col("member"))
@@ -132,7 +138,7 @@ def _one_piece(hits: DataFrame, held: DataFrame, contacts: DataFrame) -> DataFra
     already reached.
     """
     reached = hits.where("touch").select("p", "row_id")
-    apart = cut_lineage(hits.where("NOT touch").select("p", "row_id"))
+    apart = hits.where("NOT touch").select("p", "row_id")
     while not apart.isEmpty():
         inside = reached.join(held, "row_id").select("p", "member")
         beside = inside.join(contacts, F.col("member") == F.col("u")).select("p", F.col("v").alias("member"))
