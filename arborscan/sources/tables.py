@@ -20,7 +20,7 @@ def list_paths(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
 
 def read_metadata_text(spark: SparkSession, root: str) -> DataFrame:
     """Whole metadata files as (path, xml)."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root)
+    rows = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True)
     return rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("xml"))
 
 
