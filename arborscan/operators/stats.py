@@ -14,14 +14,14 @@ def positioned(df: DataFrame, value: str, keys: list[str] = ()) -> DataFrame:
     offsets come from a window over at most BUCKETS rows per group, and only inside a
     bucket are values ordered.
     """
-    keys = list(keys)
-    base = df if keys else df.withColumn("_all", F.lit(0))
-    by = keys or ["_all"]
-    counts = base.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    by = list(keys)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("n"))
     ends = counts.groupBy(*by).agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"), F.sum("n").alias("total"))
+    ranged = (counts.join(ends, by) if by else
+              counts.withColumn("_e", ends.select(F.struct("*")).scalar()).select(*counts.columns, "_e.*"))
     share = (F.col("v") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0))
     bucket = F.coalesce(F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1)), F.lit(0)).cast("int")
-    placed = counts.join(ends, by).withColumn("_bucket", bucket)
+    placed = ranged.withColumn("_bucket", bucket)
     order = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     offsets = (placed.groupBy(*by, "_bucket").agg(F.sum("n").alias("_m"))
                .withColumn("_before", F.sum("_m").over(order) - F.col("_m")).drop("_m"))
@@ -34,7 +34,6 @@ def positioned(df: DataFrame, value: str, keys: list[str] = ()) -> DataFrame:
 def quantiles(df: DataFrame, value: str, probs: list[float], keys: list[str] = ()) -> DataFrame:
     """Per group an array ``q`` of quantiles with linear interpolation."""
     placed = positioned(df, value, keys)
-    by = list(keys) or ["_all"]
 
     def at(position: Column) -> Column:
         return F.max(F.when((F.col("start") <= position) & (position < F.col("start") + F.col("n")), F.col("v")))
@@ -44,7 +43,7 @@ def quantiles(df: DataFrame, value: str, probs: list[float], keys: list[str] = (
         rank = F.lit(float(p)) * (F.col("total") - 1)
         low, high = at(F.floor(rank)), at(F.ceil(rank))
         parts.append(low + (high - low) * (F.max(rank) - F.floor(F.max(rank))))
-    return placed.groupBy(*by).agg(F.array(*parts).alias("q")).drop("_all")
+    return placed.groupBy(*keys).agg(F.array(*parts).alias("q"))
 
 
 def paged(df: DataFrame, value: str, id: str, size: int) -> DataFrame:
