@@ -40,7 +40,7 @@ def stream_scene_ingest(t: Tables):
         stream = ingest.scene_stream(t.spark, folder, events.schema)
         ingest.ingest(stream, table, offsets, ["cloud_hundredths"]).awaitTermination()
 
-    _arrivals(t, events, "image_date", 3, run)
+    _arrivals(t, events, "image_date", 2, run)
     return ingest.catalogue(t.spark, table).select("tile_id", "image_date", "is_new")
 
 
@@ -53,7 +53,7 @@ def stream_scene_pairs(t: Tables):
     def run(folder: str) -> None:
         pairs.write_pairs(ingest.scene_stream(t.spark, folder, events.schema), table, offsets).awaitTermination()
 
-    _arrivals(t, events, "image_date", 3, run)
+    _arrivals(t, events, "image_date", 2, run)
     return t.spark.read.parquet(table).where("kind = 'pair'").select("tile_id", "image_date_0", "image_date_1")
 
 
