@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from arborscan.session import cut_lineage
 
 HOT_CELL = 50_000
+HOT_BROADCAST = 10_000  # hot cells that may be broadcast
 
 
 def _extent(pad: Column | float) -> Column:
@@ -42,34 +43,48 @@ def _spread(df: DataFrame, keys: list[str], name: str, cell: float, pad: Column
             .withColumn("_cy", F.explode(F.sequence(span[2], span[3]))))
 
 
+def _salt(a: DataFrame, b: DataFrame, where: list[str], hot_cell: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Split cells with more than ``hot_cell`` left rows over several salts, right rows copied to each.
+
+    Hot cells are counted first (one aggregate). Usually there are none and the join stays
+    as it is. A short list is broadcast, its size being known; a long one is joined.
+    """
+    hot = (a.groupBy(*where).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_cell)
+           .select(*where, F.ceil(F.col("_n") / hot_cell).cast("int").alias("_salts")))
+    found = hot.limit(HOT_BROADCAST + 1).count()
+    if not found:
+        return a, b, []
+    hot = F.broadcast(hot) if found <= HOT_BROADCAST else hot
+    salts = F.coalesce(F.col("_salts"), F.lit(1))
+    a = a.join(hot, where, "left").withColumn("_salt", F.pmod(F.xxhash64("a"), salts).cast("int")).drop("_salts")
+    b = b.join(hot, where, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return a, b, ["_salt"]
+
+
 def box_join(left: DataFrame, right: DataFrame, keys: list[str], cell: float, pad: Column | float = 0.0,
              on: Callable[[Column, Column], Column] | None = None, hot_cell: int = HOT_CELL) -> DataFrame:
     """All pairs whose boxes meet (boundary contact counts), the left box widened by ``pad``.
 
     ``pad`` may be a column of the left side. ``on(a, b)`` adds an exact predicate. Each
-    pair comes out once, from the cell that holds the lower corner of the common box.
+    pair comes out once, from the cell that holds the lower corner of the common box. The
+    largest size class and the hot cells are looked up by two small jobs when called.
     """
     pad = pad if isinstance(pad, Column) else F.lit(float(pad))
     none = F.lit(0.0)
     top = (left.select(_size_class(cell, pad).alias("c"))
-           .unionByName(right.select(_size_class(cell, none).alias("c"))).agg(F.coalesce(F.max("c"), F.lit(0))).scalar())
+           .unionByName(right.select(_size_class(cell, none).alias("c"))).agg(F.max("c")).first()[0]) or 0
     where = [*keys, "_class", "_cx", "_cy"]
-    a = _spread(left, keys, "a", cell, pad, top)
-    b = _spread(right, keys, "b", cell, none, top).select(
+    a = _spread(left, keys, "a", cell, pad, F.lit(top))
+    b = _spread(right, keys, "b", cell, none, F.lit(top)).select(
         *where, "b", F.col("_own").alias("_own_b"), *[F.col(c).alias(f"{c}b") for c in ("_x0", "_y0", "_x1", "_y1")])
-
-    hot = (a.groupBy(*where).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_cell)
-           .select(*where, F.ceil(F.col("_n") / hot_cell).cast("int").alias("_salts")))
-    salts = F.coalesce(F.col("_salts"), F.lit(1))
-    a = a.join(hot, where, "left").withColumn("_salt", F.pmod(F.xxhash64("a"), salts).cast("int")).drop("_salts")
-    b = b.join(hot, where, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    a, b, salted = _salt(a, b, where, hot_cell)
 
     size = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("_class"))
     low_x, low_y = F.greatest("_x0", "_x0b"), F.greatest("_y0", "_y0b")
     meets = (low_x <= F.least("_x1", "_x1b")) & (low_y <= F.least("_y1", "_y1b"))
     once = ((F.greatest("_own", "_own_b") == F.col("_class"))
             & (F.floor(low_x / size) == F.col("_cx")) & (F.floor(low_y / size) == F.col("_cy")))
-    pairs = a.join(b, [*where, "_salt"]).where(meets & once).select("a", "b")
+    pairs = a.join(b, [*where, *salted]).where(meets & once).select("a", "b")
     return pairs.where(on(F.col("a"), F.col("b"))) if on is not None else pairs
 
 
@@ -186,15 +201,18 @@ def k_nearest(points: DataFrame, targets: DataFrame, keys: list[str], id: str, t
               .withColumns({"_cx": F.floor(F.col("_hx") / ratio) + F.col("_cx"), "_cy": F.floor(F.col("_hy") / ratio) + F.col("_cy")}))
     enough = (around.join(counts, cells).groupBy(*keys, "_hx", "_hy", "_class").agg(F.sum("_n").alias("_n"))
               .groupBy(*keys, "_hx", "_hy")
-              .agg(F.coalesce(F.min(F.when(F.col("_n") >= k, F.col("_class"))), F.max("_class")).alias("_class"),
-                   (F.max("_n") >= k).alias("_bounded")))
+              .agg(F.coalesce(F.min(F.when(F.col("_n") >= k, F.col("_class"))), F.max("_class")).alias("_class")))
     seeded = (p.withColumns({"_hx": F.floor(F.col("x0") / cell), "_hy": F.floor(F.col("y0") / cell)})
               .join(enough, [*keys, "_hx", "_hy"]))
+    size = F.lit(cell) * F.pow(F.lit(2.0), F.col("_class"))
+    reach_sq = 8.0 * size * size
+    beside = lambda c, x: F.greatest(F.col(c) * size - F.col(x), F.col(x) - (F.col(c) + 1) * size, F.lit(0.0))
     spread = (at(seeded).withColumn("_dx", F.explode(F.expr("sequence(-3, 3)"))).withColumn("_dy", F.explode(F.expr("sequence(-3, 3)")))
               .withColumns({"_cx": F.col("_cx") + F.col("_dx"), "_cy": F.col("_cy") + F.col("_dy")})
+              .where(beside("_cx", "x0") * beside("_cx", "x0") + beside("_cy", "y0") * beside("_cy", "y0") <= reach_sq)
               .select(*cells, id, F.col("x0").alias("_px"), F.col("y0").alias("_py")))
     met = spread.join(classes(t), cells)
     gap = (F.col("x0") - F.col("_px")) * (F.col("x0") - F.col("_px")) + (F.col("y0") - F.col("_py")) * (F.col("y0") - F.col("_py"))
     order = Window.partitionBy(id).orderBy("dist4", target_id)
-    return (met.select(id, target_id, gap.alias("dist4")).withColumn("rank", F.row_number().over(order))
+    return (met.where(gap <= reach_sq).select(id, target_id, gap.alias("dist4")).withColumn("rank", F.row_number().over(order))
             .where(F.col("rank") <= k))

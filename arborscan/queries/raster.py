@@ -8,13 +8,14 @@ from arborscan.functions import bands, chips as chip_fn, probs, rings
 from arborscan.operators import cells, histogram, rasters, regions, scoring, segments, tiling
 from arborscan.plans import detection
 from arborscan.queries.registry import Tables, query
+from arborscan.session import spread_small
 
 CHIP = ["chip_id"]
 BAND_NAMES = [f"b{i}" for i in range(9)]
 
 
 def _chips(t: Tables):
-    return t.view("chips")
+    return spread_small(t.view("chips"))
 
 
 def _cells_of(df, column: str = "cells", *keep: str):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from arborscan.functions import crs, rings
 from arborscan.operators import cells, components, matching, spatial, stats, zones
 from arborscan.queries.registry import Tables, query
-from arborscan.sources import kml
+from arborscan.session import spread_small
 
 BOX = ["x0", "y0", "x1", "y1"]
 _GAP = "greatest(0, {a}.x0 - {b}.x1, {b}.x0 - {a}.x1) ** 2 + greatest(0, {a}.y0 - {b}.y1, {b}.y0 - {a}.y1) ** 2"
@@ -20,11 +20,11 @@ def _sql(text: str, a: str, b: str) -> str:
 
 
 def _det(t: Tables, *more: str):
-    return t.view("detections").select("tile_id", "det_id", *BOX, *more)
+    return spread_small(t.view("detections").select("tile_id", "det_id", *BOX, *more))
 
 
 def _truth(t: Tables):
-    return t.view("truth").select("tile_id", "truth_id", *BOX)
+    return spread_small(t.view("truth").select("tile_id", "truth_id", *BOX))
 
 
 def _masks(t: Tables, kind: str):
