@@ -422,13 +422,19 @@ def raster_reproject(t: Tables):
                                      lambda x, y: ((x + 0.5) * 0.75 + 2, (y + 0.5) * 1.5 - 1), nodata=0.0)
 
 
-@query("score_chips")
+_SCORE = f"""{_MATCH}, f AS (SELECT q.chip_id, q.x, q.y, q.cur, floor(round(mt.matched, 9)) AS p FROM q JOIN mt ON q.chip_id = mt.chip_id AND q.prev = mt.v),
+ k AS (SELECT chip_id, x, y, least(1.0, greatest(0.0, (p - cur) / greatest(p, 1) + 0.5)) AS v FROM f)"""
+
+
+@query("score_chips", f"WITH {_SCORE} SELECT chip_id, x, y, round(v, 6) AS v FROM k")
 def score_chips(t: Tables):
     """Difference, current and previous images of every chip through the stand-in scorer."""
-    return _cells_of(scoring.score_chips(detection.model_input(_chips(t), ["band"], CHIP, "scene")))
+    scored = scoring.score_chips(detection.model_input(_chips(t), ["band"], CHIP, "scene"))
+    return _cells_of(scored).withColumn("v", F.round("v", 6))
 
 
-@query("multi_model_score")
+@query("multi_model_score", f"""
+WITH {_SCORE} SELECT 'drop' AS model, chip_id, round(max(v), 6) AS top FROM k GROUP BY chip_id UNION ALL SELECT 'gain', chip_id, round(max(1 - v), 6) FROM k GROUP BY chip_id""")
 def multi_model_score(t: Tables):
     stacks = detection.model_input(_chips(t), ["band"], CHIP, "scene")
     inverse = lambda: (lambda batch: [1 - g for g in scoring.mean_drop(batch)])
