@@ -176,8 +176,8 @@ def k_nearest(points: DataFrame, targets: DataFrame, keys: list[str], id: str, t
 
     Target counts per cell and size class are pre-aggregated. For every occupied point
     cell the finest class whose 3x3 block holds k targets is looked up; the k nearest then
-    lie within 2*sqrt(2) cells of that class. If no block holds k, the coarsest class
-    spans everything and all targets qualify.
+    lie no farther than the block's farthest corner, at most three cells away. If no block
+    holds k, the coarsest class spans everything and all targets qualify.
     """
     p, t = _centre(points.select(*keys, id, "x0", "y0", "x1", "y1")), _centre(targets.select(*keys, target_id, "x0", "y0", "x1", "y1"))
     cell = 2.0 * cell
@@ -205,12 +205,14 @@ def k_nearest(points: DataFrame, targets: DataFrame, keys: list[str], id: str, t
     seeded = (p.withColumns({"_hx": F.floor(F.col("x0") / cell), "_hy": F.floor(F.col("y0") / cell)})
               .join(enough, [*keys, "_hx", "_hy"]))
     size = F.lit(cell) * F.pow(F.lit(2.0), F.col("_class"))
-    reach_sq = 8.0 * size * size
+    far = lambda c, x: F.greatest(F.col(x) - (F.col(c) - 1) * size, (F.col(c) + 2) * size - F.col(x))
+    reach_sq = F.col("_reach")
     beside = lambda c, x: F.greatest(F.col(c) * size - F.col(x), F.col(x) - (F.col(c) + 1) * size, F.lit(0.0))
-    spread = (at(seeded).withColumn("_dx", F.explode(F.expr("sequence(-3, 3)"))).withColumn("_dy", F.explode(F.expr("sequence(-3, 3)")))
+    spread = (at(seeded).withColumn("_reach", far("_cx", "x0") * far("_cx", "x0") + far("_cy", "y0") * far("_cy", "y0"))
+              .withColumn("_dx", F.explode(F.expr("sequence(-3, 3)"))).withColumn("_dy", F.explode(F.expr("sequence(-3, 3)")))
               .withColumns({"_cx": F.col("_cx") + F.col("_dx"), "_cy": F.col("_cy") + F.col("_dy")})
               .where(beside("_cx", "x0") * beside("_cx", "x0") + beside("_cy", "y0") * beside("_cy", "y0") <= reach_sq)
-              .select(*cells, id, F.col("x0").alias("_px"), F.col("y0").alias("_py")))
+              .select(*cells, id, "_reach", F.col("x0").alias("_px"), F.col("y0").alias("_py")))
     met = spread.join(classes(t), cells)
     gap = (F.col("x0") - F.col("_px")) * (F.col("x0") - F.col("_px")) + (F.col("y0") - F.col("_py")) * (F.col("y0") - F.col("_py"))
     order = Window.partitionBy(id).orderBy("dist4", target_id)
