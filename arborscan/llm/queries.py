@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from arborscan.llm import chat, mixing, packing, tokenfile, tokens, urlfilter
+from arborscan.llm import ann, chat, htmltext, langid, mixing, neardup, packing, tokenfile, tokens, topk, urlfilter
 from arborscan.llm.common import table
 
 QUERIES: dict = {}
@@ -25,6 +25,24 @@ def _query(oracle: str | None = None):
     return register
 
 
+_UPPER_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+@_query(f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_UPPER_LOWER}), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+ WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+links AS (SELECT a.doc_id AS p, b.doc_id AS q FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id
+ GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach AS (SELECT DISTINCT p, p AS q FROM links UNION SELECT r.p, l.q FROM reach r JOIN links l ON r.q = l.p),
+c AS (SELECT p, min(q) AS c FROM reach GROUP BY p)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, coalesce(c, doc_id) AS component_id, doc_id = coalesce(c, doc_id) AS kept FROM s LEFT JOIN c ON p = doc_id""")
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents: three-word shingles, similarity of at least 0.85."""
+    return neardup.groups(table(spark, sf_dir, "documents"), words=3, similarity=85)
+
+
 @_query()
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, cut and packed into sequences of 2,048 ids."""
@@ -58,6 +76,17 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+@_query("""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings WHERE len(embedding) > 0
+ AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM p
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5""")
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 highest integer inner products of every fiftieth embedding with all others."""
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 _MIX_SEED = "mix"
 
 
@@ -83,6 +112,19 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "n_tokens", "epoch", "block", "place")
 
 
+@_query()
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages, by wrappers of their hosts."""
+    pages = table(spark, sf_dir, "pages")
+    return htmltext.extract(pages, htmltext.learn(pages)).select("page_id", "url", "text", "n_chars")
+
+
+@_query()
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest embeddings found for every twentieth one."""
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 @_query()
 def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as token-id files and read back."""
@@ -90,16 +132,21 @@ def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+@_query()
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents; documents of the held-out fold teach nothing."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out.alias("held_out"))
+    model = langid.train(docs.where(~F.col("held_out")))
+    return langid.predict(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 
 def _rules(spark: SparkSession, rules) -> DataFrame:
     return spark.createDataFrame(rules, "host string, path string, verdict string")
 
-
-_UPPER_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
-
-
 def _level(name: str, source: str) -> str:
     return f"""{name} AS (SELECT coalesce(mean, 0) AS mean, coalesce(CASE WHEN between_ <= 0 THEN {urlfilter.STRONGEST}
  ELSE greatest(1, least({urlfilter.STRONGEST}, drawn / between_ - 1)) END, {urlfilter.STRONGEST}) AS strength FROM (SELECT *, (sq / n - mean * mean) - drawn * k / n AS between_
