@@ -1,12 +1,12 @@
 """Near-duplicate groups: circulant MinHash, banding, exact Jaccard on full sets, connected components.
 
 Documents with equal shingle sets are one class, represented by its smallest id, before anything
-is compared. In a bucket of representatives not all pairs are compared: a round takes pivots,
-compares every member with them, and drops what is already connected; pivots leave the bucket,
-having met all of it. Their number doubles from round to round, so that a bucket of unlike members
-is done in a logarithmic number of rounds. A bucket is left when its members are in one component,
-so no link between different components is lost, and large groups of copies cost one comparison
-per member.
+is compared. In a bucket of representatives not all pairs are compared. First every member meets
+the bucket's pivot, its smallest id; in a group of copies most link with it and need no more. The
+buckets of one pivot then form a group, and the members that did not link with the pivot meet all
+others of the group, many at a time: a block of them is indexed by shingle and the group's members
+stream past it, once per block. After that every pair of a bucket has been compared or is known to
+be connected, so no link between different components is lost, and no pairs are written out.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from arborscan.llm.common import stored
 from arborscan.operators.components import connected_components
 
 WORDS, SIMILARITY = 5, 80  # of stages without a contract of their own; similarity in hundredths
-BANDS, ROWS = 32, 4
-_TOGETHER = 256  # members compared with one copy of their pivot
+BANDS, ROWS = 32, 5
+_TOGETHER, _BLOCK = 256, 256  # members compared with one copy of their pivot; members in one index
 
 _PROFILE = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"
 
@@ -52,81 +52,126 @@ def profiles(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(profile, _PROFILE)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: int) -> DataFrame:
-    """Those ``pairs`` (pivot, member) whose full shingle sets reach the similarity.
+def _streamed(rows: DataFrame, texts: DataFrame, compare) -> DataFrame:
+    """``compare`` over (one, part, role, doc_id, label, text), sorted: what is looked at first, then what streams past it."""
+    lined = (rows.join(texts, "doc_id").select("one", "part", "role", "doc_id", "label", "text")
+             .repartition("one", "part").sortWithinPartitions("one", "part", "role"))
+    return lined.mapInArrow(compare, "src long, dst long")
 
-    A pivot's members are dealt to groups of about ``_TOGETHER``; each group gets one copy of the
+
+def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({k: pa.array([p[i] for p in pairs], pa.int64()) for i, k in enumerate(("src", "dst"))})
+
+
+def pivot_links(pairs: DataFrame, texts: DataFrame, words: int, similarity: int) -> DataFrame:
+    """Links (src, dst) among ``pairs`` (pivot, member) whose full shingle sets reach the similarity.
+
+    A pivot's members are dealt to parts of about ``_TOGETHER``; each part gets one copy of the
     pivot's text and streams its members past it. ``texts`` has (doc_id, text), one row per id.
     """
-    counted = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / _TOGETHER).cast("int").alias("groups"))
-    dealt = pairs.join(counted, "pivot").withColumn("part", F.pmod(F.xxhash64("member"), F.col("groups")).cast("int"))
-    heads = counted.select("pivot", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"),
-                           F.lit(0).alias("role"), F.col("pivot").alias("doc_id"))
-    wanted = heads.unionByName(dealt.select("pivot", "part", F.lit(1).alias("role"), F.col("member").alias("doc_id")))
-    lined = (wanted.join(texts, "doc_id").select("pivot", "part", "role", "doc_id", "text")
-             .repartition("pivot", "part").sortWithinPartitions("pivot", "part", "role"))
+    counted = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / _TOGETHER).cast("int").alias("parts"))
+    none = F.lit(None).cast("long").alias("label")
+    heads = counted.select(F.col("pivot").alias("one"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
+                           F.lit(0).alias("role"), F.col("pivot").alias("doc_id"), none)
+    dealt = pairs.join(counted, "pivot").select(
+        F.col("pivot").alias("one"), F.pmod(F.xxhash64("member"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"),
+        F.col("member").alias("doc_id"), none)
 
     def compare(batches):
         head = np.zeros(0, np.uint64)
         for batch in batches:
-            pivots, members = [], []
-            pivot, _, role, doc = (c.to_pylist() for c in batch.columns[:4])
-            for i, found in enumerate(shingles.sets(batch.column(4), words)):
+            found = []
+            one, role, doc = (batch.column(i).to_pylist() for i in (0, 2, 3))
+            for i, own in enumerate(shingles.sets(batch.column(5), words)):
                 if role[i] == 0:
-                    head = found
+                    head = own
                     continue
-                small, large = sorted((len(head), len(found)))
+                small, large = sorted((len(head), len(own)))
                 if 100 * small >= similarity * large:
-                    common = len(np.intersect1d(head, found, assume_unique=True))
+                    common = len(np.intersect1d(head, own, assume_unique=True))
                     if 100 * common >= similarity * (small + large - common):
-                        pivots.append(pivot[i])
-                        members.append(doc[i])
-            yield pa.RecordBatch.from_pydict({"pivot": pa.array(pivots, pa.int64()), "member": pa.array(members, pa.int64())})
+                        found.append((one[i], doc[i]))
+            yield _links(found)
+
+    return _streamed(heads.unionByName(dealt), texts, compare)
+
+
+class _Index:
+    """Shingle index of a block of documents: common shingles of one more document with all of them at once."""
+
+    def __init__(self, docs: list[tuple[int, int]], sets: list[np.ndarray]):
+        self.docs, self.sizes = docs, np.array([len(s) for s in sets])
+        self.shingles = np.concatenate(sets)
+        order = np.argsort(self.shingles, kind="stable")
+        self.shingles, self.owner = self.shingles[order], np.repeat(np.arange(len(sets)), self.sizes)[order]
+        self.done = [set() for _ in docs]
+
+    def similar(self, own: np.ndarray, similarity: int) -> np.ndarray:
+        low, high = np.searchsorted(self.shingles, own, "left"), np.searchsorted(self.shingles, own, "right")
+        count = high - low
+        starts = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count)
+        hits = self.owner[np.arange(count.sum()) + starts]
+        common = np.bincount(hits, minlength=len(self.docs))
+        return np.flatnonzero((common > 0) & (100 * common >= similarity * (self.sizes + len(own) - common)))
 
-    return lined.mapInArrow(compare, "pivot long, member long")
 
+def group_links(members: DataFrame, texts: DataFrame, words: int, similarity: int) -> DataFrame:
+    """Links (src, dst) in groups (pivot, member, label, alone) between members that are ``alone`` and all others.
+
+    ``label`` names a document that the member is known to link with; for members of one label a
+    single link is enough. Members that are alone are cut into blocks of about ``_BLOCK``.
+    """
+    counted = (members.groupBy("pivot").agg(F.ceil(F.count_if("alone") / _BLOCK).cast("int").alias("blocks"), F.count("*").alias("n"))
+               .where("blocks > 0 AND n > 1").drop("n"))
+    sized = members.join(counted, "pivot").select(F.col("pivot").alias("one"), F.col("member").alias("doc_id"), "label", "alone", "blocks")
+    indexed = sized.where("alone").select("one", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("part"), F.lit(0).alias("role"), "doc_id", "label")
+    passing = sized.select("one", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"),
+                           F.when(F.col("alone"), 2).otherwise(1).alias("role"), "doc_id", "label")
+
+    def compare(batches):
+        index, docs, sets, place = None, [], [], None
+        for batch in batches:
+            found = []
+            one, part, role, doc, label = (c.to_pylist() for c in batch.columns[:5])
+            for i, own in enumerate(shingles.sets(batch.column(5), words)):
+                if (one[i], part[i]) != place:
+                    index, docs, sets, place = None, [], [], (one[i], part[i])
+                if role[i] == 0:
+                    docs.append((doc[i], label[i]))
+                    sets.append(own)
+                    continue
+                if not docs:
+                    continue
+                index = index or _Index(docs, sets)
+                for k in index.similar(own, similarity):
+                    other, named = index.docs[k]
+                    # of two that are alone the pair is looked at once; labels that agree are connected
+                    if other != doc[i] and (role[i] == 1 or other < doc[i]) and named != label[i] and label[i] not in index.done[k]:
+                        index.done[k].add(label[i])
+                        found.append((other, doc[i]))
+            yield _links(found)
 
-def _open(members: DataFrame) -> DataFrame:
-    """The members of buckets that still hold two components."""
-    ends = members.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    return members.join(ends.where("low < high").select("bucket"), "bucket", "left_semi")
+    return _streamed(indexed.unionByName(passing), texts, compare)
 
 
-def linked(classes: DataFrame, docs: DataFrame, words: int, similarity: int) -> DataFrame | None:
-    """Links (src, dst) that connect all class representatives whose sets are similar; None without candidates.
+def linked(classes: DataFrame, docs: DataFrame, words: int, similarity: int) -> DataFrame:
+    """Links (src, dst) that connect all class representatives whose sets are similar.
 
-    ``classes`` has (doc_id, n_shingles, bands), one row per distinct set.
+    ``classes`` has (doc_id, bands), one row per distinct set.
     """
-    exploded = classes.select("doc_id", "n_shingles", F.col("doc_id").alias("label"), F.explode("bands").alias("bucket"))
-    members = stored(_open(exploded), "buckets")
-    involved = members.select("doc_id").distinct().hint("shuffle_hash")
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts, links, tested, rounds = None, [], [], 0
-    while not members.isEmpty():
-        texts = texts or stored(keyed.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-        slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << rounds))
-        pivots = stored(members.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct("doc_id", "n_shingles", "label")).alias("p"))
-                        .select("bucket", "p"), "pivots")
-        met = members.join(pivots, "bucket").where(
-            (F.col("label") != F.col("p.label")) & (F.col("doc_id") != F.col("p.doc_id"))
-            & (100 * F.least("n_shingles", "p.n_shingles") >= similarity * F.greatest("n_shingles", "p.n_shingles")))
-        pairs = met.select(F.least("doc_id", "p.doc_id").alias("pivot"), F.greatest("doc_id", "p.doc_id").alias("member")).distinct()
-        for old in tested:
-            pairs = pairs.join(old, ["pivot", "member"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        tested.append(pairs)
-        links.append(stored(verified(pairs, texts, words, similarity), "links"))
-        left = members.join(pivots.select("bucket", F.col("p.doc_id").alias("doc_id")), ["bucket", "doc_id"], "left_anti")
-        whole = links[0]
-        for more in links[1:]:
-            whole = whole.unionByName(more)
-        labels = connected_components(whole.select(F.col("pivot").alias("src"), F.col("member").alias("dst")))
-        left = left.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        members = stored(_open(left.select("doc_id", "n_shingles", F.coalesce("component", "label").alias("label"), "bucket")), "buckets")
-        rounds += 1
-    if not links:
-        return None
-    return whole.select(F.col("pivot").alias("src"), F.col("member").alias("dst"))
+    exploded = classes.select("doc_id", F.explode("bands").alias("bucket"))
+    shared = exploded.groupBy("bucket").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot < last")
+    pairs = stored(exploded.join(shared, "bucket").where("doc_id <> pivot").select("pivot", F.col("doc_id").alias("member")).distinct(), "pairs")
+    involved = pairs.select(F.explode(F.array("pivot", "member")).alias("doc_id")).distinct().hint("shuffle_hash")
+    texts = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(involved, "doc_id", "left_semi")
+                   .dropDuplicates(["doc_id"]), "texts")
+    first = stored(pivot_links(pairs, texts, words, similarity), "links")
+    labels = first.groupBy(F.col("dst").alias("member")).agg(F.min("src").alias("label"))
+    direct = first.select(F.col("src").alias("pivot"), F.col("dst").alias("member"), F.lit(False).alias("alone"))
+    members = pairs.join(direct, ["pivot", "member"], "left").join(labels, "member", "left").select(
+        "pivot", "member", F.coalesce("label", "member").alias("label"), F.coalesce("alone", F.lit(True)).alias("alone"))
+    second = stored(group_links(stored(members, "members"), texts, words, similarity), "links")
+    return first.unionByName(second)
 
 
 def groups(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
@@ -138,18 +183,15 @@ def groups(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) ->
     document and share a component; if their texts differ, links are sought for one of them. A row without an id has no
     component and is kept. An empty table gives an empty one.
 
-    Banding finds a pair of similarity s with probability 1 - (1 - s**4)**32: at 0.8 all but one in
-    twenty million. Every link is confirmed on full sets of 64-bit shingle hashes.
+    Banding finds a pair of similarity s with probability 1 - (1 - s**5)**32: at 0.8 all but three
+    in a million, at 0.85 all but seven in a billion. Every link is confirmed on full sets of 64-bit shingle hashes.
     """
     found = stored(profiles(docs, words), "profiles")
     sets = found.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("class_id"))
     sets = stored(sets, "classes")
     chosen = found.join(sets.withColumnRenamed("class_id", "doc_id"), ["d1", "d2", "doc_id"]).dropDuplicates(["doc_id"])
-    links = linked(chosen.select("doc_id", "n_shingles", "bands"), docs, words, similarity)
-    if links is None:
-        named = sets.withColumn("component", F.col("class_id"))
-    else:
-        named = sets.join(connected_components(links).withColumnRenamed("node", "class_id"), "class_id", "left")
+    links = linked(chosen.select("doc_id", "bands"), docs, words, similarity)
+    named = sets.join(connected_components(links).withColumnRenamed("node", "class_id"), "class_id", "left")
     named = named.select("d1", "d2", F.coalesce("component", "class_id").alias("component"))
     joined = found.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
