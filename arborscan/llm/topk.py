@@ -155,7 +155,5 @@ def search(table: DataFrame, is_query, k: int = 5, scale: int = SCALE) -> DataFr
                 out.append(pd.DataFrame({"query_id": query, "vec_id": ids, "score": scores}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
-    one = F.lit(0).alias("part")
-    found = blocked(rows.select("vec_id", "v", one), rows.where(is_query).select("vec_id", "v", one), ["part"], compare,
-                    FOUND.format("long"), ROWS, QUERIES)
+    found = blocked(rows, rows.where(is_query), [], compare, FOUND.format("long"), ROWS, QUERIES)
     return merged(found, k)

@@ -33,17 +33,27 @@ def blocked(rows: DataFrame, queries: DataFrame, key: list[str], compare: Callab
             rows_per_block: int, queries_per_block: int) -> DataFrame:
     """``compare(rows, queries)`` for every block of rows and block of queries of equal ``key``.
 
-    Both sides have (vec_id, v) and the key; ``compare`` gets (row_id, x) and (query_id, q). Sizes are counted per key first; each side is cut
+    Both sides have (vec_id, v) and the key; ``compare`` gets (row_id, x) and (query_id, q). Sizes are counted per key first
+    (over all rows without a key); each side is cut
     into blocks by a hash of its id and sent to every block of the other side of the same key, so
     a key that holds any share of all rows is spread over many bounded tasks.
     """
-    counted = (rows.groupBy(*key).agg(F.count("*").alias("n")).join(queries.groupBy(*key).agg(F.count("*").alias("q")), key)
-               .select(*key, F.ceil(F.col("n") / rows_per_block).cast("int").alias("rows_in"),
-                       F.ceil(F.col("q") / queries_per_block).cast("int").alias("queries_in")))
-    sizes = stored(counted, "blocks")
+    def blocks(n, per: int):
+        return F.greatest(F.lit(1), F.ceil(n / per)).cast("int")
+
+    if key:
+        counted = rows.groupBy(*key).agg(F.count("*").alias("n")).join(queries.groupBy(*key).agg(F.count("*").alias("q")), key)
+        sizes = stored(counted.select(*key, blocks(F.col("n"), rows_per_block).alias("rows_in"),
+                                      blocks(F.col("q"), queries_per_block).alias("queries_in")), "blocks")
+
+    def sized(side: DataFrame) -> DataFrame:
+        if key:
+            return side.join(sizes, key)
+        return side.withColumns({"rows_in": rows.agg(blocks(F.count("*"), rows_per_block)).scalar(),
+                                 "queries_in": queries.agg(blocks(F.count("*"), queries_per_block)).scalar()})
 
     def dealt(side: DataFrame, own: str, other: str, block: str, others: str, names: tuple[str, str]) -> DataFrame:
-        placed = side.join(sizes, key).withColumn(block, F.pmod(F.xxhash64("vec_id", "v"), F.col(own)).cast("int"))
+        placed = sized(side).withColumn(block, F.pmod(F.xxhash64("vec_id", "v"), F.col(own)).cast("int"))
         return placed.withColumn(others, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).select(
             *key, "row_block", "query_block", F.col("vec_id").alias(names[0]), F.col("v").alias(names[1]))
 
