@@ -133,8 +133,8 @@ def intersects(a: Column, b: Column) -> Column:
     return meet | contains_point(b, start_a["x"], start_a["y"]) | contains_point(a, start_b["x"], start_b["y"])
 
 
-def within(a: Column, b: Column) -> Column:
-    """``a`` inside the rectangle-like bounds of ``b`` (boundary contact allowed)."""
+def within_bounds(a: Column, b: Column) -> Column:
+    """``a`` inside the bounds of ``b`` (boundary contact allowed); ``polygons.within`` tests the shape itself."""
     box_a, box_b = bounds(a), bounds(b)
     return ((box_a["xmin"] >= box_b["xmin"]) & (box_a["xmax"] <= box_b["xmax"])
             & (box_a["ymin"] >= box_b["ymin"]) & (box_a["ymax"] <= box_b["ymax"]))
@@ -155,7 +155,10 @@ def is_valid(shape: Column) -> Column:
 
 
 def repair(shape: Column) -> Column:
-    """Drop repeated points, close every ring and orient it (outer positive, holes negative)."""
+    """Drop repeated points, close every ring and orient it (outer positive, holes negative).
+
+    Rings that cross themselves stay as they are; ``polygons.repair`` takes them apart.
+    """
 
     def clean(ring: Column, index: Column) -> Column:
         kept = F.filter(ring, lambda p, i: (i == 0) | (p != F.element_at(ring, F.greatest(i, F.lit(1)))))

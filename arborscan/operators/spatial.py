@@ -1,10 +1,16 @@
 """Spatial joins on grid cells.
 
 Every join turns geometry into equi-keys: a row goes to the cells its box covers, so the
-planner sees an ordinary hash or sort-merge join instead of a nested loop. A row uses
-cells of its own size class (at most four of them) plus the coarser classes that occur,
-and a pair meets at the coarser of its two classes; one huge polygon therefore costs a
-few rows, not millions. Cells that hold many rows are split by a salt on the left side.
+planner sees an ordinary hash or sort-merge join instead of a nested loop. A box has a size
+class, and a pair meets in cells of the coarser of its two classes. It meets there in one of
+two roles: the left box is of that class and the right one of it or finer, or the right box is
+of that class and the left one finer. So every candidate pair holds a box native to the class:
+a huge polygon costs one more cell for each box on the other side, and small boxes never meet
+at a coarse class. Copies are made only for classes that occur on the other side.
+
+The plan is the same for every size. A cell that is hot on either side is a skewed key of an
+equi-join, which adaptive execution splits (``spark.sql.adaptive.skewJoin``); nothing runs
+while a join is being described.
 
 Boxes are columns ``x0, y0, x1, y1``. Joins return the pair as structs ``a`` and ``b``.
 """
@@ -17,9 +23,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from arborscan.session import cut_lineage
 
-HOT_CELL = 50_000
-HOT_BROADCAST = 10_000  # hot cells that may be broadcast
-
 
 def _extent(pad: Column | float) -> Column:
     return F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) + 2 * pad
@@ -31,60 +34,54 @@ def _size_class(cell: float, pad: Column | float) -> Column:
     return F.ceil(F.log2(ratio)).cast("int")
 
 
-def _spread(df: DataFrame, keys: list[str], name: str, cell: float, pad: Column | float, top: Column) -> DataFrame:
-    """One row per (class, cell) a box covers, the row itself in struct ``name``."""
-    row = df.select(*keys, F.struct(*df.columns).alias(name), _size_class(cell, pad).alias("_own"),
+def _classes(df: DataFrame, cell: float, pad: Column | float) -> Column:
+    """The size classes of a table as an array (a scalar subquery; some thirty at most)."""
+    return df.agg(F.sort_array(F.collect_set(_size_class(cell, pad))).alias("classes")).scalar()
+
+
+def _spread(df: DataFrame, keys: list[str], name: str, cell: float, pad: Column | float, classes: Column, roles) -> DataFrame:
+    """One row per (class, role) of ``roles(own, classes)`` and cell that a box covers, the row itself in struct ``name``."""
+    row = df.select(*keys, classes.alias("_classes"), F.struct(*df.columns).alias(name), _size_class(cell, pad).alias("_own"),
                     (F.col("x0") - pad).alias("_x0"), (F.col("y0") - pad).alias("_y0"),
                     (F.col("x1") + pad).alias("_x1"), (F.col("y1") + pad).alias("_y1"))
-    classes = row.withColumn("_class", F.explode(F.sequence(F.col("_own"), top)))
+    row = row.withColumn("_r", F.explode(roles(F.col("_own"), F.col("_classes"))))
+    classes = row.withColumns({"_class": F.col("_r.class"), "_role": F.col("_r.role")}).drop("_r", "_classes")
     size = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("_class"))
     span = [F.floor(F.col(c) / size) for c in ("_x0", "_x1", "_y0", "_y1")]
     return (classes.withColumn("_cx", F.explode(F.sequence(span[0], span[1])))
             .withColumn("_cy", F.explode(F.sequence(span[2], span[3]))))
 
 
-def _salt(a: DataFrame, b: DataFrame, where: list[str], hot_cell: int) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Split cells with more than ``hot_cell`` left rows over several salts, right rows copied to each.
-
-    Hot cells are counted first (one aggregate). Usually there are none and the join stays
-    as it is. A short list is broadcast, its size being known; a long one is joined.
-    """
-    hot = (a.groupBy(*where).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_cell)
-           .select(*where, F.ceil(F.col("_n") / hot_cell).cast("int").alias("_salts")))
-    found = hot.limit(HOT_BROADCAST + 1).count()
-    if not found:
-        return a, b, []
-    hot = F.broadcast(hot) if found <= HOT_BROADCAST else hot
-    salts = F.coalesce(F.col("_salts"), F.lit(1))
-    a = a.join(hot, where, "left").withColumn("_salt", F.pmod(F.xxhash64("a"), salts).cast("int")).drop("_salts")
-    b = b.join(hot, where, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
-    return a, b, ["_salt"]
+def _role(class_: Column, role: int) -> Column:
+    return F.struct(class_.alias("class"), F.lit(role).alias("role"))
 
 
 def box_join(left: DataFrame, right: DataFrame, keys: list[str], cell: float, pad: Column | float = 0.0,
-             on: Callable[[Column, Column], Column] | None = None, hot_cell: int = HOT_CELL) -> DataFrame:
+             on: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """All pairs whose boxes meet (boundary contact counts), the left box widened by ``pad``.
 
     ``pad`` may be a column of the left side. ``on(a, b)`` adds an exact predicate. Each
-    pair comes out once, from the cell that holds the lower corner of the common box. The
-    largest size class and the hot cells are looked up by two small jobs when called.
+    pair comes out once, from the cell that holds the lower corner of the common box.
     """
     pad = pad if isinstance(pad, Column) else F.lit(float(pad))
     none = F.lit(0.0)
-    top = (left.select(_size_class(cell, pad).alias("c"))
-           .unionByName(right.select(_size_class(cell, none).alias("c"))).agg(F.max("c")).first()[0]) or 0
-    where = [*keys, "_class", "_cx", "_cy"]
-    a = _spread(left, keys, "a", cell, pad, F.lit(top))
-    b = _spread(right, keys, "b", cell, none, F.lit(top)).select(
-        *where, "b", F.col("_own").alias("_own_b"), *[F.col(c).alias(f"{c}b") for c in ("_x0", "_y0", "_x1", "_y1")])
-    a, b, salted = _salt(a, b, where, hot_cell)
+
+    def left_roles(own: Column, classes: Column) -> Column:
+        return F.concat(F.array(_role(own, 0)), F.transform(F.filter(classes, lambda c: c > own), lambda c: _role(c, 1)))
+
+    def right_roles(own: Column, classes: Column) -> Column:
+        return F.concat(F.transform(F.filter(classes, lambda c: c >= own), lambda c: _role(c, 0)), F.array(_role(own, 1)))
+
+    a = _spread(left, keys, "a", cell, pad, _classes(right, cell, none), left_roles)
+    where = [*keys, "_class", "_role", "_cx", "_cy"]
+    b = _spread(right, keys, "b", cell, none, _classes(left, cell, pad), right_roles).select(
+        *where, "b", *[F.col(c).alias(f"{c}b") for c in ("_x0", "_y0", "_x1", "_y1")])
 
     size = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("_class"))
     low_x, low_y = F.greatest("_x0", "_x0b"), F.greatest("_y0", "_y0b")
     meets = (low_x <= F.least("_x1", "_x1b")) & (low_y <= F.least("_y1", "_y1b"))
-    once = ((F.greatest("_own", "_own_b") == F.col("_class"))
-            & (F.floor(low_x / size) == F.col("_cx")) & (F.floor(low_y / size) == F.col("_cy")))
-    pairs = a.join(b, [*where, *salted]).where(meets & once).select("a", "b")
+    once = (F.floor(low_x / size) == F.col("_cx")) & (F.floor(low_y / size) == F.col("_cy"))
+    pairs = a.join(b, where).where(meets & once).select("a", "b")
     return pairs.where(on(F.col("a"), F.col("b"))) if on is not None else pairs
 
 

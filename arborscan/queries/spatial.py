@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from arborscan.functions import crs, rings
+from arborscan.functions import crs, polygons, rings
 from arborscan.operators import cells, components, matching, spatial, stats, zones
 from arborscan.queries.registry import Tables, query
-from arborscan.session import spread_small
 
 BOX = ["x0", "y0", "x1", "y1"]
 _GAP = "greatest(0, {a}.x0 - {b}.x1, {b}.x0 - {a}.x1) ** 2 + greatest(0, {a}.y0 - {b}.y1, {b}.y0 - {a}.y1) ** 2"
@@ -20,17 +19,32 @@ def _sql(text: str, a: str, b: str) -> str:
 
 
 def _det(t: Tables, *more: str):
-    return spread_small(t.view("detections").select("tile_id", "det_id", *BOX, *more))
+    return t.view("detections").select("tile_id", "det_id", *BOX, *more).repartition("det_id")
 
 
 def _truth(t: Tables):
-    return spread_small(t.view("truth").select("tile_id", "truth_id", *BOX))
+    return t.view("truth").select("tile_id", "truth_id", *BOX).repartition("truth_id")
 
 
 def _masks(t: Tables, kind: str):
     return t.view("masks").where(F.col("kind") == kind).select("tile_id", "mask_id", *BOX)
 
 
+def _ell(x0, y0, x1, y1):
+    """Rings of a box without its upper right quarter."""
+    mx, my = (x0 + x1) / 2, (y0 + y1) / 2
+    corners = [(x0, y0), (x1, y0), (x1, my), (mx, my), (mx, y1), (x0, y1), (x0, y0)]
+    return F.array(F.array(*[F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")) for x, y in corners]))
+
+
+def _common(a: str, b: str) -> str:
+    """SQL: common area of two such shapes, by inclusion and exclusion of boxes and quarters."""
+    box = lambda t: (f"{t}.x0", f"{t}.y0", f"{t}.x1", f"{t}.y1")
+    quarter = lambda t: (f"({t}.x0 + {t}.x1) / 2.0", f"({t}.y0 + {t}.y1) / 2.0", f"{t}.x1", f"{t}.y1")
+    ovl = lambda p, q: f"greatest(0, least({p[2]}, {q[2]}) - greatest({p[0]}, {q[0]})) * greatest(0, least({p[3]}, {q[3]}) - greatest({p[1]}, {q[1]}))"
+    return f"({ovl(box(a), box(b))} - {ovl(quarter(a), box(b))} - {ovl(box(a), quarter(b))} + {ovl(quarter(a), quarter(b))})"
+
+
 @query("dwithin_join", f"""
 SELECT a.truth_id, b.det_id FROM v_truth a JOIN v_detections b ON a.tile_id = b.tile_id WHERE {_sql(_GAP, 'a', 'b')} <= 25""")
 def dwithin_join(t: Tables):
@@ -67,11 +81,11 @@ def intersects_join(t: Tables):
 
 
 @query("tile_landcover_join", """
-SELECT t.tile_index, m.mask_id FROM v_tiles t JOIN v_masks m ON m.kind = 'forest'
- AND m.x0 <= t.tile_id * 80 + 100 AND m.x1 >= t.tile_id * 80 AND m.y0 <= 1000 AND m.y1 >= 0""")
+SELECT t.tile_index, m.mask_id FROM v_tiles t JOIN v_masks m ON m.kind = 'forest' AND m.y0 <= t.tile_id * 80 + 79 AND m.y1 >= t.tile_id * 80""")
 def tile_landcover_join(t: Tables):
-    bounds = t.view("tiles").select("tile_index", (F.col("tile_id") * 80).alias("x0"), F.lit(0).alias("y0"),
-                                    (F.col("tile_id") * 80 + 100).alias("x1"), F.lit(1000).alias("y1"))
+    """Tiles as strips over all of the ground: a few huge boxes against many small ones."""
+    bounds = t.view("tiles").select("tile_index", F.lit(-1_000_000_000).alias("x0"), (F.col("tile_id") * 80).alias("y0"),
+                                    F.lit(1_000_000_000).alias("x1"), (F.col("tile_id") * 80 + 79).alias("y1"))
     forest = t.view("masks").where("kind = 'forest'").select("mask_id", *BOX)
     return spatial.intersecting(bounds, forest, [], 128).select("a.tile_index", "b.mask_id")
 
@@ -125,20 +139,43 @@ def _iou_pairs(t: Tables):
                         spatial.box_iou(F.col("a"), F.col("b")).alias("iou"))
 
 
-@query("iou_pair_join", f"WITH {_PAIRS} SELECT pred_id, truth_id, round(ovl / (areas - ovl), 6) AS iou FROM i")
+_ELL_IOU = _common("d", "t")
+
+
+@query("iou_pair_join", f"""
+WITH i AS (SELECT d.det_id AS pred_id, t.truth_id, {_ELL_IOU} AS common, 0.75 * ((d.x1 - d.x0) * (d.y1 - d.y0) + (t.x1 - t.x0) * (t.y1 - t.y0)) AS areas
+ FROM v_detections d JOIN v_truth t ON d.tile_id = t.tile_id WHERE {_sql(_HIT, 'd', 't')})
+SELECT pred_id, truth_id, round(common / (areas - common), 6) AS iou FROM i WHERE common > 0""")
 def iou_pair_join(t: Tables):
-    return _iou_pairs(t).withColumn("iou", F.round("iou", 6))
+    """Intersection over union of L-shaped polygons: boxes find the pairs, exact areas measure them."""
+    pairs = spatial.intersecting(_det(t), _truth(t), ["tile_id"], 32)
+    shape = lambda side: _ell(*[F.col(f"{side}.{c}") for c in BOX])
+    out = pairs.select(F.col("a.det_id").alias("pred_id"), F.col("b.truth_id").alias("truth_id"), polygons.iou(shape("a"), shape("b")).alias("iou"))
+    return out.where("iou > 0").withColumn("iou", F.round("iou", 6))
+
+
+# the walk itself: truths of a tile in id order, each with its predictions best first; the state is the list of used ones
+_WALK = f"""{_PAIRS}, c AS (SELECT tile_id, i.truth_id, list(pred_id ORDER BY iou DESC, pred_id) AS wanted, list(iou ORDER BY iou DESC, pred_id) AS ious
+  FROM (SELECT pred_id, truth_id, ovl / CAST(areas - ovl AS DOUBLE) AS iou FROM i) i JOIN v_truth USING (truth_id) WHERE iou >= 0.5 GROUP BY ALL),
+ k AS (SELECT *, row_number() OVER (PARTITION BY tile_id ORDER BY truth_id) AS step FROM c),
+ w(tile_id, step, truth_id, pred_id, iou, used) AS (
+  SELECT DISTINCT tile_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE), CAST([] AS BIGINT[]) FROM k
+  UNION ALL SELECT tile_id, step, truth_id, pred_id, ious[list_position(wanted, pred_id)], CASE WHEN pred_id IS NULL THEN used ELSE list_append(used, pred_id) END
+   FROM (SELECT k.*, used, list_filter(wanted, lambda p: NOT list_contains(used, p))[1] AS pred_id FROM w JOIN k ON k.tile_id = w.tile_id AND k.step = w.step + 1) n),
+ m AS (SELECT truth_id, pred_id, iou FROM w WHERE pred_id IS NOT NULL)"""
 
 
-@query("greedy_match")
+@query("greedy_match", f"WITH RECURSIVE {_WALK} SELECT truth_id, pred_id, round(iou, 6) AS iou FROM m")
 def greedy_match(t: Tables):
-    """Rounds of accepted choices; compared with a sequential walk in tests."""
-    return matching.greedy_match(_iou_pairs(t), 0.5)
+    return matching.greedy_match(_iou_pairs(t), 0.5).withColumn("iou", F.round("iou", 6))
 
 
-@query("f1_polygons")
+@query("f1_polygons", f"""
+WITH RECURSIVE {_WALK}, n AS (SELECT (SELECT count(*) FROM m) AS tp, (SELECT count(*) FROM v_detections) AS p, (SELECT count(*) FROM v_truth) AS t)
+SELECT tp, p - tp AS fp, t - tp AS fn, round(tp / p, 6) AS precision, round(tp / t, 6) AS recall, round(2 * tp / (p + t), 6) AS f1 FROM n""")
 def f1_polygons(t: Tables):
-    return matching.f1(matching.greedy_match(_iou_pairs(t), 0.5), _det(t), _truth(t))
+    counts = matching.f1(matching.greedy_match(_iou_pairs(t), 0.5), _det(t), _truth(t))
+    return counts.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
 
 
 _COMP = f"""{_ADJ}, b AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e),
@@ -178,20 +215,24 @@ def region_union(t: Tables):
     return cells.union(grid, "component").groupBy("component").agg(F.count("*").alias("cells"))
 
 
-@query("geom_union", f"""
-WITH k AS ({_DC}) SELECT tile_id, CAST(count(*) * 25 AS DOUBLE) AS area FROM (SELECT DISTINCT tile_id, cx, cy FROM k) GROUP BY tile_id""")
+_ELL_PAIRS = f"""SELECT d.det_id, m.mask_id, {_common('d', 'm')} AS common, 0.75 * ((d.x1 - d.x0) * (d.y1 - d.y0) + (m.x1 - m.x0) * (m.y1 - m.y0)) AS areas
+ FROM v_detections d JOIN v_masks m ON d.tile_id = m.tile_id AND m.kind = 'forest' WHERE {_sql(_HIT, 'd', 'm')}"""
+
+
+def _ell_pairs(t: Tables):
+    """Detections and forest masks whose boxes meet, both as L-shaped rings."""
+    pairs = spatial.intersecting(_det(t), _masks(t, "forest"), ["tile_id"], 64)
+    return pairs.select("a.det_id", "b.mask_id", *[_ell(*[F.col(f"{side}.{c}") for c in BOX]).alias(name) for side, name in (("a", "s"), ("b", "m"))])
+
+
+@query("geom_union", f"SELECT det_id, mask_id, round(areas - common, 6) AS area FROM ({_ELL_PAIRS})")
 def geom_union(t: Tables):
-    grid = cells.from_boxes(_det(t), "det_id", 5, ["tile_id"])
-    return cells.area(cells.union(grid.drop("det_id"), "tile_id"), ["tile_id"], 5)
+    return _ell_pairs(t).select("det_id", "mask_id", F.round(polygons.union_area(F.col("s"), F.col("m")), 6).alias("area"))
 
 
-@query("geom_intersection_area", f"""
-WITH a AS ({_DC}), b AS ({_MC}) SELECT a.det_id, b.mask_id, count(*) AS cells FROM a JOIN b
-ON a.tile_id = b.tile_id AND a.cx = b.cx AND a.cy = b.cy GROUP BY ALL""")
+@query("geom_intersection_area", f"SELECT det_id, mask_id, round(common, 6)::DOUBLE AS area FROM ({_ELL_PAIRS})")
 def geom_intersection_area(t: Tables):
-    a = cells.from_boxes(_det(t), "det_id", 5, ["tile_id"])
-    b = cells.from_boxes(_masks(t, "forest"), "mask_id", 5, ["tile_id"])
-    return cells.overlay(a, b, "det_id", "mask_id", ["tile_id"]).select("det_id", "mask_id", "cells")
+    return _ell_pairs(t).select("det_id", "mask_id", F.round(polygons.intersection_area(F.col("s"), F.col("m")), 6).alias("area"))
 
 
 @query("geom_buffer_1", f"""
@@ -217,12 +258,11 @@ def zone_assign_max_overlap(t: Tables):
 
 
 @query("within_bound_join", """
-SELECT d.det_id FROM v_detections d JOIN v_tiles t ON d.tile_id = t.tile_id
-WHERE d.x0 >= t.tile_id * 20 AND d.x1 <= t.tile_id * 20 + 1500 AND d.y0 >= 100 AND d.y1 <= 1800""")
+SELECT d.det_id FROM v_detections d JOIN v_tiles t ON d.tile_id = t.tile_id WHERE d.x0 >= t.tile_id * 20 AND d.y0 >= 100 AND d.y1 <= 1800""")
 def within_bound_join(t: Tables):
-    bounds = t.view("tiles").select("tile_id", rings.rectangle(F.col("tile_id") * 20, F.lit(100), F.col("tile_id") * 20 + 1500, F.lit(1800)).alias("bound"))
+    bounds = t.view("tiles").select("tile_id", rings.rectangle(F.col("tile_id") * 20, F.lit(100), F.lit(1_000_000_000), F.lit(1800)).alias("bound"))
     det = _det(t).select("tile_id", "det_id", rings.rectangle(*[F.col(c) for c in BOX]).alias("shape"))
-    return det.join(bounds, "tile_id").where(rings.within(F.col("shape"), F.col("bound"))).select("det_id")
+    return det.join(bounds, "tile_id").where(rings.within_bounds(F.col("shape"), F.col("bound"))).select("det_id")
 
 
 def _shapes(t: Tables):
@@ -270,9 +310,15 @@ def geom_intersects(t: Tables):
     return _mask_pairs(t).select("det_id", "mask_id", rings.intersects(F.col("s"), F.col("m")).alias("hit"))
 
 
-@query("geom_within", f"SELECT d.det_id, m.mask_id, d.x0 >= m.x0 AND d.x1 <= m.x1 AND d.y0 >= m.y0 AND d.y1 <= m.y1 AS inside {_NEAR}")
+_NOTCH = "greatest(0, d.x1 - greatest(d.x0, (m.x0 + m.x1) / 2.0)) * greatest(0, d.y1 - greatest(d.y0, (m.y0 + m.y1) / 2.0))"
+
+
+@query("geom_within", f"""
+SELECT d.det_id, m.mask_id, d.x0 >= m.x0 AND d.x1 <= m.x1 AND d.y0 >= m.y0 AND d.y1 <= m.y1 AND {_NOTCH} = 0 AS inside {_NEAR}""")
 def geom_within(t: Tables):
-    return _mask_pairs(t).select("det_id", "mask_id", rings.within(F.col("s"), F.col("m")).alias("inside"))
+    """Boxes inside L-shaped masks: one that reaches into the notch is not inside."""
+    shaped = _mask_pairs(t).withColumn("m", _ell(*[F.col("m")[0][i][c] for i, c in ((0, "x"), (0, "y"), (2, "x"), (2, "y"))]))
+    return shaped.select("det_id", "mask_id", polygons.within(F.col("s"), F.col("m")).alias("inside"))
 
 
 @query("geom_distance", f"SELECT d.det_id, m.mask_id, round(sqrt({_sql(_GAP, 'd', 'm')}), 6) AS metres {_NEAR}")
@@ -293,15 +339,15 @@ def geom_is_valid(t: Tables):
     return _bowties(t).select("det_id", rings.is_valid(F.col("shape")).alias("valid"))
 
 
-@query("geom_repair", "SELECT det_id, CAST((x1 - x0) * (y1 - y0) AS DOUBLE) AS signed_area, 5 AS points, TRUE AS valid FROM v_detections")
+@query("geom_repair", """
+SELECT det_id, CASE WHEN det_id % 3 = 0 THEN 2 ELSE 1 END AS pieces, CAST((x1 - x0) * (y1 - y0) AS DOUBLE) / CASE WHEN det_id % 3 = 0 THEN 2 ELSE 1 END AS area,
+ TRUE AS valid FROM v_detections""")
 def geom_repair(t: Tables):
-    """Open, clockwise rings with a repeated corner come back closed, counter-clockwise and clean."""
-    p = [F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")) for x, y in
-         (("x0", "y0"), ("x0", "y1"), ("x1", "y1"), ("x1", "y0"))]
-    dirty = _det(t).select("det_id", F.array(F.array(p[0], p[1], p[1], p[2], p[3])).alias("shape"))
-    fixed = dirty.withColumn("shape", rings.repair(F.col("shape")))
-    return fixed.select("det_id", rings.ring_area(F.col("shape")[0]).alias("signed_area"),
-                        F.size(F.col("shape")[0]).alias("points"), rings.is_valid(F.col("shape")).alias("valid"))
+    """Rings that cross themselves come back as valid polygons of the same area, the others as they are."""
+    fixed = _bowties(t).withColumn("p", polygons.repair(F.col("shape")))
+    return fixed.select("det_id", F.size("p").alias("pieces"),
+                        F.round(F.aggregate(F.transform("p", rings.area), F.lit(0.0), lambda x, y: x + y), 6).alias("area"),
+                        F.forall("p", rings.is_valid).alias("valid"))
 
 
 @query("geom_multipolygon", f"""
