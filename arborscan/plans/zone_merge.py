@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from arborscan.operators import cells, spatial
 from arborscan.session import cut_lineage
+from arborscan.sources.stored import read_if_there
 
 REACH = 50.0
 BOX = ["x0", "y0", "x1", "y1"]
@@ -196,11 +197,8 @@ class Store:
         self.batch = self._batches() + 1
 
     def _batches(self) -> int:
-        try:
-            top = self.spark.read.schema("tile_id long, task_id long, batch int").parquet(f"{self.folder}/tasks").agg(F.max("batch")).first()[0]
-        except Exception:  # no batch yet
-            return 0
-        return top or 0
+        tasks = read_if_there(self.spark, f"{self.folder}/tasks", "tile_id long, task_id long, batch int")
+        return 0 if tasks is None else tasks.agg(F.max("batch"), F.count("tile_id")).first()[0] or 0
 
     def read(self, table: str, schema: str) -> DataFrame:
         """Rows of committed batches."""

@@ -41,20 +41,22 @@ def stream_scene_ingest(t: Tables):
         ingest.ingest(stream, table, offsets, ["cloud_hundredths"]).awaitTermination()
 
     _arrivals(t, events, "image_date", 2, run)
-    return ingest.catalogue(t.spark, table).select("tile_id", "image_date", "is_new")
+    return ingest.catalogue(t.spark, table, events.select("tile_id", "image_date", "cloud_hundredths")).select("tile_id", "image_date", "is_new")
 
 
 @query("stream_scene_pairs", """
 WITH d AS (SELECT DISTINCT tile_id, image_date FROM v_scene_events), p AS (SELECT tile_id, image_date AS image_date_0,
  lead(image_date) OVER (PARTITION BY tile_id ORDER BY image_date) AS image_date_1 FROM d) SELECT * FROM p WHERE image_date_1 IS NOT NULL""")
 def stream_scene_pairs(t: Tables):
+    """Scenes arrive shuffled, in three parts; the standing pairs are those of the whole history."""
     events, table, offsets = _events(t), work_folder(t.spark, "pairs"), work_folder(t.spark, "offsets")
+    events = events.withColumn("ticket", F.pmod(F.xxhash64("tile_id", "image_date", "ts"), F.lit(1000)))
 
     def run(folder: str) -> None:
         pairs.write_pairs(ingest.scene_stream(t.spark, folder, events.schema), table, offsets).awaitTermination()
 
-    _arrivals(t, events, "image_date", 2, run)
-    return t.spark.read.parquet(table).where("kind = 'pair'").select("tile_id", "image_date_0", "image_date_1")
+    _arrivals(t, events, "ticket", 3, run)
+    return pairs.standing(t.spark.read.parquet(table))
 
 
 def _detections(orders):

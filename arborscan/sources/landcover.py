@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
+
+from arborscan.sources.stored import read_if_there
 
 
 def missing_subset(polygons: DataFrame, wanted: DataFrame, cached: DataFrame) -> DataFrame:
@@ -13,10 +15,8 @@ def missing_subset(polygons: DataFrame, wanted: DataFrame, cached: DataFrame) ->
 
 def refresh_cache(spark: SparkSession, path: str, polygons: DataFrame, wanted: DataFrame) -> DataFrame:
     """Append the polygons of uncached tiles to a Parquet table partitioned by tile and read it back."""
-    try:
-        cached = spark.read.parquet(path).select("tile_id")
-    except Exception:  # nothing written yet
-        cached = wanted.select("tile_id").limit(0)
-    (missing_subset(polygons, wanted, cached.distinct())
+    cached = read_if_there(spark, path, polygons.schema)
+    cached = wanted.limit(0) if cached is None else cached
+    (missing_subset(polygons, wanted, cached.select("tile_id").distinct())
      .write.mode("append").partitionBy("tile_id").parquet(path))
-    return spark.read.parquet(path).join(wanted.select("tile_id").distinct(), "tile_id", "left_semi")
+    return spark.read.schema(polygons.schema).parquet(path).join(wanted.select("tile_id").distinct(), "tile_id", "left_semi")

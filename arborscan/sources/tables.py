@@ -26,7 +26,7 @@ def read_metadata_text(spark: SparkSession, root: str) -> DataFrame:
 
 def finished_tasks(tasks: DataFrame) -> DataFrame:
     """Tasks with a stored result, by their later date."""
-    return tasks.where(F.col("result").isNotNull()).orderBy("image_date_1")
+    return tasks.where(F.col("result").isNotNull())
 
 
 def overwrite_partitions(df: DataFrame, path: str, keys: list[str]) -> None:

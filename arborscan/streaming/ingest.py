@@ -1,11 +1,13 @@
-"""Scenes as they appear: dedupe within the watermark, then upsert."""
+"""Scenes as they appear, upserted batch by batch."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from arborscan.operators import catalog
+from arborscan.sources.stored import read_if_there
 
 
 def scene_stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
@@ -17,34 +19,30 @@ def scene_stream(spark: SparkSession, path: str, schema, files_per_trigger: int
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def first_of_day(stream: DataFrame, delay: str = "2 days") -> DataFrame:
-    """One row per (tile_id, image_date) while the watermark covers the day."""
-    return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["tile_id", "image_date"])
-
-
-def ingest(stream: DataFrame, table: str, checkpoint: str, values: list[str], delay: str = "2 days") -> StreamingQuery:
-    """Upsert deduplicated scenes into a Parquet catalogue, one folder per batch.
+def ingest(stream: DataFrame, table: str, checkpoint: str, values: list[str]) -> StreamingQuery:
+    """Upsert scenes into a Parquet catalogue, one folder per batch; scenes may come late and more than once.
 
     A batch holds the merged state of exactly the (tile, date) keys it saw, so writing it
-    twice changes nothing; ``catalogue`` reads the newest state of each key.
+    twice changes nothing; ``catalogue`` reads the newest state of each key. The upsert itself
+    drops repeats, so no watermark is kept and no late scene is lost.
     """
 
     def upsert(batch: DataFrame, number: int) -> None:
         keys = batch.select("tile_id", "image_date").distinct()
-        try:
-            known = catalogue(batch.sparkSession, table, before=number).join(keys, ["tile_id", "image_date"], "left_semi")
-        except Exception:  # first batch
-            known = batch.limit(0).withColumn("is_new", F.lit(1))
-        merged = catalog.upsert_scenes(known, batch, values)
+        known = catalogue(batch.sparkSession, table, batch.select("tile_id", "image_date", *values), before=number)
+        merged = catalog.upsert_scenes(known.join(keys, ["tile_id", "image_date"], "left_semi"), batch, values)
         merged.write.mode("overwrite").parquet(f"{table}/batch={number}")
 
-    return (first_of_day(stream, delay).writeStream.foreachBatch(upsert)
+    return (stream.writeStream.foreachBatch(upsert)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-def catalogue(spark: SparkSession, table: str, before: int | None = None) -> DataFrame:
-    """Newest state of every scene."""
-    rows = spark.read.parquet(table)
+def catalogue(spark: SparkSession, table: str, like: DataFrame, before: int | None = None) -> DataFrame:
+    """Newest state of every scene; empty if nothing has been ingested. ``like`` has the columns tile_id, image_date and the values."""
+    columns = like.withColumn("is_new", F.lit(1)).schema
+    rows = read_if_there(spark, table, StructType([*columns.fields, StructField("batch", LongType())]))
+    if rows is None:
+        return spark.createDataFrame([], columns)
     if before is not None:
         rows = rows.where(F.col("batch") < before)
     values = [c for c in rows.columns if c not in ("tile_id", "image_date", "batch")]
