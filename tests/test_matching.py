@@ -33,6 +33,18 @@ def test_one_prediction_wanted_by_all(spark):
     assert got == {0: 1, **{t: t + 100 for t in range(1, 20)}}
 
 
+@pytest.mark.parametrize("together", [20_000, 50])
+def test_long_chain_of_truths(spark, together, monkeypatch):
+    """Each truth's best prediction is also wanted by the one before: the walk passes along the whole chain."""
+    pairs = [(t, t + p, 0.9 if p else 0.6) for t in range(60) for p in (0, 1)] + [(t, 500 + t, 0.5) for t in range(60)]
+    pairs += [(0, 0, 0.95)]
+    calls = []
+    monkeypatch.setattr(matching, "cut_lineage", lambda df, cut=matching.cut_lineage: calls.append(1) or cut(df))
+    got = {r["truth_id"]: r["pred_id"] for r in matching.greedy_match(spark.createDataFrame(pairs, PAIR), 0.5, rounds=2, together=together).collect()}
+    assert got == walk(pairs, 0.5)
+    assert together == 50 or len(calls) < 20
+
+
 @pytest.mark.parametrize("m,p,t,want", [(0, 0, 0, (1.0, 1.0, 1.0)), (0, 0, 3, (0.0, 0.0, 0.0)), (2, 4, 2, (0.5, 1.0, 2 / 3))])
 def test_f1_rules(spark, m, p, t, want):
     row = matching.f1(*[spark.range(n) for n in (m, p, t)]).first()
