@@ -38,11 +38,11 @@ def seed_tiles(configured: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def tiles_to_backfill(tiles: DataFrame) -> DataFrame:
-    return tiles.where((F.col("is_tracked") == 1) & F.col("first_date").isNull()).orderBy("tile_index")
+    return tiles.where((F.col("is_tracked") == 1) & F.col("first_date").isNull())
 
 
 def tiles_to_update(tiles: DataFrame) -> DataFrame:
-    return tiles.where((F.col("is_tracked") == 1) & F.col("first_date").isNotNull()).orderBy("tile_index")
+    return tiles.where((F.col("is_tracked") == 1) & F.col("first_date").isNotNull())
 
 
 def scenes_of_tile(paths: DataFrame, tile_name: str) -> DataFrame:
@@ -115,8 +115,8 @@ def upsert_scenes(existing: DataFrame, incoming: DataFrame, values: list[str]) -
 
 
 def since_start(scenes: DataFrame, start: str = START_DATE) -> DataFrame:
-    """Scenes strictly after the start date, oldest first."""
-    return scenes.where(F.col("image_date") > F.lit(start).cast("date")).orderBy("image_date")
+    """Scenes strictly after the start date; order is left to the caller."""
+    return scenes.where(F.col("image_date") > F.lit(start).cast("date"))
 
 
 def since_last(scenes: DataFrame, tiles: DataFrame) -> DataFrame:
@@ -134,9 +134,9 @@ def ready_scenes(scenes: DataFrame, paths: list[str]) -> DataFrame:
 
 
 def prepared_scenes(scenes: DataFrame, only_new: bool = False) -> DataFrame:
-    """Successfully prepared scenes, always ordered by date."""
+    """Successfully prepared scenes; order is left to the caller."""
     keep = F.col("success") == 1
-    return scenes.where(keep & (F.col("is_new") == 1) if only_new else keep).orderBy("image_date")
+    return scenes.where(keep & (F.col("is_new") == 1) if only_new else keep)
 
 
 def state_filter(info: DataFrame, tiles: DataFrame, flags: dict[str, int], source_like: dict[str, str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 
@@ -17,40 +19,54 @@ def cumulative(histogram: DataFrame, keys: list[str]) -> DataFrame:
     return histogram.withColumns({"rank": F.sum("n").over(upto), "total": F.sum("n").over(whole)})
 
 
-def match_table(source: DataFrame, template: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, v, matched): source values moved onto the template's distribution.
+def _matched(source: np.ndarray, template: np.ndarray) -> np.ndarray:
+    """Source values moved onto the template's distribution.
 
-    Quantiles of both are laid on one axis per group; a source quantile takes the linear
-    interpolation between the template points on either side of it. A quantile below the
-    first template point takes the first value.
+    A value's quantile is looked up among the template's; between two of them values are
+    interpolated, below the first the first is taken.
     """
-    points = cumulative(template, keys).select(*keys, (F.col("rank") / F.col("total")).alias("q"), F.lit(0).alias("_src"),
-                                               F.col("v").cast("double").alias("_t"), F.lit(None).cast("double").alias("v"))
-    wanted = cumulative(source, keys).select(*keys, (F.col("rank") / F.col("total")).alias("q"), F.lit(1).alias("_src"),
-                                             F.lit(None).cast("double").alias("_t"), F.col("v").cast("double").alias("v"))
-    axis = points.unionByName(wanted)
-    order = Window.partitionBy(*keys).orderBy("q", "_src")
-    before = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = Window.partitionBy(*keys).orderBy("q", F.desc("_src")).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    point = F.when(F.col("_src") == 0, F.struct(F.col("q").alias("q"), F.col("_t").alias("t")))
-    bracket = axis.withColumns({"_lo": F.last(point, True).over(before), "_hi": F.first(point, True).over(after)})
-    share = (F.col("q") - F.col("_lo.q")) / F.nullif(F.col("_hi.q") - F.col("_lo.q"), F.lit(0.0))
-    inner = F.col("_lo.t") + F.coalesce(share, F.lit(0.0)) * (F.col("_hi.t") - F.col("_lo.t"))
-    matched = F.when(F.col("_lo").isNull(), F.col("_hi.t")).when(F.col("_hi").isNull(), F.col("_lo.t")).otherwise(inner)
-    return bracket.where("_src = 1").select(*keys, "v", matched.alias("matched"))
-
-
-def apply_table(chips: DataFrame, table: DataFrame, keys: list[str], cells: str, output: str) -> DataFrame:
-    """Look every cell up in its chip's value table, which travels as one map per chip."""
-    maps = table.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.col("v").cast("double"), "matched"))).alias("_m"))
-    return (chips.join(maps, keys)
-            .withColumn(output, F.transform(cells, lambda v: F.element_at("_m", v.cast("double")))).drop("_m"))
+    values, at, n = np.unique(source, return_inverse=True, return_counts=True)
+    points, m = np.unique(template, return_counts=True)
+    q, p = np.cumsum(n) / len(source), np.cumsum(m) / len(template)
+    right = np.minimum(np.searchsorted(p, q, "left"), len(p) - 1)
+    left = np.maximum(np.searchsorted(p, q, "right") - 1, 0)
+    gap = np.where(right > left, p[right] - p[left], 1.0)
+    share = np.where(right > left, (q - p[left]) / gap, 0.0)
+    moved = np.where(q < p[0], points[0], points[left] + share * (points[right] - points[left]))
+    return moved[at]
 
 
 def match(chips: DataFrame, keys: list[str], source: str = "previous", template: str = "cells") -> DataFrame:
-    """Chips whose ``source`` cells are matched to the distribution of their ``template`` cells."""
-    table = match_table(counts(chips, keys, source), counts(chips, keys, template), keys)
-    return apply_table(chips, table, keys, source, source)
+    """Chips whose ``source`` cells are matched to the distribution of their ``template`` cells.
+
+    Both arrays of a chip are in its row, so nothing is shuffled. Chips with an empty array keep it.
+    """
+
+    @F.pandas_udf("array<double>")
+    def matched(sources: pd.Series, templates: pd.Series) -> pd.Series:
+        return pd.Series([_matched(np.asarray(s, float), np.asarray(t, float)) if len(s) and len(t) else s for s, t in zip(sources, templates)])
+
+    return chips.withColumn(source, matched(F.col(source), F.col(template)))
+
+
+def chip_otsu(chips: DataFrame, cells: str = "cells", output: str = "threshold") -> DataFrame:
+    """Chips with the value whose split maximises between-class variance (smallest on ties), found inside the row."""
+
+    @F.pandas_udf("double")
+    def threshold(column: pd.Series) -> pd.Series:
+        out = []
+        for values in column:
+            v, n = np.unique(np.asarray(values, float), return_counts=True)
+            if not len(v):
+                out.append(None)
+                continue
+            w0, s0 = np.cumsum(n).astype(float), np.cumsum(v * n)
+            w1 = w0[-1] - w0
+            gap = s0 / w0 - (s0[-1] - s0) / np.where(w1 > 0, w1, 1.0)
+            out.append(v[int(np.argmax(np.round(np.where(w1 > 0, w0 * w1 * gap * gap, 0.0), 6)))])
+        return pd.Series(out, dtype="float64")
+
+    return chips.withColumn(output, threshold(F.col(cells)))
 
 
 def otsu(histogram: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ per chip through the shuffle instead of nine rows per cell.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from arborscan.functions import bands, chips as chip_fn
 from arborscan.functions.rings import let
@@ -160,9 +160,15 @@ def max_scaled(chips: DataFrame, by: list[str], limit: float) -> DataFrame:
 
 
 def previous_chip(chips: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Chip rows with ``previous``, the cells of the same chip one step earlier in ``order``."""
-    earlier = chips.select(*keys, (F.col(order) + 1).alias(order), F.col("cells").alias("previous"))
-    return chips.join(earlier, [*keys, order])
+    """Chip rows with ``previous``, the cells of the same chip at the latest earlier ``order`` there is.
+
+    Steps may be missing: a chip is paired with the one before it among those available. The
+    window sees one small row per key and step; cells only take part in the join.
+    """
+    before = F.lag(order).over(Window.partitionBy(*keys).orderBy(order))
+    steps = chips.select(*keys, order).distinct().withColumn("_before", before).where("_before IS NOT NULL")
+    earlier = chips.select(*keys, F.col(order).alias("_before"), F.col("cells").alias("previous"))
+    return chips.join(steps, [*keys, order]).join(earlier, [*keys, "_before"]).drop("_before")
 
 
 def with_reprojection(source: DataFrame, target: DataFrame, keys: list[str], to_source, nodata: float = 0) -> DataFrame:

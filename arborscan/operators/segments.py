@@ -25,7 +25,7 @@ def _per_chip(df: DataFrame, inputs: list[str], output: str, kind: T.DataType, f
     return df.mapInPandas(run, schema)
 
 
-_STRAIGHT, _DIAGONAL = 0.955, 1.3693  # fixed values: 3x3 chamfer weights for L2
+STRAIGHT, DIAGONAL = 0.955, 1.3693  # fixed values: 3x3 chamfer weights for L2
 
 
 def _grids(cells: pd.Series, w: pd.Series):
@@ -58,18 +58,23 @@ def label_cells(chips: DataFrame, cells: str, output: str = "label") -> DataFram
 
 
 def chamfer_grid(mask: np.ndarray) -> np.ndarray:
-    """Distance of every foreground cell to the background; unbounded without background."""
+    """Distance of every foreground cell to the background; unbounded without background.
+
+    Two passes over rows, downward and upward. Within a row the least of what came from the row
+    before and of a walk along the row is a running minimum.
+    """
     high, wide = mask.shape
-    d = np.full((high + 2, wide + 2), np.inf)
-    d[1:-1, 1:-1] = np.where(mask, np.inf, 0.0)
-    passes = ((range(1, high + 1), range(1, wide + 1), ((-1, -1), (-1, 0), (-1, 1), (0, -1))),
-              (range(high, 0, -1), range(wide, 0, -1), ((1, 1), (1, 0), (1, -1), (0, 1))))
-    for rows, columns, around in passes:
-        for y in rows:
-            for x in columns:
-                if d[y, x]:
-                    d[y, x] = min(d[y, x], *[d[y + dy, x + dx] + (_STRAIGHT if not (dy and dx) else _DIAGONAL) for dy, dx in around])
-    return d[1:-1, 1:-1]
+    d = np.where(mask, np.inf, 0.0)
+    along = STRAIGHT * np.arange(wide)
+    for step in (1, -1):
+        before = np.full(wide + 2, np.inf)
+        for y in range(high)[::step]:
+            row = np.minimum(d[y], np.minimum(before[1:-1] + STRAIGHT, np.minimum(before[:-2], before[2:]) + DIAGONAL))
+            row = np.minimum(row, np.minimum.accumulate(row - along) + along)
+            row = np.minimum(row, (np.minimum.accumulate((row + along)[::-1]))[::-1] - along)
+            d[y] = np.round(row, 9)
+            before[1:-1] = d[y]
+    return d
 
 
 def distance_to_background(chips: DataFrame, mask: str, output: str = "distance") -> DataFrame:
@@ -117,19 +122,21 @@ def flood_grid(image: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     return labels
 
 
-BACKGROUND = 255
+BACKGROUND = 255  # fixed value of the output
 
 
 def flood(chips: DataFrame, image: str, seeds: str, output: str = "instance") -> DataFrame:
     """Instances of a chip: seed components flood the image beside a background seed.
 
-    The background seed is the disc of radius 3 around (5, 5) and carries label 255.
+    The background seed is the disc of radius 3 around (5, 5). It comes out as 255; seed
+    components are numbered from 1 and pass over that number.
     """
 
     def instances(images: pd.Series, markers: pd.Series, w: pd.Series) -> list:
         out = []
         for grid, seed in zip(_grids(images, w), _grids(markers, w)):
             start = label_grid(seed > 0).astype(int)
+            start[start >= BACKGROUND] += 1
             y, x = np.ogrid[:grid.shape[0], :grid.shape[1]]
             start[(x - 5) ** 2 + (y - 5) ** 2 <= 9] = BACKGROUND
             out.append(flood_grid(grid, start).ravel().astype(int).tolist())

@@ -16,4 +16,4 @@ def state_colors(pixels: DataFrame, markup: DataFrame, by: str) -> DataFrame:
     inside = pixels.where(F.col("v") != 0).join(covered, ["x", "y"])
     mean = lambda band: F.avg(F.when(F.col("band") == band, F.col("v"))) / 255
     return (inside.groupBy(by, "state").agg(mean(0).alias("red"), mean(1).alias("green"), mean(2).alias("blue"))
-            .withColumn("brightness", F.col("red") + F.col("green") + F.col("blue")).orderBy(by))
+            .withColumn("brightness", F.col("red") + F.col("green") + F.col("blue")))

@@ -4,24 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BUCKETS = 1024
+BUCKETS = 256
+
+
+def _borders(column: str) -> Column:
+    """Aggregate: about BUCKETS borders between which equally many of the rows lie, whatever their values."""
+    shares = F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)])
+    return F.array_distinct(F.percentile_approx(column, shares, F.lit(8 * BUCKETS)))
+
+
+def _bucket(value: Column, borders: Column) -> Column:
+    return F.size(F.filter(borders, lambda b: b <= value))
 
 
 def positioned(df: DataFrame, value: str, keys: list[str] = ()) -> DataFrame:
     """Distinct values per group with count ``n`` and position range [``start``, ``start + n``).
 
-    Rows collapse to one per value first, values are cut into equal-width buckets, bucket
-    offsets come from a window over at most BUCKETS rows per group, and only inside a
-    bucket are values ordered.
+    Rows collapse to one per value first. Values are cut into buckets at approximate
+    quantiles, so outliers and dense stretches do not fill one bucket; bucket offsets come
+    from a window over at most BUCKETS rows per group, and only inside a bucket are values
+    ordered. Borders only deal out the work: positions are exact.
     """
     by = list(keys)
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    ends = counts.groupBy(*by).agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"), F.sum("n").alias("total"))
+    ends = counts.groupBy(*by).agg(_borders("v").alias("_cuts"), F.sum("n").alias("total"))
     ranged = (counts.join(ends, by) if by else
               counts.withColumn("_e", ends.select(F.struct("*")).scalar()).select(*counts.columns, "_e.*"))
-    share = (F.col("v") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0))
-    bucket = F.coalesce(F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1)), F.lit(0)).cast("int")
-    placed = ranged.withColumn("_bucket", bucket)
+    placed = ranged.withColumn("_bucket", _bucket(F.col("v"), F.col("_cuts"))).drop("_cuts")
     order = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     offsets = (placed.groupBy(*by, "_bucket").agg(F.sum("n").alias("_m"))
                .withColumn("_before", F.sum("_m").over(order) - F.col("_m")).drop("_m"))
@@ -47,12 +56,21 @@ def quantiles(df: DataFrame, value: str, probs: list[float], keys: list[str] = (
 
 
 def paged(df: DataFrame, value: str, id: str, size: int) -> DataFrame:
-    """Rows with ``page`` (0-based) when ordered by value, then id."""
+    """Rows with ``page`` (0-based) when ordered by value, then id.
+
+    Rows of one value are numbered in buckets of their ids, so a value that most rows share is
+    not ordered in one task.
+    """
     offsets = positioned(df.select(value), value).select(F.col("v").alias(value), "start", "total")
-    tie = Window.partitionBy(value).orderBy(id)
-    position = F.col("start") + F.row_number().over(tie) - 1
-    return (df.join(offsets, value).withColumn("page", F.floor(position / size))
-            .withColumn("pages", F.ceil(F.col("total") / size)).drop("start", "total"))
+    dealt = df.withColumn("_cuts", df.agg(_borders(id)).scalar()).withColumn("_bucket", _bucket(F.col(id), F.col("_cuts"))).drop("_cuts")
+    before = Window.partitionBy(value).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bases = (dealt.groupBy(value, "_bucket").agg(F.count("*").alias("_m"))
+             .select(value, "_bucket", (F.sum("_m").over(before) - F.col("_m")).alias("_base")))
+    tie = Window.partitionBy(value, "_bucket").orderBy(id)
+    position = F.col("start") + F.col("_base") + F.col("_tie")
+    return (dealt.withColumn("_tie", F.row_number().over(tie) - 1).join(bases, [value, "_bucket"]).join(offsets, value)
+            .withColumn("page", F.floor(position / size)).withColumn("pages", F.ceil(F.col("total") / size))
+            .drop("start", "total", "_bucket", "_base", "_tie"))
 
 
 def quartile_label(df: DataFrame, value: str) -> DataFrame:

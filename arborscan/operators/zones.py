@@ -85,9 +85,10 @@ def area_series(clearcuts: DataFrame, start: str, end: str) -> DataFrame:
 
 
 def area_chart(clearcuts: DataFrame, clearcut_id: int, start: str, end: str) -> DataFrame:
-    """Area series of the zone a clearcut belongs to, by date; empty for an unknown id."""
-    zone = clearcuts.where(F.col("id") == clearcut_id).select("zone_id").limit(1).scalar()
-    return area_series(clearcuts.where(F.col("zone_id") == zone), start, end).orderBy("image_date_current")
+    """Area series of the zone a clearcut belongs to; empty for an unknown id, an error if an id is in two zones."""
+    one = F.when(F.count_distinct("zone_id") > 1, F.raise_error(F.lit(f"clearcut {clearcut_id} is in two zones"))).otherwise(F.max("zone_id"))
+    zone = clearcuts.where(F.col("id") == clearcut_id).agg(one.alias("zone_id")).scalar()
+    return area_series(clearcuts.where(F.col("zone_id") == zone), start, end)
 
 
 def review(clearcuts: DataFrame, reviews: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -12,8 +12,7 @@ PEAK = 0.2
 
 def distances(chips: DataFrame, keys: list[str]) -> DataFrame:
     """Chips with ``distance``: normalised distance to the background of the Otsu mask."""
-    cut = histogram.otsu(histogram.counts(chips, keys), keys)
-    masked = chips.join(cut, keys).withColumn("mask", F.transform("cells", lambda v: (v > F.col("threshold")).cast("double")))
+    masked = histogram.chip_otsu(chips).withColumn("mask", F.transform("cells", lambda v: (v > F.col("threshold")).cast("double")))
     return segments.distance_to_background(masked, "mask")
 
 

@@ -8,14 +8,13 @@ from arborscan.functions import bands, chips as chip_fn, probs, rings
 from arborscan.operators import cells, histogram, rasters, regions, scoring, segments, tiling
 from arborscan.plans import detection
 from arborscan.queries.registry import Tables, query
-from arborscan.session import spread_small
 
 CHIP = ["chip_id"]
 BAND_NAMES = [f"b{i}" for i in range(9)]
 
 
 def _chips(t: Tables):
-    return spread_small(t.view("chips"))
+    return t.view("chips").repartition("chip_id")  # work per chip is heavy, files are few
 
 
 def _cells_of(df, column: str = "cells", *keep: str):
@@ -99,11 +98,11 @@ def chip_mask_counts(t: Tables):
 
 
 @query("chip_mask_filter", f"""
-WITH {_TRUTH}, c AS (SELECT chip_id, sum(t) * 255 AS s FROM m GROUP BY 1), k AS (SELECT p_partkey % 500 AS chip_id FROM part WHERE p_size > 20)
+WITH {_TRUTH}, c AS (SELECT chip_id, sum(t) * 255 AS s FROM m GROUP BY 1), k AS (SELECT p_partkey * 2 AS chip_id FROM part)
 SELECT c.chip_id FROM c WHERE chip_id >= 0 AND ((c.chip_id * 2654435761) % 4294967296 < 0.1 * 4294967296 OR (s >= 255 * 20 AND chip_id IN (SELECT chip_id FROM k)))""")
 def chip_mask_filter(t: Tables):
     from arborscan.operators import datasets
-    components = t.table("part").where("p_size > 20").select((F.col("p_partkey") % 500).alias("chip_id"), F.col("p_partkey").alias("component"))
+    components = t.table("part").select((F.col("p_partkey") * 2).alias("chip_id"), F.col("p_partkey").alias("component"))
     masks = _with_truth(t).select("chip_id", F.transform("truth", lambda v: v * 255).alias("mask"))
     return datasets.mask_filter(masks, components, "chip_id", pass_chance=0.1).select("chip_id")
 
@@ -189,13 +188,20 @@ def max_scale(t: Tables):
     return _cells_of(rasters.max_scaled(_chips(t), CHIP, 255.0)).withColumn("v", F.round("v", 4))
 
 
-_PREV = """q AS (SELECT c.chip_id, c.x, c.y, c.v AS cur, p.v AS prev FROM v_pixels c JOIN v_pixels p
- ON c.band = p.band AND c.scene = p.scene + 1 AND c.x = p.x AND c.y = p.y)"""
+# scenes with a gap after every five: the previous one is the latest there is, not number - 1
+_PREV = """px AS (SELECT *, scene + scene // 5 AS step FROM v_pixels),
+ st AS (SELECT band, step, lag(step) OVER (PARTITION BY band ORDER BY step) AS before FROM (SELECT DISTINCT band, step FROM px)),
+ q AS (SELECT c.chip_id, c.x, c.y, c.v AS cur, p.v AS prev FROM px c JOIN st ON st.band = c.band AND st.step = c.step
+  JOIN px p ON p.band = c.band AND p.step = st.before AND c.x = p.x AND c.y = p.y)"""
+
+
+def _steps(t: Tables):
+    return _chips(t).withColumn("step", F.expr("scene + scene DIV 5"))
 
 
 @query("norm_difference", f"WITH {_PREV} SELECT chip_id, x, y, CAST(floor(((cur - prev) / CAST(cur + prev AS DOUBLE) + 1) * 127) AS INTEGER) AS d FROM q")
 def norm_difference(t: Tables):
-    pairs = rasters.previous_chip(_chips(t), ["band"], "scene").select("chip_id", "w", "h", "cells", "previous")
+    pairs = rasters.previous_chip(_steps(t), ["band"], "step").select("chip_id", "w", "h", "cells", "previous")
     flat = rasters.to_cells(pairs, ["cells", "previous"])
     return flat.select("chip_id", "x", "y", bands.difference_byte(F.col("cells"), F.col("previous")).alias("d"))
 
@@ -210,7 +216,7 @@ _MATCH = f"""{_PREV}, s AS (SELECT chip_id, prev AS v, count(*) AS n FROM q GROU
 
 @query("histogram_match", f"WITH {_MATCH} SELECT q.chip_id, q.x, q.y, round(mt.matched, 4) AS v FROM q JOIN mt ON q.chip_id = mt.chip_id AND q.prev = mt.v")
 def histogram_match(t: Tables):
-    pairs = rasters.previous_chip(_chips(t), ["band"], "scene")
+    pairs = rasters.previous_chip(_steps(t), ["band"], "step")
     return _cells_of(histogram.match(pairs, CHIP), "previous").withColumn("v", F.round("v", 4))
 
 
@@ -225,7 +231,7 @@ def cdf_match(t: Tables):
 WITH {_MATCH}, f AS (SELECT q.chip_id, q.x, q.y, q.cur, mt.matched AS p FROM q JOIN mt ON q.chip_id = mt.chip_id AND q.prev = mt.v)
 SELECT chip_id, x, y, CAST(floor(round(((cur - p) / (cur + p) + 1) * 127, 6)) AS INTEGER) AS diff, CAST(cur AS INTEGER) AS cur, CAST(floor(p) AS INTEGER) AS prev FROM f""")
 def pair_feature_stack(t: Tables):
-    stacked = detection.pair_features(_chips(t), ["band"], CHIP, "scene")
+    stacked = detection.pair_features(_steps(t), ["band"], CHIP, "step")
     return rasters.to_cells(stacked, ["diff", "cur", "prev"]).select("chip_id", "x", "y", "diff", "cur", "prev")
 
 
@@ -347,15 +353,15 @@ def polygonize(t: Tables):
 
 
 def _patches(t: Tables):
-    """Rectangles on the band rasters."""
+    """Rectangles on the band rasters, spread farther along with more parts."""
     p = t.table("part")
-    x0, y0 = (F.col("p_partkey") * 7919) % 440, F.col("p_partkey") % 6
+    x0, y0 = (F.col("p_partkey") * 7919) % 440 + F.floor(F.col("p_partkey") / 2000) * 160, F.col("p_partkey") % 6
     shape = rings.rectangle(x0, y0, x0 + F.col("p_size") % 7 + 1, y0 + F.col("p_size") % 2 + 1)
     state = F.when(F.col("p_size") % 3 == 0, "overgrown").otherwise("open")
     return p.select((F.col("p_partkey") % 9).alias("band"), F.col("p_partkey").alias("pk"), state.alias("state"), shape.alias("shape"))
 
 
-_PATCH = """t AS (SELECT p_partkey % 9 AS band, CASE WHEN p_size % 3 = 0 THEN 'overgrown' ELSE 'open' END AS state, (p_partkey * 7919) % 440 + i AS x, p_partkey % 6 + j AS y
+_PATCH = """t AS (SELECT p_partkey % 9 AS band, CASE WHEN p_size % 3 = 0 THEN 'overgrown' ELSE 'open' END AS state, (p_partkey * 7919) % 440 + p_partkey // 2000 * 160 + i AS x, p_partkey % 6 + j AS y
  FROM part, (SELECT unnest(range(0, 7)) AS i), (SELECT unnest(range(0, 2)) AS j) WHERE i <= p_size % 7 AND j <= p_size % 2)"""
 
 
@@ -389,21 +395,31 @@ def laplacian_sharpen(t: Tables):
     return _cells_of(_chips(t).withColumn("cells", chip_fn.laplacian_sharpen(F.col("cells"), F.col("w"), F.col("h"))))
 
 
-@query("otsu_threshold", """
-WITH h AS (SELECT chip_id, v, count(*) AS n FROM v_pixels GROUP BY ALL),
+_OTSU = """h AS (SELECT chip_id, v, count(*) AS n FROM v_pixels GROUP BY ALL),
  s AS (SELECT chip_id, v, sum(n) OVER a AS w0, sum(v * n) OVER a AS s0, sum(n) OVER (PARTITION BY chip_id) AS w, sum(v * n) OVER (PARTITION BY chip_id) AS s
   FROM h WINDOW a AS (PARTITION BY chip_id ORDER BY v)),
- b AS (SELECT chip_id, v, CASE WHEN w = w0 THEN 0 ELSE CAST(w0 AS DOUBLE) * (w - w0) * (CAST(s0 AS DOUBLE) / w0 - CAST(s - s0 AS DOUBLE) / (w - w0)) ** 2 END AS score FROM s)
-SELECT chip_id, CAST(v AS DOUBLE) AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY chip_id ORDER BY round(score, 6) DESC, v) AS r FROM b) q WHERE r = 1""")
+ b AS (SELECT chip_id, v, CASE WHEN w = w0 THEN 0 ELSE CAST(w0 AS DOUBLE) * (w - w0) * (CAST(s0 AS DOUBLE) / w0 - CAST(s - s0 AS DOUBLE) / (w - w0)) ** 2 END AS score FROM s),
+ otsu AS (SELECT chip_id, CAST(v AS DOUBLE) AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY chip_id ORDER BY round(score, 6) DESC, v) AS r FROM b) q WHERE r = 1)"""
+
+
+@query("otsu_threshold", f"WITH {_OTSU} SELECT chip_id, threshold FROM otsu")
 def otsu_threshold(t: Tables):
-    return histogram.otsu(histogram.counts(_chips(t), CHIP), CHIP)
+    return histogram.chip_otsu(_chips(t)).select("chip_id", "threshold")
+
+
+# chamfer distances from the closed form: the steps to the nearest background cell, diagonal ones first
+_DISTANCE = f"""{_OTSU}, m AS (SELECT p.chip_id, x, y, p.v > threshold AS marked FROM v_pixels p JOIN otsu USING (chip_id)),
+ k AS (SELECT m.*, min(CASE WHEN NOT m.marked THEN 0 ELSE {segments.STRAIGHT} * abs(abs(m.x - b.x) - abs(m.y - b.y)) + {segments.DIAGONAL} * least(abs(m.x - b.x), abs(m.y - b.y)) END) AS d
+  FROM m LEFT JOIN m b ON b.chip_id = m.chip_id AND NOT b.marked GROUP BY ALL),
+ dist AS (SELECT chip_id, x, y, CASE WHEN max(d) OVER c > min(d) OVER c THEN (coalesce(d, 0) - min(d) OVER c) / (max(d) OVER c - min(d) OVER c) ELSE 0 END AS d
+  FROM k WINDOW c AS (PARTITION BY chip_id))"""
 
 
-@query("distance_transform")
+@query("distance_transform", f"WITH {_DISTANCE} SELECT chip_id, x, y, round(d, 6) AS v FROM dist")
 def distance_transform(t: Tables):
-    """Chamfer distance of the Otsu mask per chip; compared with a direct computation in tests."""
+    """Normalised chamfer distance of the Otsu mask per chip."""
     from arborscan.plans import instances
-    return _cells_of(instances.distances(_chips(t), CHIP), "distance")
+    return _cells_of(instances.distances(_chips(t), CHIP), "distance").withColumn("v", F.round("v", 6))
 
 
 @query("watershed_segments")
@@ -429,14 +445,14 @@ _SCORE = f"""{_MATCH}, f AS (SELECT q.chip_id, q.x, q.y, q.cur, floor(round(mt.m
 @query("score_chips", f"WITH {_SCORE} SELECT chip_id, x, y, round(v, 6) AS v FROM k")
 def score_chips(t: Tables):
     """Difference, current and previous images of every chip through the stand-in scorer."""
-    scored = scoring.score_chips(detection.model_input(_chips(t), ["band"], CHIP, "scene"))
+    scored = scoring.score_chips(detection.model_input(_steps(t), ["band"], CHIP, "step"))
     return _cells_of(scored).withColumn("v", F.round("v", 6))
 
 
 @query("multi_model_score", f"""
 WITH {_SCORE} SELECT 'drop' AS model, chip_id, round(max(v), 6) AS top FROM k GROUP BY chip_id UNION ALL SELECT 'gain', chip_id, round(max(1 - v), 6) FROM k GROUP BY chip_id""")
 def multi_model_score(t: Tables):
-    stacks = detection.model_input(_chips(t), ["band"], CHIP, "scene")
+    stacks = detection.model_input(_steps(t), ["band"], CHIP, "step")
     inverse = lambda: (lambda batch: [1 - g for g in scoring.mean_drop(batch)])
     scored = scoring.score_with_models(stacks, {"drop": lambda: scoring.mean_drop, "gain": inverse})
     return scored.groupBy("model", "chip_id").agg(F.round(F.max(F.array_max("cells")), 6).alias("top"))

@@ -8,7 +8,6 @@ from arborscan.functions import rings
 from arborscan.operators import zones
 from arborscan.plans import map_query
 from arborscan.queries.registry import Tables, query
-from arborscan.session import spread_small
 from arborscan.sources import geojson
 
 START, END = "1997-01-01", "1998-12-31"
@@ -126,7 +125,7 @@ def nonempty_geometry_filter(t: Tables):
 
 @query("valid_geometry_filter", "SELECT det_id AS pk FROM v_detections WHERE clouds = 0")
 def valid_geometry_filter(t: Tables):
-    det = spread_small(t.view("detections"))
+    det = t.view("detections").repartition("det_id")
     shape = geojson.rectangle(*[F.col(c) for c in ("x0", "y0", "x1", "y1")])
     text = geojson.feature_text(shape, pk=F.col("det_id"))
     broken = F.when(F.col("clouds") == 1, F.replace(text, F.lit("]]]"), F.lit("]"))).otherwise(text)

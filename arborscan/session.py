@@ -42,10 +42,11 @@ def shared_folder(spark: SparkSession) -> str:
     outlive the executor that wrote them.
     """
     context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    folder = (context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+              or context.getCheckpointDir())
     if folder:
         return folder
-    if not context.master.startswith("local"):
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="arborscan-checkpoint-"))
@@ -63,15 +64,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
-
-
-def spread_small(df: DataFrame, floor: int = 1 << 18, split: int = 128 << 20) -> DataFrame:
-    """Give every core a share of a small input before work that is heavy per row.
-
-    An input of a few files comes in as a few partitions, and everything up to the next
-    shuffle would run on as many cores. Inputs large enough to be split over all cores, or
-    too small to matter, are returned as they are. Sizes are planner estimates: nothing runs.
-    """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if floor < size < cores * split else df

@@ -259,3 +259,25 @@ def test_detection_end_to_end(spark):
     assert len(out) == 1
     # erosion takes one cell on each side; the closing does not change a square
     assert (out[0]["forest"], out[0]["clouds"]) == (1, 0) and out[0]["area"] > 0
+
+
+def test_positions_of_skewed_values(spark):
+    """One outlier, and one value for most rows: buckets stay even and positions exact."""
+    import random
+
+    from arborscan.operators import stats
+    draw = random.Random(4)
+    rows = [(i, draw.random()) for i in range(3000)] + [(3000, 1e12)] + [(4000 + i, 0.5) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id long, v double")
+    got = sorted((r["start"], r["v"], r["n"]) for r in stats.positioned(df, "v").collect())
+    at, want = 0, []
+    for v in sorted({v for _, v in rows}):
+        n = sum(1 for _, x in rows if x == v) if v == 0.5 else 1
+        want.append((at, v, n))
+        at += n
+    assert got == want
+    cuts = df.select("v").distinct().agg(stats._borders("v").alias("c"))
+    sizes = [r["n"] for r in df.select("v").distinct().withColumn("c", cuts.scalar()).withColumn("b", stats._bucket(F.col("v"), F.col("c"))).groupBy("b").agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) < 3 * 3001 / len(sizes) + 20
+    pages = {r["id"]: r["page"] for r in stats.paged(df, "v", "id", 7).collect()}
+    assert pages == {i: n // 7 for n, (v, i) in enumerate(sorted((v, i) for i, v in rows))}
