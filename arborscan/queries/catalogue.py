@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from arborscan.functions import names
+from arborscan import schemas
+from arborscan.functions import names, rings
 from arborscan.operators import catalog
 from arborscan.queries.registry import Tables, query
+from arborscan.session import work_folder
 from arborscan.sources import chips as chip_files, geojson, kml
 
 
@@ -63,35 +65,40 @@ def scene_upsert(t: Tables):
 @query("geojson_read", """
 SELECT markup_id AS pk, state, img_date, CAST(area AS DOUBLE) AS area FROM v_markup""")
 def geojson_read(t: Tables):
+    """Markup written as feature files, read back with its properties."""
     lines = t.view("markup").select(geojson.feature_text(
         geojson.rectangle(F.lit(0), F.lit(0), F.col("side"), F.col("side")),
         pk=F.col("markup_id"), state=F.col("state"), img_date=F.date_format("img_date", "yyyy/MM/dd")).alias("value"))
-    rows = geojson.parse_markup(lines)
+    folder = work_folder(t.spark, "markup")
+    lines.write.text(folder)
+    rows = geojson.read_features(t.spark, folder, schemas.MARKUP_PROPERTIES)
     return rows.select("pk", "state", F.to_date("img_date", "yyyy/MM/dd").alias("img_date"),
                        geojson.area_of("geometry").alias("area"))
 
 
-_FEATURE = """concat('{"type":"Feature","geometry":{"type":"Polygon","coordinates":[[[', x0, ',', y0, '],[', x1, ',', y0, '],[',
- x1, ',', y1, '],[', x0, ',', y1, '],[', x0, ',', y0, ']]]},"properties":{"forest":', forest, ',"clouds":', clouds, '}}')"""
-
-
-@query("geojson_write", f"SELECT det_id, {_FEATURE} AS value FROM v_detections")
+@query("geojson_write", """
+SELECT concat('{"type":"Feature","geometry":{"type":"Polygon","coordinates":[[[', x0, '.0,', y0, '.0],[', x1, '.0,', y0, '.0],[', x1, '.0,', y1, '.0],[',
+ x0, '.0,', y1, '.0],[', x0, '.0,', y0, '.0]]]},"properties":{"det_id":', det_id, ',"forest":', forest, ',"clouds":', clouds, '}}') AS value FROM v_detections""")
 def geojson_write(t: Tables):
-    det = t.view("detections")
-    shape = geojson.rectangle(*[F.col(c) for c in ("x0", "y0", "x1", "y1")])
-    return det.select("det_id", geojson.feature_text(shape, forest=F.col("forest"), clouds=F.col("clouds")).alias("value"))
+    """Detections written as feature files; the lines as they stand in the files."""
+    folder = work_folder(t.spark, "features")
+    shape = rings.rectangle(*[F.col(c) for c in ("x0", "y0", "x1", "y1")])
+    geojson.write_features(t.view("detections").select("det_id", "forest", "clouds", shape.alias("geometry")), folder)
+    return t.spark.read.text(folder)
 
 
 @query("tile_bounds_read", """
 SELECT concat('T', CAST(mask_id AS STRING), kind) AS name, CAST(x0 AS DOUBLE) AS xmin, CAST(y0 AS DOUBLE) AS ymin,
        CAST(x1 AS DOUBLE) AS xmax, CAST(y1 AS DOUBLE) AS ymax FROM v_masks""")
 def tile_bounds_read(t: Tables):
+    """Outlines written as KML files of placemarks, read back as boxes."""
     corner = [F.concat_ws(",", x, y, F.lit("0")) for x, y in
               (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"), ("x0", "y0"))]
-    text = F.concat(F.lit("<Placemark><name>T"), F.col("mask_id").cast("string"), F.col("kind"),
-                    F.lit("</name><Polygon><coordinates>"), F.concat_ws(" ", *corner),
-                    F.lit("</coordinates></Polygon></Placemark>"))
-    return kml.tile_bounds(t.view("masks").select(text.alias("value")))
+    ring = F.struct(F.struct(F.struct(F.concat_ws(" ", *corner).alias("coordinates")).alias("LinearRing")).alias("outerBoundaryIs"))
+    marks = t.view("masks").select(F.concat(F.lit("T"), F.col("mask_id").cast("string"), "kind").alias("name"), ring.alias("Polygon"))
+    folder = work_folder(t.spark, "kml")
+    marks.write.format("xml").option("rootTag", "kml").option("rowTag", "Placemark").save(folder)
+    return kml.read_tile_bounds(t.spark, folder)
 
 
 @query("landcover_cache", """
@@ -99,12 +106,16 @@ SELECT m.mask_id, m.tile_id FROM v_masks m WHERE m.kind = 'forest' AND EXISTS
   (SELECT 1 FROM v_tiles t WHERE t.tile_id = m.tile_id AND t.is_tracked = 1)
   AND m.tile_id NOT IN (SELECT tile_id FROM v_tiles WHERE last_date IS NULL)""")
 def landcover_cache(t: Tables):
+    """A cache that holds some tiles already is refreshed; what comes back are the tiles added."""
     from arborscan.sources import landcover
     tiles = t.view("tiles")
+    forest = t.view("masks").where("kind = 'forest'")
     cached = tiles.where(F.col("last_date").isNull()).select("tile_id")
     wanted = tiles.where("is_tracked = 1").select("tile_id")
-    forest = t.view("masks").where("kind = 'forest'")
-    return landcover.missing_subset(forest, wanted, cached).select("mask_id", "tile_id")
+    folder = work_folder(t.spark, "landcover")
+    landcover.refresh_cache(t.spark, folder, forest, cached)
+    held = landcover.refresh_cache(t.spark, folder, forest, wanted)
+    return held.join(cached, "tile_id", "left_anti").select("mask_id", "tile_id")
 
 
 @query("chip_index_csv", """
@@ -115,8 +126,9 @@ FROM v_pixels WHERE band = 0 AND x % 4 = 0 AND y % 4 = 0""")
 def chip_index_csv(t: Tables):
     from arborscan.operators import tiling
     scenes = t.view("chips").where("band = 0").select(F.concat(F.lit("S"), F.col("scene").cast("string")).alias("image"), "w", "h")
-    index = tiling.chip_index(scenes, 4, 4)
-    return chip_files.parse_index(index.select(chip_files.index_line().alias("value")))
+    folder = work_folder(t.spark, "chip-index")
+    chip_files.write_index(tiling.chip_index(scenes, 4, 4), folder)
+    return chip_files.read_index(t.spark, folder)
 
 
 @query("db_table_io", """

@@ -9,6 +9,7 @@ from arborscan.operators import datasets, metrics, rasters, stats
 from arborscan.plans import dataset
 from arborscan.queries.raster import CHIP, _PATCH, _PROB, _R, _TRUTH, _WIDE, _chips, _class_scores, _patches, _prob, _scene, _wide, _with_truth
 from arborscan.queries.registry import Tables, query
+from arborscan.session import work_folder
 from arborscan.sources import chips as chip_files
 
 _PT = f"""{_TRUTH}, pt AS (SELECT p.chip_id, p.scene, p.band, p.x, p.y, p.v, {_PROB.replace('v -', 'p.v -')} AS p, m.t FROM v_pixels p JOIN m ON p.chip_id = m.chip_id AND p.x = m.x AND p.y = m.y)"""
@@ -216,11 +217,18 @@ def _records(t: Tables):
                          name.alias("img_name"), name.alias("msk_name"), name.alias("pred_name"))
 
 
+def _stored_records(t: Tables):
+    """The records as a stored table holds them."""
+    folder = work_folder(t.spark, "records")
+    chip_files.write_records(_records(t), folder)
+    return chip_files.read_records(t.spark, folder)
+
+
 @query("eval_record_sink", f"""
 WITH {_SCORES} SELECT concat('c', chip_id) AS img_name, CAST(8 AS BIGINT) AS img_height, CAST(8 AS BIGINT) AS img_width, round(dice, 6) AS dice_score,
  (SELECT string_agg(printf('%02X', p.v), '' ORDER BY p.y, p.x) FROM v_pixels p WHERE p.chip_id = s.chip_id) AS image FROM s""")
 def eval_record_sink(t: Tables):
-    return _records(t).select("img_name", "img_height", "img_width", F.round("dice_score", 6).alias("dice_score"), F.hex("img_raw").alias("image"))
+    return _stored_records(t).select("img_name", "img_height", "img_width", F.round("dice_score", 6).alias("dice_score"), F.hex("img_raw").alias("image"))
 
 
 @query("eval_record_scan", f"""
@@ -228,7 +236,7 @@ WITH {_PT} SELECT concat('c', chip_id) AS img_name, CAST(sum(v) AS BIGINT) AS im
 def eval_record_scan(t: Tables):
     """Binary columns decoded again."""
     add = lambda c: F.aggregate(chip_files.from_bytes(F.col(c)), F.lit(0).cast("long"), lambda a, v: a + v)
-    return _records(t).select("img_name", add("img_raw").alias("image_sum"), add("mask_raw").alias("mask_sum"))
+    return _stored_records(t).select("img_name", add("img_raw").alias("image_sum"), add("mask_raw").alias("mask_sum"))
 
 
 @query("dice_band_page", f"""
@@ -297,12 +305,11 @@ def split_size_report(t: Tables):
 
 @query("split_csv", f"WITH {_STRAT} SELECT split, 'D' AS dataset_folder, concat('M', label) AS name, concat(markup_id, '_0') AS position FROM z")
 def split_csv(t: Tables):
-    from arborscan import schemas
     rows = _stratified(t).select("split", F.lit("D").alias("dataset_folder"), F.concat(F.lit("M"), F.col("label").cast("string")).alias("name"),
                                  F.concat(F.col("markup_id").cast("string"), F.lit("_0")).alias("position"))
-    lines = rows.select("split", chip_files.index_line(schemas.SPLIT_INDEX).alias("value"))
-    parsed = lines.select("split", F.from_csv("value", "dataset_folder string, name string, position string").alias("r"))
-    return parsed.select("split", "r.*")
+    folder = work_folder(t.spark, "splits")
+    chip_files.write_index(rows, folder, ["split"])
+    return t.spark.read.schema("dataset_folder string, name string, position string, split string").option("header", True).csv(folder)
 
 
 @query("chip_index_info", """

@@ -8,6 +8,8 @@ from arborscan.functions import bands, chips as chip_fn, probs, rings
 from arborscan.operators import cells, histogram, rasters, regions, scoring, segments, tiling
 from arborscan.plans import detection
 from arborscan.queries.registry import Tables, query
+from arborscan.session import work_folder
+from arborscan.sources import raster_table
 
 CHIP = ["chip_id"]
 BAND_NAMES = [f"b{i}" for i in range(9)]
@@ -40,7 +42,11 @@ def _pass(fn: str, source: str, name: str, keys: str, radius: int) -> str:
 @query("raster_scan_window", """
 SELECT chip_id, CAST(x // 3 AS BIGINT) AS chip_x, CAST(y // 3 AS BIGINT) AS chip_y, x % 3 AS cx, y % 3 AS cy, CAST(v AS DOUBLE) AS v FROM v_pixels WHERE x < 6 AND y < 6""")
 def raster_scan_window(t: Tables):
-    return tiling.chip_keys(_cells_of(_chips(t)), 8, 8, 3, 3).select("chip_id", "chip_x", "chip_y", "cx", "cy", "v")
+    """A window of every raster in a stored table, both ranges pushed to the scan, cut into chips."""
+    folder = work_folder(t.spark, "raster")
+    raster_table.write(_cells_of(_chips(t), "cells", "band"), folder, ["band"])
+    window = raster_table.read_window(t.spark, folder, 0, 0, 6, 6)
+    return tiling.chip_keys(window, 8, 8, 3, 3).select("chip_id", "chip_x", "chip_y", "cx", "cy", "v")
 
 
 _PROB = "least(1, greatest(0, (v - 50) / 100.0))"
@@ -52,10 +58,11 @@ def _prob(cells_column: str = "cells"):
 
 @query("raster_write", f"SELECT chip_id, x, y, round({_PROB}, 4) AS v, 'EPSG:32636' AS crs, 1 AS bands FROM v_pixels")
 def raster_write(t: Tables):
-    from arborscan.sources import raster_table
+    """Probability rasters stored with their metadata, partitioned by band, and read back."""
+    folder = work_folder(t.spark, "raster")
     scored = _chips(t).withColumn("cells", _prob())
-    rows = raster_table.with_metadata(_cells_of(scored), crs="EPSG:32636", bands=1)
-    return rows.select("chip_id", "x", "y", F.round("v", 4).alias("v"), "crs", "bands")
+    raster_table.write(raster_table.with_metadata(_cells_of(scored, "cells", "band"), crs="EPSG:32636", bands=1), folder, ["band"])
+    return t.spark.read.parquet(folder).select("chip_id", "x", "y", F.round("v", 4).alias("v"), "crs", "bands")
 
 
 @query("band_type_cast", "SELECT chip_id, x, y, CAST(least(255, greatest(0, floor(v * 2.5 - 100 + 0.5))) AS INTEGER) AS v FROM v_pixels")

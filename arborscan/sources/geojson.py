@@ -62,6 +62,11 @@ def read_collection(spark: SparkSession, path: str, properties: T.StructType) ->
     return _flatten(whole.select(F.explode("features").alias("_f")), "_f")
 
 
+def read_features(spark: SparkSession, path: str, properties: T.StructType) -> DataFrame:
+    """Features of newline-delimited files, properties and rings geometry per row."""
+    return parse_features(spark.read.text(path), properties)
+
+
 def write_features(df: DataFrame, path: str, geometry: str = "geometry", mode: str = "overwrite") -> None:
     """Newline-delimited features; the sink that scales with the number of tasks."""
     others = {c: F.col(c) for c in df.columns if c != geometry}
