@@ -23,7 +23,7 @@ from arborscan.operators.components import connected_components
 
 WORDS, SIMILARITY = 5, 80  # of stages without a contract of their own; similarity in hundredths
 BANDS, ROWS = 32, 5
-_TOGETHER, _BLOCK = 256, 256  # members compared with one copy of their pivot; members in one index
+_TOGETHER, _BLOCK, _STRIPE = 256, 256, 512  # members that pass one copy of their pivot; members in one index; members that pass one copy of an index
 
 _PROFILE = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"
 
@@ -119,14 +119,24 @@ def group_links(members: DataFrame, texts: DataFrame, words: int, similarity: in
     """Links (src, dst) in groups (pivot, member, label, alone) between members that are ``alone`` and all others.
 
     ``label`` names a document that the member is known to link with; for members of one label a
-    single link is enough. Members that are alone are cut into blocks of about ``_BLOCK``.
+    single link is enough. Members that are alone are cut into blocks of about ``_BLOCK``, and the
+    members that pass a block into stripes of about ``_STRIPE``, each with a copy of the index: no
+    task sees a whole group.
     """
-    counted = (members.groupBy("pivot").agg(F.ceil(F.count_if("alone") / _BLOCK).cast("int").alias("blocks"), F.count("*").alias("n"))
+    counted = (members.groupBy("pivot").agg(F.ceil(F.count_if("alone") / _BLOCK).cast("int").alias("blocks"), F.count("*").alias("n"),
+                                            F.ceil(F.count("*") / _STRIPE).cast("int").alias("stripes"))
                .where("blocks > 0 AND n > 1").drop("n"))
-    sized = members.join(counted, "pivot").select(F.col("pivot").alias("one"), F.col("member").alias("doc_id"), "label", "alone", "blocks")
-    indexed = sized.where("alone").select("one", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("part"), F.lit(0).alias("role"), "doc_id", "label")
-    passing = sized.select("one", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"),
-                           F.when(F.col("alone"), 2).otherwise(1).alias("role"), "doc_id", "label")
+    sized = members.join(counted, "pivot").select(F.col("pivot").alias("one"), F.col("member").alias("doc_id"), "label", "alone", "blocks", "stripes",
+                                                  F.xxhash64("member").alias("hash"))
+
+    def every(count: str):
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    place = (F.col("block") * F.col("stripes") + F.col("stripe")).cast("int").alias("part")
+    indexed = (sized.where("alone").withColumn("block", F.pmod("hash", "blocks")).withColumn("stripe", every("stripes"))
+               .select("one", place, F.lit(0).alias("role"), "doc_id", "label"))
+    passing = (sized.withColumn("stripe", F.pmod(F.shiftright("hash", 20), F.col("stripes"))).withColumn("block", every("blocks"))
+               .select("one", place, F.when(F.col("alone"), 2).otherwise(1).alias("role"), "doc_id", "label"))
 
     def compare(batches):
         index, docs, sets, place = None, [], [], None

@@ -70,8 +70,11 @@ def family(seed, count, words, changes):
     return out
 
 
-@pytest.mark.parametrize("words,similarity", [(3, 85), (5, 80)])
-def test_near_duplicates_match_brute_force(spark, words, similarity):
+@pytest.mark.parametrize("words,similarity,cut", [(3, 85, False), (5, 80, True)])
+def test_near_duplicates_match_brute_force(spark, monkeypatch, words, similarity, cut):
+    if cut:  # many parts, blocks and stripes
+        for name, size in (("_TOGETHER", 4), ("_BLOCK", 3), ("_STRIPE", 5)):
+            monkeypatch.setattr(neardup, name, size)
     texts = family(1, 40, 120, 6) + family(2, 25, 60, 3) + ["one two"] * 3 + ["ONE\ttwo", "İ one two", "a", "", None, "  \n", LONG, LONG + " end"]
     texts += [f"unlike text number {i} with words {i * 7}" for i in range(20)]
     docs = [(3 * i + 1, t) for i, t in enumerate(texts)]
