@@ -23,7 +23,7 @@ def _to_minimum(edges: DataFrame, larger_only: bool) -> DataFrame:
     return moved.unionByName(own).distinct()
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of an undirected edge table (src, dst).
 
     Alternating large-star and small-star steps (Kiveris et al., 2014): each is one
@@ -34,17 +34,15 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     both = edges.select("src", "dst").where(F.col("src") != F.col("dst"))
     current = cut_lineage(both.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
     before = _signature(current)
-    for _ in range(rounds):
+    while True:
         mirrored = current.unionByName(current.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         large = _to_minimum(mirrored, larger_only=True)
         downward = large.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).where("src <> dst")
         current = cut_lineage(_to_minimum(downward, larger_only=False))
         after = _signature(current)
-        if after == before:
+        if after == before:  # each step that changes anything moves links to smaller nodes, so this comes
             break
         before = after
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     stars = current.select(F.col("src").alias("node"), F.col("dst").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
 

@@ -62,13 +62,20 @@ def detect(chips: DataFrame, keys: list[str], forest: DataFrame, clouds: DataFra
 
 
 def flag(polygons: DataFrame, keys: list[str], forest: DataFrame, clouds: DataFrame) -> DataFrame:
-    """Polygons with area, box and 0/1 flags for the masks of their tile."""
+    """Polygons with area, box and 0/1 flags for the masks of their tile.
+
+    ``polygons`` and masks have rings in ``shape`` (a mask without that column is its box); the
+    flag asks whether the shapes themselves meet, so a mask in the notch of an L does not count.
+    """
     named = polygons.withColumn("det_id", F.concat_ws("/", *keys, "scene", "region", "part")).withColumn("area", rings.area(F.col("shape")))
     box = named.withColumn("_b", rings.bounds(F.col("shape"))).withColumns(
         {"x0": F.col("_b.xmin"), "y0": F.col("_b.ymin"), "x1": F.col("_b.xmax"), "y1": F.col("_b.ymax")}).drop("_b")
-    probe = box.select("tile_id", "det_id", "x0", "y0", "x1", "y1")
+    corners = ("x0", "y0", "x1", "y1")
+    probe = box.select("tile_id", "det_id", *corners, "shape")
     for name, masks in (("forest", forest), ("clouds", clouds)):
-        flags = spatial.knn_mask_flag(probe, masks, ["tile_id"], "det_id", "mask_id", 640, k=NEAREST)
+        shaped = masks if "shape" in masks.columns else masks.withColumn("shape", rings.rectangle(*[F.col(c) for c in corners]))
+        flags = spatial.knn_mask_flag(probe, shaped.select("tile_id", "mask_id", *corners, "shape"), ["tile_id"], "det_id", "mask_id", 640, k=NEAREST,
+                                      exact=lambda a, b: rings.intersects(a["shape"], b["shape"]))
         box = box.join(flags.select("det_id", F.col("flag").alias(name)), "det_id")
     return box
 

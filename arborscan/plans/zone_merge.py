@@ -5,26 +5,34 @@ detection within reach of stored clearcuts joins the zone of the one it overlaps
 is stored with the union of its own shape and theirs; one without neighbours founds a
 zone. Stored rows never change: a zone is an append-only history.
 
-The order only matters between detections that meet the same stored row, now or through
-rows still to come. A detection is due once none of its neighbours is waiting and it is the
-first waiting one of every row it meets; all due detections are handled together. (A row
-that reaches a detection later on would have to absorb one of the rows it meets, and
-whoever does that first waits in front of it.) Geometry work (neighbours, contacts, shared
-cells) happens once up front; the rounds are joins over identifiers, every round is
-checkpointed, and no group of detections has to fit into one task.
+The order only matters between detections that are near each other or near the same stored
+row. Connected components of this relation are independent. One of bounded size is walked
+through in its order in one task, however often its spot was revisited; components beyond
+that bound are settled in rounds: a detection is due once none of its neighbours is waiting
+and it is the first waiting one of every row it meets; all due detections are handled
+together. (A row that reaches a detection later on would have to absorb one of the rows it
+meets, and whoever does that first waits in front of it.) The rounds are joins over
+identifiers, every round is checkpointed, and no group has to fit into one task.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from arborscan.operators import cells, spatial
+from arborscan.operators.components import connected_components
 from arborscan.session import cut_lineage
 from arborscan.sources.stored import read_if_there
 
 REACH = 50.0
+TOGETHER = 4_000  # detections, rows and members of a component that one task walks through
 BOX = ["x0", "y0", "x1", "y1"]
 
 
@@ -49,7 +57,7 @@ def _union(first: DataFrame | None, second: DataFrame) -> DataFrame:
 
 
 def merge(new: DataFrame, rows: DataFrame, members: DataFrame, shapes: DataFrame, reach: float = REACH, cell: float = 1.0,
-          multipart: str = "drop", dates: str = "reference", rounds: int = 10_000) -> Merged:
+          multipart: str = "drop", dates: str = "reference", together: int = TOGETHER) -> Merged:
     """Merge ``new`` into the stored clearcuts.
 
     new:     id, seq, tile_id, image_date_0, image_date_1, area, x0..y1 (seq: total order)
@@ -70,18 +78,146 @@ def merge(new: DataFrame, rows: DataFrame, members: DataFrame, shapes: DataFrame
 
     near = spatial.within_distance(fresh, everyone, ["tile_id"], reach)
     near = near.where((F.col("a.id") != F.col("b.id")) & (F.col("b.seq").isNull() | (F.col("b.seq") < F.col("a.seq"))))
-    near = cut_lineage(near.select("a.tile_id", F.col("a.id").alias("p"), F.col("b.id").alias("q"),
+    near = cut_lineage(near.select("a.tile_id", F.col("a.id").alias("p"), F.col("b.id").alias("q"), F.col("b.seq").isNull().alias("old"),
                                    _contact(F.col("a"), F.col("b")).alias("touch"),
                                    *[f(f"a.{c}", f"b.{c}").alias(c) for f, c in zip((F.greatest, F.greatest, F.least, F.least), BOX)]))
-    shared = cut_lineage(cells.from_boxes(near.where((F.col("x0") < F.col("x1")) & (F.col("y0") < F.col("y1"))).select(
-        F.struct("p", "q").alias("pq"), *BOX), "pq", cell).select("pq.p", "pq.q", "cx", "cy"))
-    near = near.select("p", "q", "touch")
-
     # only clearcuts with a member near a new shape can change the outcome
-    active = members.join(near.select(F.col("q").alias("member")).distinct(), "member", "left_semi").select("row_id").distinct()
+    active = members.join(near.where("old").select(F.col("q").alias("member")).distinct(), "member", "left_semi").select("row_id").distinct()
     held = cut_lineage(members.join(active, "row_id", "left_semi").select("row_id", "member"))
     known = cut_lineage(rows.join(active.withColumnRenamed("row_id", "id"), "id", "left_semi")
                         .select(F.col("id").alias("row_id"), "seq", "zone_id", F.col("image_date_previous").alias("prev")))
+
+    of_new, of_row = 2 * F.col("p"), 2 * F.col("row_id") + 1
+    edges = (near.where("NOT old").select(of_new.alias("src"), (2 * F.col("q")).alias("dst"))
+             .unionByName(near.where("old").join(held, F.col("q") == F.col("member")).select(of_new.alias("src"), of_row.alias("dst"))))
+    labels = cut_lineage(connected_components(edges))
+    labelled = cut_lineage(new.join(labels.withColumnRenamed("node", "_node"), 2 * F.col("id") == F.col("_node"), "left").drop("_node"))
+    alone = labelled.where("component IS NULL").select(
+        "id", "seq", "tile_id", "area", F.concat_ws("/", "tile_id", "id").alias("zone_id"),
+        F.col("image_date_0").alias("image_date_previous"), F.col("image_date_1").alias("image_date_current"))
+    founded = Merged(alone, alone.select(F.col("id").alias("row_id"), F.col("id").alias("member")), alone.limit(0).select("id", "tile_id", "area"))
+
+    row_labels = labels.where("node % 2 = 1").select(((F.col("node") - 1) / 2).cast("long").alias("row_id"), "component")
+    grouped = labelled.where("component IS NOT NULL")
+    parts = held.join(row_labels, "row_id")
+    size = (grouped.select("component").unionByName(known.join(row_labels, "row_id").select("component")).unionByName(parts.select("component"))
+            .groupBy("component").agg(F.count("*").alias("n")))
+    small = cut_lineage(size.where(F.col("n") <= together).select("component"))
+    results = [founded, _walked(grouped, known.join(row_labels, "row_id"), parts, shapes, small, reach, cell, multipart, dates)]
+    large = cut_lineage(grouped.join(small, "component", "left_anti").drop("component"))
+    if not large.isEmpty():
+        near = near.join(large.select(F.col("id").alias("p")), "p", "left_semi")
+        results.append(_rounds(large, everyone, near, held, known, reach, cell, multipart, dates))
+    return Merged(*[reduce(DataFrame.unionByName, [getattr(r, name) for r in results]) for name in ("stored", "members", "rejected")])
+
+
+_ENTRY = ["seq", "id", "is_new", *BOX, "image_date_0", "image_date_1", "zone_id", "prev"]
+_OUTCOME = "kind string, id long, other long, zone_id string, image_date_previous date, image_date_current date"
+
+
+def _walked(grouped: DataFrame, known: DataFrame, parts: DataFrame, shapes: DataFrame, small: DataFrame, reach: float, cell: float,
+            multipart: str, dates: str) -> Merged:
+    """Walk through the ``small`` components, each as one row of its detections and rows in order and of its members."""
+    fresh = grouped.withColumns({"is_new": F.lit(True), "zone_id": F.concat_ws("/", "tile_id", "id"), "prev": F.lit(None).cast("date")})
+    rows = known.withColumns({"id": F.col("row_id"), "is_new": F.lit(False), **{c: F.lit(None).cast(grouped.schema[c].dataType) for c in
+                                                                             (*BOX, "image_date_0", "image_date_1")}})
+    entries = (fresh.select("component", *_ENTRY).unionByName(rows.select("component", *_ENTRY)).join(small, "component", "left_semi")
+               .groupBy("component").agg(F.array_sort(F.collect_list(F.struct(*_ENTRY))).alias("entries")))
+    boxed = parts.join(small, "component", "left_semi").join(shapes.select(F.col("id").alias("member"), *BOX), "member")
+    united = boxed.groupBy("component").agg(F.collect_list(F.struct("row_id", "member", *BOX)).alias("parts"))
+    plain = entries.join(united, "component", "left").select(
+        F.transform("entries", lambda e: F.struct(*[e[c].alias(c) for c in _ENTRY if c != "seq"])).alias("entries"), "parts")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for entries_, parts_ in zip(frame["entries"], frame["parts"]):
+                yield pd.DataFrame(list(_walk(entries_, parts_ if parts_ is not None else [], reach, cell, multipart, dates)),
+                                   columns=["kind", "id", "other", "zone_id", "image_date_previous", "image_date_current"])
+
+    out = cut_lineage(plain.mapInPandas(run, _OUTCOME))
+    keyed = grouped.select("id", "seq", "tile_id", "area")
+    stored = out.where("kind = 'stored'").drop("kind", "other").join(keyed, "id").select(
+        "id", "seq", "tile_id", "area", "zone_id", "image_date_previous", "image_date_current")
+    rejected = out.where("kind = 'rejected'").select("id").join(keyed, "id").select("id", "tile_id", "area")
+    return Merged(stored, out.where("kind = 'member'").select(F.col("id").alias("row_id"), F.col("other").alias("member")), rejected)
+
+
+def _gap_sq(a, b) -> float:
+    dx, dy = max(0.0, a[0] - b[2], b[0] - a[2]), max(0.0, a[1] - b[3], b[1] - a[3])
+    return dx * dx + dy * dy
+
+
+def _meet(a, b) -> bool:
+    dx, dy = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+    return dx >= 0 and dy >= 0 and (dx > 0 or dy > 0)
+
+
+def _common_cells(own, others, cell: float) -> int:
+    """Cells of ``own`` whose centre also lies in one of ``others``."""
+    first = lambda v: math.ceil(v / cell - 0.5)
+    x0, y0, x1, y1 = map(first, own)
+    grid = np.zeros((max(0, y1 - y0), max(0, x1 - x0)), bool)
+    for box in others:
+        a, b, c, d = (first(v) - o for v, o in zip(box, (x0, y0, x0, y0)))
+        if c > 0 and d > 0:
+            grid[max(0, b): d, max(0, a): c] = True
+    return int(grid.sum())
+
+
+def _walk(entries, parts, reach: float, cell: float, multipart: str, dates: str):
+    """Outcome records of one component, its entries in order of seq; a detection's own zone_id is that of the zone it would found."""
+    box = {p["member"]: tuple(p[c] for c in BOX) for p in parts}
+    rows, rank = {}, {}
+    for place, e in enumerate(entries):
+        rank[(e["is_new"], e["id"])] = place
+        if not e["is_new"]:
+            rows[(False, e["id"])] = {"zone": e["zone_id"], "prev": e["prev"], "members": set()}
+    for p in parts:
+        rows[(False, p["row_id"])]["members"].add(p["member"])
+    for e in entries:
+        if not e["is_new"]:
+            continue
+        key, own = e["id"], tuple(e[c] for c in BOX)
+        close = {m for m, b in box.items() if _gap_sq(own, b) <= reach * reach}
+        hits = [k for k, row in rows.items() if not close.isdisjoint(row["members"])]
+        box[key] = own
+        if hits and multipart == "drop" and not _whole(own, [rows[k]["members"] for k in hits], box):
+            del box[key]  # no row has it as a member
+            yield "rejected", key, None, None, None, None
+            continue
+        members = {key}.union(*[rows[k]["members"] for k in hits])
+        if hits:
+            best = min(hits, key=lambda k: (-_common_cells(own, [box[m] for m in rows[k]["members"]], cell), rank[k]))
+            zone, earliest = rows[best]["zone"], min(rows[k]["prev"] for k in hits)
+            previous, current = (e["image_date_0"], earliest) if dates == "reference" else (min(e["image_date_0"], earliest), e["image_date_1"])
+        else:
+            zone, previous, current = e["zone_id"], e["image_date_0"], e["image_date_1"]
+        rows[(True, key)] = {"zone": zone, "prev": previous, "members": members}
+        yield "stored", key, None, zone, previous, current
+        for member in members:
+            yield "member", key, member, None, None, None
+
+
+def _whole(own, groups: list[set], box: dict) -> bool:
+    """Whether all groups of shapes, each in one piece, hang together with ``own``."""
+    reached, apart = [own], list(groups)
+    inside: set = set()
+    while apart:
+        more = [g for g in apart if not inside.isdisjoint(g) or any(_meet(r, box[m]) for m in g for r in reached)]
+        if not more:
+            return False
+        reached = [box[m] for g in more for m in g - inside] or reached
+        inside.update(*more)
+        apart = [g for g in apart if g not in more]
+    return True
+
+
+def _rounds(new: DataFrame, everyone: DataFrame, near: DataFrame, held: DataFrame, known: DataFrame, reach: float, cell: float,
+            multipart: str, dates: str) -> Merged:
+    """Settle components of any size in rounds."""
+    shared = cut_lineage(cells.from_boxes(near.where((F.col("x0") < F.col("x1")) & (F.col("y0") < F.col("y1"))).select(
+        F.struct("p", "q").alias("pq"), *BOX), "pq", cell).select("pq.p", "pq.q", "cx", "cy"))
+    near = near.select("p", "q", "touch")
     parts = everyone.join(held.select(F.col("member").alias("id")).unionByName(near.select(F.col("p").alias("id")))
                           .unionByName(near.select(F.col("q").alias("id"))).distinct(), "id", "left_semi")
     contacts = cut_lineage(spatial.box_join(parts.drop("seq"), parts.drop("seq"), ["tile_id"], max(reach, 1.0),
@@ -90,7 +226,8 @@ def merge(new: DataFrame, rows: DataFrame, members: DataFrame, shapes: DataFrame
 
     waiting = new.select(F.col("id").alias("p"), "seq")
     stored = rejected = added = None
-    for _ in range(rounds):
+    turn = 0
+    while True:
         met = cut_lineage(near.join(waiting, "p").join(held, F.col("q") == F.col("member"))
                           .groupBy("p", "seq", "row_id").agg(F.bool_or("touch").alias("touch")))
         first_in_line = met.groupBy("row_id").agg(F.min("seq").alias("_first"))
@@ -126,9 +263,11 @@ def merge(new: DataFrame, rows: DataFrame, members: DataFrame, shapes: DataFrame
         waiting = cut_lineage(waiting.join(ready, "p", "left_anti"))
         if waiting.isEmpty():
             return Merged(stored, added, rejected)
+        turn += 1
+        if turn % 8 == 0:  # else the plans of all rounds would add up
+            stored, rejected, added, held, known = (cut_lineage(x) for x in (stored, rejected, added, held, known))
         held = held.unionByName(unions)
         known = known.unionByName(saved.select(F.col("id").alias("row_id"), "seq", "zone_id", F.col("image_date_previous").alias("prev")))
-    raise RuntimeError(f"merge did not settle in {rounds} rounds")
 
 
 def _one_piece(hits: DataFrame, held: DataFrame, contacts: DataFrame) -> DataFrame:

@@ -52,15 +52,23 @@ def dwithin_join(t: Tables):
     return pairs.select("a.truth_id", "b.det_id")
 
 
+def _ells_meet(a: str, b: str) -> str:
+    """SQL: two such shapes have a point in common; each is its lower and its left half."""
+    halves = lambda t: ((f"{t}.x0", f"{t}.y0", f"{t}.x1", f"({t}.y0 + {t}.y1) / 2.0"), (f"{t}.x0", f"{t}.y0", f"({t}.x0 + {t}.x1) / 2.0", f"{t}.y1"))
+    return "(" + " OR ".join(f"({p[0]} <= {q[2]} AND {q[0]} <= {p[2]} AND {p[1]} <= {q[3]} AND {q[1]} <= {p[3]})" for p in halves(a) for q in halves(b)) + ")"
+
+
 @query("knn_mask_flag", f"""
-WITH r AS (SELECT d.det_id, CASE WHEN {_sql(_HIT, 'd', 'm')} THEN 1 ELSE 0 END AS hit,
+WITH r AS (SELECT d.det_id, CASE WHEN {_ells_meet('d', 'm')} THEN 1 ELSE 0 END AS hit,
   row_number() OVER (PARTITION BY d.det_id, m.kind ORDER BY (d.x0 + d.x1 - m.x0 - m.x1) ** 2 + (d.y0 + d.y1 - m.y0 - m.y1) ** 2, m.mask_id) AS r, m.kind
   FROM v_detections d JOIN v_masks m ON d.tile_id = m.tile_id)
 SELECT det_id, CAST(max(CASE WHEN kind = 'forest' THEN hit ELSE 0 END) AS INTEGER) AS forest,
        CAST(max(CASE WHEN kind = 'cloud' THEN hit ELSE 0 END) AS INTEGER) AS clouds FROM r WHERE r <= 10 GROUP BY det_id""")
 def knn_mask_flag(t: Tables):
+    """L-shaped detections and masks: the shapes themselves have to meet, not their boxes."""
     det = _det(t)
-    forest, clouds = (spatial.knn_mask_flag(det, _masks(t, kind), ["tile_id"], "det_id", "mask_id", 64)
+    meet = lambda a, b: rings.intersects(_ell(*[a[c] for c in BOX]), _ell(*[b[c] for c in BOX]))
+    forest, clouds = (spatial.knn_mask_flag(det, _masks(t, kind), ["tile_id"], "det_id", "mask_id", 64, exact=meet)
                       .select("det_id", F.col("flag").alias(name)) for kind, name in (("forest", "forest"), ("cloud", "clouds")))
     return forest.join(clouds, "det_id")
 

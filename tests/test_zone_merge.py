@@ -68,8 +68,8 @@ def collect(result, boxes):
             for r in result.stored.collect()}
 
 
-@pytest.mark.parametrize("multipart", ["drop", "keep"])
-def test_against_sequential_walk(spark, multipart):
+@pytest.mark.parametrize("multipart,together", [("drop", zone_merge.TOGETHER), ("keep", zone_merge.TOGETHER), ("drop", 12)])
+def test_against_sequential_walk(spark, multipart, together):
     new = fixture(7)
     want, rejected = walk(new, 3, multipart)
     boxes = {r[0]: r[6:] for r in new}
@@ -80,17 +80,31 @@ def test_against_sequential_walk(spark, multipart):
     half = [r for r in new if r[0] < 35]
     rows = empty("id long, seq long, tile_id long, zone_id string, image_date_previous date")
     members, shapes = empty("row_id long, member long"), empty("id long, tile_id long, x0 double, y0 double, x1 double, y1 double")
-    first = zone_merge.merge(spark.createDataFrame(half, NEW), rows, members, shapes, reach=3.0, multipart=multipart)
+    first = zone_merge.merge(spark.createDataFrame(half, NEW), rows, members, shapes, reach=3.0, multipart=multipart, together=together)
     got = collect(first, boxes)
     kept_shapes = spark.createDataFrame(half, NEW).join(first.stored.select("id"), "id", "left_semi").select("id", "tile_id", "x0", "y0", "x1", "y1")
     second = zone_merge.merge(spark.createDataFrame([r for r in new if r[0] >= 35], NEW), first.stored, first.members, kept_shapes,
-                              reach=3.0, multipart=multipart)
+                              reach=3.0, multipart=multipart, together=together)
     got.update(collect(second, boxes))
     assert got == want
     assert {r["id"] for r in first.rejected.unionByName(second.rejected).collect()} == rejected
     assert len({v[0] for v in want.values()}) < len(want) and (multipart == "keep" or rejected)
 
 
+def test_a_spot_revisited_many_times(spark, monkeypatch):
+    """A long history of one spot settles in one walk."""
+    cuts = []
+    monkeypatch.setattr(zone_merge, "cut_lineage", lambda df, cut=zone_merge.cut_lineage: cuts.append(1) or cut(df))
+    new = [(i, i, 0, DAY + dt.timedelta(i), DAY + dt.timedelta(i + 1), 25.0, 0.0 + i % 3, 0.0, 5.0 + i % 3, 5.0) for i in range(60)]
+    args = [spark.createDataFrame([], s) for s in ("id long, seq long, tile_id long, zone_id string, image_date_previous date",
+                                                   "row_id long, member long", "id long, tile_id long, x0 double, y0 double, x1 double, y1 double")]
+    result = zone_merge.merge(spark.createDataFrame(new, NEW), *args, reach=3.0)
+    want = {i: ("0/0", DAY + dt.timedelta(i), DAY if i else DAY + dt.timedelta(1)) for i in range(60)}
+    assert {r["id"]: (r["zone_id"], r["image_date_previous"], r["image_date_current"]) for r in result.stored.collect()} == want
+    assert result.members.count() == 60 * 61 / 2
+    assert len(cuts) < 20
+
+
 def test_fixed_dates(spark):
     new = [(1, 1, 0, DAY, DAY + dt.timedelta(5), 4.0, 0.0, 0.0, 2.0, 2.0), (2, 2, 0, DAY + dt.timedelta(5), DAY + dt.timedelta(10), 4.0, 1.0, 1.0, 3.0, 3.0)]
     args = [spark.createDataFrame([], s) for s in ("id long, seq long, tile_id long, zone_id string, image_date_previous date",
