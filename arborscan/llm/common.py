@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from arborscan.session import work_folder
 
@@ -30,8 +30,6 @@ def ranked(rows: DataFrame, key: list[str], order: list[str | Column], name: str
     counts (one row per key and bucket) starts each bucket's own numbering. Which rank a row gets
     is settled by its content alone; equal rows share their ranks among each other.
     """
-    from pyspark.sql import Window
-
     buckets = parallelism(rows.sparkSession)
     dealt = rows.withColumn("_bucket", F.pmod(F.xxhash64(*rows.columns), F.lit(buckets)).cast("int"))
     counts = dealt.groupBy(*key, "_bucket").agg(F.count("*").alias("_n"))

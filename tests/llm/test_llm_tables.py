@@ -137,6 +137,12 @@ def test_articles_without_the_rest(spark):
     assert htmltext.extract(df.limit(0), htmltext.learn(df.limit(0))).count() == 0
 
 
+def test_names_that_only_sound_like_the_rest():
+    page = ("<body class='has-sidebar'><div class='site-header'>Top</div><article class='post-12 comments-open has-sidebar'><p>Kept</p><div class='post-content has-ads'>Also</div>"
+            "<div class='ad-slot-3'>Buy</div><section id='comments'><article class='comment'>Reader</article></section></article><div class='main-nav'>Nav</div></body>")
+    assert htmltext.extracted(page, None) == ("Kept Also", False)
+
+
 def test_wrappers_fold_and_align():
     def keys(text):
         return text.split()
