@@ -16,7 +16,7 @@ HEADLINE = [
     "zone_area_chart", "detection_area_filter",
     # spatial
     "dwithin_join", "knn_mask_flag", "knn_topk", "iou_pair_join", "overlay_intersection", "connected_components",
-    "region_union", "zone_assign_max_overlap", "greedy_match",
+    "region_union", "zone_assign_max_overlap", "greedy_match", "replay_results",
     # raster
     "ndvi", "band_statistics", "sigma_clip_scale", "histogram_match", "erode3_close5", "close5_dilate3", "mosaic",
     "polygonize", "otsu_threshold", "score_chips",
