@@ -109,6 +109,9 @@ def search(table: DataFrame, is_query, k: int = 20, tables: int = TABLES, probes
         scores = np.zeros((len(q), len(x)))
         for d in range(hashing.dims):
             scores += q[:, d, None] * x[None, :, d]
+        ids, first = np.unique(ids, return_index=True)
+        if len(first) < len(x):  # rows that repeat an id: the best one
+            scores = np.maximum.reduceat(scores, first, axis=1)
         scores[asked[:, None] == ids[None, :]] = -np.inf
         keep = min(k, len(ids))
         least = np.partition(scores, -keep, axis=1)[:, -keep]

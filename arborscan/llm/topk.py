@@ -84,21 +84,29 @@ class SlicedBlock:
         return out
 
     def best(self, weights: np.ndarray, own_id: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best rows but those of ``own_id``: highest score first, ties to smaller ids."""
+        """(ids, scores) of the k best ids but ``own_id``, each with its best row: highest score first, ties to smaller ids."""
         among = self.all.copy()
         for row in range(*np.searchsorted(self.ids, [own_id, own_id + 1])):
             among[row // 64] &= ~(np.uint64(1) << np.uint64(row % 64))
-        rows = among
-        if self._count(among) > k:
-            slices = self.sums(weights)
-            least = self._kth(slices, among, k)
-            # the bits left out add at most this much to the difference of two rows
-            slack = ((1 << self.left_out) - 1) * int(np.abs(weights).sum())
-            rows = self._at_least(slices, among, least - -(-slack >> self.left_out))
-        picked = np.flatnonzero(np.unpackbits(rows.view(np.uint8), bitorder="little"))
-        scores = self.values[picked] @ weights
-        order = np.argsort(-scores, kind="stable")[:k]
-        return self.ids[picked[order]], scores[order]
+        total, wanted, slices = self._count(among), k, None
+        while True:
+            rows = among
+            if total > wanted:
+                slices = slices or self.sums(weights)
+                least = self._kth(slices, among, wanted)
+                # the bits left out add at most this much to the difference of two rows
+                slack = ((1 << self.left_out) - 1) * int(np.abs(weights).sum())
+                rows = self._at_least(slices, among, least - -(-slack >> self.left_out))
+            picked = np.flatnonzero(np.unpackbits(rows.view(np.uint8), bitorder="little"))
+            scores = self.values[picked] @ weights
+            order = np.argsort(-scores, kind="stable")
+            # the first ``wanted`` rows are the best ones; if they repeat ids, more rows are looked at
+            sure = order if total <= wanted else order[:wanted]
+            first = np.sort(np.unique(self.ids[picked[sure]], return_index=True)[1])[:k]
+            if len(first) == k or total <= wanted:
+                best = sure[first]
+                return self.ids[picked[best]], scores[best]
+            wanted *= 2
 
     @staticmethod
     def _count(bitmap: np.ndarray) -> int:

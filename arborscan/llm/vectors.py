@@ -14,11 +14,14 @@ FOUND = "query_id long, vec_id long, score {}"
 
 
 def usable(table: DataFrame, nonzero: bool = False) -> DataFrame:
-    """(vec_id, v array<double>) of rows with an id and only finite components; with ``nonzero``, not all of them zero."""
+    """(vec_id, v array<double>) of rows with an id and only finite components; with ``nonzero``, not all of them zero.
+
+    Equal rows come out once: they would share a block and crowd out others there.
+    """
     v = F.transform("embedding", lambda x: x.cast("double"))
     kept = table.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(
         "vec_id IS NOT NULL AND v IS NOT NULL AND size(v) > 0 AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity'))")
-    return kept.where("exists(v, x -> x <> 0)") if nonzero else kept
+    return stored((kept.where("exists(v, x -> x <> 0)") if nonzero else kept).distinct(), "vectors")
 
 
 def matrix(vectors: pd.Series, dims: int) -> np.ndarray:

@@ -59,6 +59,29 @@ def test_top_k_is_exact(spark, monkeypatch):
     assert topk.search(df.where("vec_id in (0, 1)"), F.col("vec_id") == 0).count() == 1
 
 
+def test_repeated_ids_do_not_crowd_out_others(spark):
+    draw = np.random.default_rng(6)
+    x = draw.normal(size=(120, 6))
+    x[3] *= 9  # the best of many queries stands fifty times, with unlike rows too
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] * 2 + [(3, [float(v) for v in x[3]])] * 50
+    rows += [(3, [float(v) for v in x[3] * (1 + n / 100)]) for n in range(1, 41)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    vectors = {}
+    for i, v in rows:
+        vectors.setdefault(i, set()).add(tuple(v))
+
+    def want(query, k, score):
+        best = sorted((-max(score(q, v) for q in vectors[query] for v in vectors[j]), j) for j in vectors if j != query)[:k]
+        return [(query, n + 1, j) for n, (_, j) in enumerate(best)]
+
+    whole = lambda q, v: sum(int(np.floor(256 * a)) * int(np.floor(256 * b)) for a, b in zip(q, v))
+    got = [(r.query_id, r.rank, r.vec_id) for r in topk.search(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()]
+    assert got == [x for i in range(0, 120, 20) for x in want(i, 5, whole)]
+    got = {(r.query_id, r.vec_id) for r in ann.search(df, F.col("vec_id") % 20 == 0, k=5).collect()}
+    exact = {(i, j) for i in range(0, 120, 20) for _, _, j in want(i, 5, lambda q, v: float(np.dot(q, v)))}
+    assert len(got) == 30 and len(got & exact) >= 0.9 * 30
+
+
 def test_sliced_sums_and_digits():
     draw = np.random.default_rng(4)
     for value in (*range(-40, 41), 255, -256, 1000):
