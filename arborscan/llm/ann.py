@@ -7,10 +7,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from arborscan.llm.common import stored
 from arborscan.llm.vectors import FOUND, blocked, matrix, merged, usable
 
 TABLES, PROBES, SEED = 8, 28, 11
 ROWS, QUERIES = 1 << 13, 1 << 10
+STEPS, FEW = 4, 1 << 11  # ranges of norms in a power of two; rows of a range that are all compared
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -28,12 +30,11 @@ class CrossPolytope:
     """Hash tables over unit vectors: each rotates by three rounds of random signs and Hadamard transform.
 
     A vector's bucket is the signed axis nearest to it; a query probes the axes nearest to it.
-    Inner products become angles: points are divided by the largest norm and one more component
-    makes their length one; for queries that component is 0.
+    Only directions count: the points of one set of tables have about the same length.
     """
 
-    def __init__(self, dims: int, norm: float, tables: int = TABLES, seed: int = SEED):
-        self.dims, self.norm, self.tables = dims, norm, tables
+    def __init__(self, dims: int, tables: int = TABLES, seed: int = SEED):
+        self.dims, self.tables = dims, tables
         self.width = 1 << dims.bit_length()
         self.signs = np.random.default_rng(seed).choice([-1.0, 1.0], (tables, 3, self.width))
 
@@ -42,15 +43,14 @@ class CrossPolytope:
             unit = hadamard(unit * signs)
         return unit
 
-    def _padded(self, x: np.ndarray) -> np.ndarray:
+    def _unit(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros((len(x), self.width))
-        out[:, : self.dims] = x
-        return out
+        out[:, : self.dims] = x / np.abs(x).max(axis=1, keepdims=True)
+        return out / np.sqrt((out ** 2).sum(axis=1, keepdims=True))
 
     def points(self, x: np.ndarray) -> np.ndarray:
         """(rows, tables) buckets: the axis, plus the width for its negative side."""
-        unit = self._padded(x / self.norm)
-        unit[:, self.dims] = np.sqrt(np.maximum(0, 1 - (unit ** 2).sum(axis=1)))
+        unit = self._unit(x)
         out = np.empty((len(x), self.tables), np.int32)
         for table in range(self.tables):
             turned = self._rotated(unit, table)
@@ -60,7 +60,7 @@ class CrossPolytope:
 
     def probes(self, x: np.ndarray, count: int) -> np.ndarray:
         """(rows, tables, count) buckets of the axes nearest to each query, nearest first."""
-        unit = self._padded(x / np.sqrt((x ** 2).sum(axis=1))[:, None])
+        unit = self._unit(x)
         out = np.empty((len(x), self.tables, count), np.int32)
         for table in range(self.tables):
             turned = self._rotated(unit, table)
@@ -72,20 +72,27 @@ def search(table: DataFrame, is_query, k: int = 20, tables: int = TABLES, probes
     """(query_id, rank, vec_id, score): the ``k`` largest inner products found for each query, its own row excepted.
 
     ``table`` has (vec_id, embedding; more columns are left out), ``is_query`` is a condition on
-    vec_id. Candidates are all rows in a query's probed buckets of any table, none dropped;
+    vec_id. Rows are parted by their norms into ranges of a factor of 2 ** (1 / ``STEPS``), and every
+    range is searched, so that within one the nearest directions have the largest products. In a
+    range of up to ``FEW`` rows all are candidates, in others all rows in a query's probed buckets
+    of any table, none dropped; a query whose buckets hold fewer than k meets the whole range.
     ``score`` is the inner product of the original vectors, summed component by component in
     double precision, ties to the smaller id. Rows with a null id, null or zero vectors or null or
     non-finite components take no part; shorter vectors are padded with zeros. Rows that repeat an
     id are one candidate. Fewer candidates than k are all returned; an empty table gives none.
 
     Hard case: independent unit vectors, whose nearest ones are hardly nearer than the rest. There
-    the defaults find over 0.9 of the 20 nearest from 500 rows on, looking at half of all pairs.
+    the defaults find over 0.9 of the 20 nearest at any size, looking at half of all pairs in large ranges.
     """
-    rows = usable(table, nonzero=True)
-    norm2 = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    dims, norm = rows.agg(F.max(F.size("v")), F.max(F.sqrt(norm2))).first()
-    hashing = CrossPolytope(dims or 1, norm or 1.0, tables)
+    largest = F.array_max(F.transform("v", F.abs))
+    log2 = F.log2(largest) + F.log2(F.aggregate("v", F.lit(0.0), lambda s, x: s + (x / largest) * (x / largest))) / 2
+    rows = usable(table, nonzero=True).withColumn("norm_range", F.round(log2 * STEPS).cast("int"))
+    dims = rows.agg(F.max(F.size("v"))).first()[0]
+    hashing = CrossPolytope(dims or 1, tables)
     buckets = min(probes, 2 * hashing.width)
+    sizes = {r["norm_range"]: r["count"] for r in rows.groupBy("norm_range").count().collect()}  # a few per power of two
+    few, many = (F.split(F.lit(",".join(str(r) for r, n in sorted(sizes.items()) if (n > FEW) == large)), ",").try_cast("array<int>") for large in (False, True))
+    hashed_ranges = any(n > FEW for n in sizes.values())
 
     def keyed(side: DataFrame, ask: bool) -> DataFrame:
         def hashed(batches):
@@ -93,16 +100,26 @@ def search(table: DataFrame, is_query, k: int = 20, tables: int = TABLES, probes
                 x = matrix(batch.column(1).to_pandas(), hashing.dims)
                 codes = hashing.probes(x, buckets) if ask else hashing.points(x)[:, :, None]
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(codes.ravel()), codes[0].size) if len(x) else pa.array([], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists.cast(pa.list_(pa.int32()))], ["vec_id", "v", "codes"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, lists.cast(pa.list_(pa.int32()))], ["vec_id", "v", "norm_range", "codes"])
+
+        def among(ranges):
+            return (side.withColumn("norm_range", F.explode(ranges)) if ask else side.where(F.array_contains(ranges, F.col("norm_range")))).select("vec_id", "v", "norm_range")
 
+        whole = among(few).withColumns({"hash_table": F.lit(-1), "bucket": F.lit(0)})
+        if not hashed_ranges:
+            return whole
         each = buckets if ask else 1
-        coded = side.mapInArrow(hashed, "vec_id long, v array<double>, codes array<int>")
-        return coded.select("vec_id", "v", F.posexplode("codes").alias("at", "bucket")).select(
-            "vec_id", "v", F.floor(F.col("at") / each).cast("int").alias("hash_table"), "bucket")
+        once = side.withColumn("norm_range", F.lit(0)).select("vec_id", "v", "norm_range") if ask else among(many)  # a query's probes are those of every range
+        coded = once.mapInArrow(hashed, "vec_id long, v array<double>, norm_range int, codes array<int>")
+        if ask:
+            coded = coded.withColumn("norm_range", F.explode(many))
+        placed = coded.select("vec_id", "v", "norm_range", F.posexplode("codes").alias("at", "bucket")).select(
+            "vec_id", "v", "norm_range", F.floor(F.col("at") / each).cast("int").alias("hash_table"), "bucket")
+        return placed.unionByName(whole) if any(n <= FEW for n in sizes.values()) else placed
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "norm_range": []})
         left = left.sort_values("row_id", kind="stable")
         ids, asked = left["row_id"].to_numpy(), right["query_id"].to_numpy()
         x, q = matrix(left["x"], hashing.dims), matrix(right["q"], hashing.dims)
@@ -121,8 +138,15 @@ def search(table: DataFrame, is_query, k: int = 20, tables: int = TABLES, probes
         row, column, value = row[order], column[order], value[order]
         first = np.searchsorted(row, np.arange(len(q)))
         top = np.arange(len(row)) - first[row] < keep
-        return pd.DataFrame({"query_id": asked[row[top]], "vec_id": ids[column[top]], "score": value[top]})
-
-    found = blocked(keyed(rows, False), keyed(rows.where(is_query), True), ["hash_table", "bucket"], compare,
-                    FOUND.format("double"), ROWS, QUERIES)
+        return pd.DataFrame({"query_id": asked[row[top]], "vec_id": ids[column[top]], "score": value[top], "norm_range": left["norm_range"].iloc[0]})
+
+    schema = FOUND.format("double") + ", norm_range int"
+    queries = rows.where(is_query)
+    found = blocked(keyed(rows, False), keyed(queries, True), ["norm_range", "hash_table", "bucket"], compare, schema, ROWS, QUERIES)
+    if hashed_ranges:
+        found = stored(found, "found")
+        seen = found.groupBy("query_id", "norm_range").agg(F.count_distinct("vec_id").alias("n")).withColumnRenamed("query_id", "vec_id")
+        short = (queries.withColumn("norm_range", F.explode(many)).join(seen, ["vec_id", "norm_range"], "left")
+                 .where(F.coalesce("n", F.lit(0)) < k).select("vec_id", "v", "norm_range"))
+        found = found.unionByName(blocked(rows, short, ["norm_range"], compare, schema, ROWS, QUERIES))
     return merged(found, k)

@@ -134,6 +134,28 @@ def test_nearest_neighbours_of_odd_vectors(spark, monkeypatch):
     assert ann.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("kind, n", [("one long row", 5000), ("lognormal norms", 5000), ("far from all", 5000), ("unit", 15), ("unit", 60)])
+def test_nearest_neighbours_of_any_norms(spark, monkeypatch, kind, n):
+    monkeypatch.setattr(ann, "FEW", 700, raising=False)
+    draw = np.random.default_rng(9)
+    x = draw.normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    if kind == "one long row":
+        x[1] *= 40
+    elif kind == "lognormal norms":
+        x *= np.exp(draw.normal(size=(n, 1)))
+    elif kind == "far from all":  # no query's bucket holds a row but some of the queries
+        x = np.where(np.arange(n)[:, None] % 100 == 0, x[:1], -x[:1]) + x / 1000
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % (100 if n > 1000 else 5) == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    asked = range(0, n, 100 if n > 1000 else 5)
+    want = {i: set([j for j in np.argsort(-(x @ x[i]), kind="stable").tolist() if j != i][:20]) for i in asked}
+    assert all(len(got[i]) == len(want[i]) for i in asked)
+    assert sum(len(got[i] & want[i]) for i in asked) >= (0.9 if n > 1000 else 1) * sum(map(len, want.values()))
+
+
 PAGE = """<!DOCTYPE html><html><head><title>Title</title><style>p{{}}</style><script>var a="<p>no</p>";</script></head><body class="page">
 <header><h1>Site</h1></header><nav><ul><li><a href="/a">Menu {n}</a></li></ul></nav><div class="cookie-notice">We use cookies</div>
 <div class="sidebar"><p>Side {n}</p></div><article><h1>Head&amp;line {n}</h1>{body}<aside>Related</aside><form><label>Name</label></form></article>
