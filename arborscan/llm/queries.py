@@ -175,6 +175,6 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All page urls judged by rules, else by host reputation; outcomes are the labels of the documents the urls name."""
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
     named = F.regexp_extract(urlfilter.path(F.col("url")), "/([0-9]+)", 1).try_cast("long")
-    outcomes = pages.select("page_id", named.alias("doc_id")).join(
-        labels.select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad")), "doc_id").select("page_id", "bad")
+    outcomes = pages.select("url", named.alias("doc_id")).join(
+        labels.select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad")), "doc_id").select("url", "bad")
     return urlfilter.judge(pages, _rules(spark, URL_RULES), outcomes)

@@ -101,13 +101,17 @@ def judge(pages: DataFrame, rules: DataFrame, outcomes: DataFrame, threshold: fl
     allow before block. Without a rule, ``rule`` is null and the page is blocked if the lower
     posterior bound of its host's bad share lies above ``threshold``.
 
-    ``outcomes`` has (page_id, bad); an outcome without a page, and pages without an outcome, only
-    miss in the reputation. Null and malformed urls have an empty host, which is a host like any
+    ``outcomes`` has (url, bad), one row per labelled page row, which are counted as they are; or
+    (page_id, bad), one row per id, counted once for every page row of that id. An outcome without
+    a page, and pages without an outcome, only miss in the reputation. Null and malformed urls have an empty host, which is a host like any
     other. Rules and reputations are found once per host; pages then look up one row, and repeated
     pages come out repeated. Empty rules or outcomes mean no rule, or allow.
     """
     split = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
-    labelled = split.join(outcomes.where("bad IS NOT NULL").select("page_id", "bad"), "page_id")
+    if "url" in outcomes.columns:
+        labelled = outcomes.select(host(F.col("url")).alias("host"), "bad")
+    else:
+        labelled = split.join(outcomes.where("bad IS NOT NULL").select("page_id", "bad"), "page_id")
     hosts = split.select("host").distinct()
     fit = rules.select(F.col("host").alias("top"), F.struct(
         F.length(F.concat("host", "path")).alias("size"), F.length("host").alias("host_size"), (F.col("verdict") == "allow").alias("allows"),

@@ -222,6 +222,28 @@ def test_rules_and_reputation(spark):
     assert urlfilter.judge(df, args[0].limit(0), args[1].limit(0)).where("verdict = 'block'").count() == 0
 
 
+def test_outcomes_of_repeated_and_null_page_ids(spark, tmp_path):
+    import duckdb
+
+    from arborscan.llm import queries
+
+    draw = random.Random(3)
+    pages = [(draw.choice([1, 1, 1, None, 2, 3 + i]), f"http://h{draw.randint(0, 9)}.d{draw.randint(0, 3)}.org/x/{draw.randint(0, 60)}") for i in range(400)]
+    labels = [(i, int(i % 3 > 0), 0) for i in range(60)]
+    tables = {"pages": spark.createDataFrame(pages, "page_id long, url string"), "labels": spark.createDataFrame(labels, "doc_id long, quality int, toxic int")}
+    for name, df in tables.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    seen = []
+    judged = queries.urlfilter.reputation
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(queries.urlfilter, "reputation", lambda hosts, outcomes: seen.append(outcomes) or judged(hosts, outcomes))
+        queries.op10_url_filter(spark, str(tmp_path)).count()
+    want = duckdb.sql(f"""SELECT regexp_extract(url, '://([^/]*)', 1), count(*), sum((quality = 0)::INT)::INT FROM '{tmp_path}/pages.parquet/*.parquet'
+     JOIN '{tmp_path}/labels.parquet/*.parquet' ON doc_id = regexp_extract(url, '/([0-9]+)', 1)::BIGINT GROUP BY 1 ORDER BY 1""").fetchall()
+    got = seen[0].groupBy("host").agg(F.count("*"), F.sum(F.col("bad").cast("int"))).orderBy("host").collect()
+    assert [tuple(r) for r in got] == want
+
+
 def test_digest_of_a_trap_conversation(spark):
     from arborscan.llm import queries
 
