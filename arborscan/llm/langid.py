@@ -13,7 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 UNKNOWN = "und"
 #: Bounds of training: documents and symbols per language, letters told apart, languages.
@@ -167,22 +167,28 @@ def fit(samples: dict[str, list[str]]) -> Model:
 def train(docs: DataFrame) -> Model:
     """Learn from (doc_id, text, lang): rows with a null text or lang, or a lang of ``und``, teach nothing.
 
-    Languages are counted first; then about ``DOCUMENTS`` documents of each are drawn by a hash of
-    their id, a stretch of at most ``WINDOW`` characters from the middle of each. The driver gets
-    these stretches only, for at most ``LANGUAGES`` languages (the most frequent).
+    Unlike documents are counted per language first; then about ``DOCUMENTS`` of each are drawn by a
+    hash of id and text, a stretch of at most ``WINDOW`` characters from the middle of each. Equal
+    rows are one document, and an id that many rows share, or null, draws no more than another. The
+    driver gets at most 2 * ``DOCUMENTS`` stretches for each of at most ``LANGUAGES`` languages (the
+    most frequent).
     """
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN))
-    counts = known.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGUAGES).collect()
+    hashed = F.xxhash64("doc_id", "text")
+    counts = (known.groupBy("lang").agg(F.count("*").alias("rows"), F.approx_count_distinct(hashed).alias("unlike"))
+              .orderBy(F.col("rows").desc(), "lang").limit(LANGUAGES).collect())
     if not counts:
         return fit({})
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], DOCUMENTS / r["count"])])
-    ticket = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(1 << 40)
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], DOCUMENTS / max(1, r["unlike"]))])
+    ticket = F.pmod(hashed, F.lit(1 << 40)) / F.lit(1 << 40)
     middle = F.substring("text", F.greatest(F.lit(1), F.floor((F.length("text") - WINDOW) / 2)).cast("int"), F.lit(WINDOW))
-    drawn = known.where(ticket < share[F.col("lang")]).select("lang", middle.alias("text"), ticket.alias("ticket")).collect()
+    chosen = known.where(ticket < share[F.col("lang")]).select("lang", middle.alias("text"), ticket.alias("ticket"))
+    once = chosen.groupBy("lang", "ticket").agg(F.min("text").alias("text"))  # copies go before rows of a language meet
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("ticket"))
+    drawn = once.withColumn("at", first).where(F.col("at") <= 2 * DOCUMENTS).collect()
     samples: dict[str, list[str]] = {}
     for row in sorted(drawn, key=lambda r: (r["lang"], r["ticket"], r["text"])):
-        if len(samples.setdefault(row["lang"], [])) < 2 * DOCUMENTS:
-            samples[row["lang"]].append(row["text"])
+        samples.setdefault(row["lang"], []).append(row["text"])
     return fit({lang: texts for lang, texts in samples.items() if any(c.isalpha() for t in texts for c in t)})
 
 

@@ -218,6 +218,22 @@ def test_languages_of_the_held_out_fold(spark):
     assert right >= 0.97 * len(rows) and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_training_sample_is_bounded_and_of_all_keys(spark, monkeypatch):
+    taught = {}
+    monkeypatch.setattr(langid, "fit", taught.update)
+    rows = [(None, f"aaa null {i}", "x") for i in range(3000)] + [(7, f"bbb seven {i}", "x") for i in range(3000)] + [(i, f"ccc other {i}", "x") for i in range(3000)]
+    rows += [(9, "ddd copy", "y")] * 3000 + [(i, f"eee {i}", "y") for i in range(50)]
+    collected = []
+    frame = type(spark.range(1))
+    whole = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda self: collected.append(whole(self)) or collected[-1])
+    langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert max(map(len, collected)) <= 2 * 2 * langid.DOCUMENTS
+    kinds = [t[:3] for t in taught["x"]]
+    assert 50 < len(kinds) <= 2 * langid.DOCUMENTS and all(kinds.count(k) >= 10 for k in ("aaa", "bbb", "ccc"))
+    assert taught["y"].count("ddd copy") == 1 and len(taught["y"]) == 51
+
+
 def test_language_of_odd_texts(spark):
     model = langid.fit({"aa": ["abc abd abe " * 30], "bb": ["xyz xyw xyq " * 30]})
     odd = [None, "", "123 !?", "abc abd", "xyz", "q" * 5000, LONG, "日本語", "ABC"]
