@@ -43,6 +43,11 @@ def mean_dice(scored: DataFrame) -> DataFrame:
     return scored.agg(F.round(F.avg("dice"), 4).alias("dice"))
 
 
+def is_instance(label: Column) -> Column:
+    """Labels of segments: 0 is none, 255 the background; from the 255th seed on they run from 256."""
+    return (label > 0) & (label != 255)
+
+
 def label_overlaps(cells: DataFrame, keys: list[str]) -> DataFrame:
     """IoU of every (label, instance) pair of a chip that shares a cell, with both sizes.
 
@@ -50,7 +55,7 @@ def label_overlaps(cells: DataFrame, keys: list[str]) -> DataFrame:
     1 / (sizes + 1), which never exceeds one third.
     """
     joint = cells.groupBy(*keys, "label", "instance").agg(F.count("*").alias("common"))
-    # at most 254 labels and their instances per chip
+    # a chip's labels and their instances
     sized = joint.withColumns({"label_cells": F.sum("common").over(Window.partitionBy(*keys, "label")),
                                "instance_cells": F.sum("common").over(Window.partitionBy(*keys, "instance"))})
     value = (F.col("common") + 1) / (F.col("label_cells") + F.col("instance_cells") - F.col("common") + 1)
@@ -59,7 +64,7 @@ def label_overlaps(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 def iou_matrix(cells: DataFrame, keys: list[str]) -> DataFrame:
     overlaps = label_overlaps(cells, keys)
-    return overlaps.where(F.col("label").between(1, 254) & (F.col("instance") > 0)).select(
+    return overlaps.where(is_instance(F.col("label")) & (F.col("instance") > 0)).select(
         *keys, "label", "instance", "common", "label_cells", "instance_cells", "iou")
 
 
@@ -70,8 +75,8 @@ def dice_at_thresholds(cells: DataFrame, keys: list[str]) -> DataFrame:
     instance is FN when no label exceeds it. No labels and no instances score 1, no labels 0.
     """
     overlaps = label_overlaps(cells, keys)
-    real = F.col("label").between(1, 254) & (F.col("instance") > 0)
-    rows = (overlaps.where(F.col("label").between(1, 254)).groupBy(*keys, "label")
+    real = is_instance(F.col("label")) & (F.col("instance") > 0)
+    rows = (overlaps.where(is_instance(F.col("label"))).groupBy(*keys, "label")
             .agg(F.coalesce(F.max(F.when(real, F.col("iou"))), F.lit(0.0)).alias("best")).select(*keys, F.lit("row").alias("side"), "best"))
     columns = (overlaps.where(F.col("instance") > 0).groupBy(*keys, "instance")
                .agg(F.coalesce(F.max(F.when(real, F.col("iou"))), F.lit(0.0)).alias("best")).select(*keys, F.lit("column").alias("side"), "best"))

@@ -68,7 +68,7 @@ def iou_matrix(t: Tables):
 
 @query("unique_labels", f"WITH {_LABELS} SELECT DISTINCT chip_id, label FROM l WHERE label > 0 AND label < 255")
 def unique_labels(t: Tables):
-    return _label_cells(t).select("chip_id", "label").where(F.col("label").between(1, 254)).distinct()
+    return _label_cells(t).select("chip_id", "label").where(metrics.is_instance(F.col("label"))).distinct()
 
 
 @query("dice_at_iou_thresholds", f"""

@@ -281,3 +281,11 @@ def test_positions_of_skewed_values(spark):
     assert max(sizes) < 3 * 3001 / len(sizes) + 20
     pages = {r["id"]: r["page"] for r in stats.paged(df, "v", "id", 7).collect()}
     assert pages == {i: n // 7 for n, (v, i) in enumerate(sorted((v, i) for i, v in rows))}
+
+
+def test_instances_beyond_254_are_graded(spark):
+    from arborscan.operators import metrics
+
+    cells = spark.createDataFrame([(1, label, label) for label in (1, 254, 256, 300) for _ in range(9)] + [(1, 255, 0), (1, 0, 0)], "chip_id long, label int, instance int")
+    assert sorted(r.label for r in metrics.iou_matrix(cells, ["chip_id"]).collect()) == [1, 254, 256, 300]
+    assert metrics.dice_at_thresholds(cells, ["chip_id"]).first().dice == 1
