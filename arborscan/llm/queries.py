@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from arborscan.llm import ann, chat, htmltext, langid, mixing, neardup, packing, tokenfile, tokens, topk, urlfilter
+from arborscan.llm import ann, chat, divergence, htmltext, langid, mixing, neardup, packing, tokenfile, tokens, topk, urlfilter
 from arborscan.llm.common import table
 
 QUERIES: dict = {}
@@ -178,3 +178,30 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcomes = pages.select("url", named.alias("doc_id")).join(
         labels.select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad")), "doc_id").select("url", "bad")
     return urlfilter.judge(pages, _rules(spark, URL_RULES), outcomes)
+
+
+@_query(f"""
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+ regexp_extract_all(translate(coalesce(text, ''), {_UPPER_LOWER}), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+o AS (SELECT doc, lang, source, unnest(w) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM o GROUP BY ALL),
+k AS (SELECT lang, term FROM o GROUP BY ALL HAVING count(DISTINCT doc) >= {divergence.MIN_DOCS}),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+g AS (SELECT lang, source, coalesce(any_value(v), 0) AS v, coalesce(sum(n), 0) AS n FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN v USING (lang)
+ LEFT JOIN (SELECT lang, source, n FROM c JOIN k USING (lang, term)) USING (lang, source) GROUP BY ALL),
+a AS (SELECT lang, sum(n) AS n FROM g GROUP BY lang),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS count, 1 + ({divergence.SCALE}::HUGEINT * (coalesce(c.n, 0) + 2)) // (g.n + 2 * g.v)::HUGEINT AS p
+ FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+q AS (SELECT lang, term, 1 + ({divergence.SCALE}::HUGEINT * (sum(c.n) + 2)::HUGEINT) // (any_value(a.n) + 2 * any_value(v.v))::HUGEINT AS q
+ FROM c JOIN k USING (lang, term) JOIN a USING (lang) JOIN v USING (lang) GROUP BY lang, term),
+pairs AS (SELECT x.lang, x.source, y.source AS item, coalesce(sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)), 0) AS value
+ FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+all_pairs AS (SELECT x.lang, x.source, y.source AS item, coalesce(value, 0) AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source
+ LEFT JOIN pairs ON pairs.lang = x.lang AND pairs.source = x.source AND pairs.item = y.source),
+terms AS (SELECT lang, source, term AS item, (p - q) * (p - q) // (p + q) AS value FROM p JOIN q USING (lang, term) WHERE count > 0 AND p > q),
+r AS (SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM all_pairs
+ UNION ALL SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM terms)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM r WHERE part = 'pair' OR rank <= {divergence.TOP}""")
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the sources of every language differ in their words, over all documents."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
