@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from arborscan.llm import ann, chat, divergence, htmltext, langid, mixing, neardup, packing, tokenfile, tokens, topk, urlfilter
+from arborscan.llm import ann, chat, collocations, divergence, htmltext, langid, mixing, neardup, packing, tokenfile, tokens, topk, urlfilter
 from arborscan.llm.common import table
 
 QUERIES: dict = {}
@@ -180,6 +180,30 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(pages, _rules(spark, URL_RULES), outcomes)
 
 
+@_query(f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_extract_all(translate(coalesce(text, ''), {_UPPER_LOWER}), '[^.,;:!?\\x0A-\\x0D]+')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+u AS (SELECT lang, unnest(w) AS phrase FROM w),
+g AS (SELECT lang, phrase, 1 AS m FROM u
+ UNION ALL SELECT lang, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])), 2 FROM w
+ UNION ALL SELECT lang, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])), 3 FROM w),
+f AS (SELECT lang, phrase, m, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= {collocations.MIN_COUNT}),
+n AS (SELECT lang, count(*) AS n FROM u GROUP BY lang),
+s AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
+c AS (SELECT lang, phrase, f AS a, w, unnest(range(1, m)) AS k FROM s),
+x AS (SELECT c.lang, c.phrase, a, k, l.f AS l, r.f AS r, ((1000000::HUGEINT * a * a) // (l.f::HUGEINT * r.f))::BIGINT AS score FROM c
+ JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(w[:k], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(w[k + 1:], ' ')),
+b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+longer AS (SELECT lang, f, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS phrase FROM s WHERE m = 3),
+gone AS (SELECT DISTINCT b.lang, b.phrase FROM b JOIN longer ON longer.lang = b.lang AND longer.phrase = b.phrase AND 100 * longer.f >= {collocations.SHARE} * b.a),
+o AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+ FROM b JOIN n USING (lang) ANTI JOIN gone USING (lang, phrase))
+SELECT * FROM o WHERE rank <= {collocations.TOP}""")
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases of two and three words that stand together most in every language, over all documents."""
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 @_query(f"""
 WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
  regexp_extract_all(translate(coalesce(text, ''), {_UPPER_LOWER}), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
