@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from arborscan.llm import ann, chat, collocations, divergence, htmltext, langid, mixing, neardup, packing, tokenfile, tokens, topk, urlfilter
+from arborscan.llm import ann, chat, collocations, divergence, fragments, htmltext, langid, mixing, neardup, packing, tokenfile, tokens, topk, urlfilter
 from arborscan.llm.common import table
 
 QUERIES: dict = {}
@@ -204,6 +204,21 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(table(spark, sf_dir, "documents"))
 
 
+@_query(f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_UPPER_LOWER}), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+ WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+links AS (SELECT a.doc_id AS p, b.doc_id AS q FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id
+ GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach AS (SELECT DISTINCT p, p AS q FROM links UNION SELECT r.p, l.q FROM reach r JOIN links l ON r.q = l.p),
+c AS (SELECT p, min(q) AS c FROM reach GROUP BY p)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, coalesce(c, doc_id) AS component_id FROM s LEFT JOIN c ON p = doc_id""")
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents whose three-word shingles are similar by at least 0.9."""
+    return fragments.groups(table(spark, sf_dir, "documents"))
+
+
 @_query(f"""
 WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
  regexp_extract_all(translate(coalesce(text, ''), {_UPPER_LOWER}), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
