@@ -72,7 +72,7 @@ def hashes(words: pa.StringArray) -> np.ndarray:
 
 def slice_bounds(slices: int) -> np.ndarray:
     """First key of every slice of the key range, and the end of the last; slices end at multiples of 2 ** (KEY_BITS - 16)."""
-    return -(-np.arange(slices + 1, dtype=np.uint64) * np.uint64(1 << 16) // np.uint64(slices)) << np.uint64(KEY_BITS - 16)
+    return (np.arange(slices + 1) * (1 << 16) + slices - 1).astype(np.uint64) // np.uint64(slices) << np.uint64(KEY_BITS - 16)
 
 
 def _planes(values: np.ndarray) -> bytes:

@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from arborscan.llm import buffers
-from arborscan.llm.common import parallelism, stored
+from arborscan.llm.common import stored
 
 MIN_DOCS, TOP, SCALE = 10, 10, 1_000_000_000
-_BLOCK = 256  # sources whose divergences from all others one task sums
+_BLOCK, _TERMS = 256, 8192  # sources whose divergences from all others a task sums, and terms it sums over
 
 _TERM = np.zeros(256, bool)
 _TERM[65:91] = _TERM[97:123] = _TERM[128:] = True
@@ -120,23 +120,22 @@ def divergence(p, q):
     return (p - q) * (p - q) // (p + q)
 
 
-def _pairs(kept: DataFrame, groups: DataFrame, totals: DataFrame) -> DataFrame:
+def _pairs(kept: DataFrame, totals: DataFrame) -> DataFrame:
     """(lang, source, item, value): divergences of every two sources of a language, summed over its kept terms.
 
-    The terms of a language are dealt to parts; a task takes a part and a block of sources, fills
-    in the shares of all sources for some terms at a time and adds the block's divergences from all up.
+    The terms of a language are dealt to parts of about ``_TERMS``; a task takes a part and a block of sources,
+    fills in the shares of all sources for some terms at a time and adds the block's divergences from all up.
     """
-    parts = parallelism(kept.sparkSession)
-    sized = groups.join(totals.select("lang", "source", "total", "terms"), ["lang", "source"])
-    listed = sized.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct(
-        "source", _share(F.lit(0), F.col("total"), F.col("terms")).alias("p")))).alias("sources"))
+    listed = totals.groupBy("lang").agg(
+        F.sort_array(F.collect_list(F.struct("source", _share(F.lit(0), F.col("total"), F.col("terms")).alias("p")))).alias("sources"),
+        F.greatest(F.ceil(F.max("terms") / _TERMS), F.lit(1)).cast("int").alias("parts"))
     blocks = F.explode(F.sequence(F.lit(0), F.floor((F.size("sources") - 1) / _BLOCK).cast("int"))).alias("block")
-    part = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
-    heads = listed.select("lang", blocks, "sources").select("lang", "block", part, F.lit(0).alias("role"), "sources")
+    part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    heads = listed.select("lang", blocks, "sources", "parts").select("lang", "block", part, F.lit(0).alias("role"), "sources")
     shared = kept.join(totals.select("lang", "source", "total", "terms"), ["lang", "source"]).groupBy("lang", "term").agg(
         F.collect_list(F.struct("source", _share(F.col("n"), F.col("total"), F.col("terms")).alias("p"))).alias("sources"))
-    terms = shared.join(listed.select("lang", blocks), "lang").select(
-        "lang", "block", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("role"), "sources")
+    terms = shared.join(listed.select("lang", blocks, "parts"), "lang").select(
+        "lang", "block", F.pmod(F.xxhash64("term"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"), "sources")
     lined = heads.unionByName(terms).repartition("lang", "block", "part").sortWithinPartitions("lang", "block", "part", "role")
 
     def add(batches):
@@ -206,8 +205,7 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFram
     by_group = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     totals = groups.join(by_group, ["lang", "source"], "left").join(by_lang, "lang", "left").na.fill(0, ["total", "terms", "lang_total"])
     totals = stored(totals, "totals")
-    pairs = _pairs(kept, totals.select("lang", "source"), totals).withColumn("part", F.lit("pair"))
-    # a language without kept terms has no term rows: its pairs are 0
+    pairs = _pairs(kept, totals).withColumn("part", F.lit("pair"))
     p, q = _share(F.col("n"), F.col("total"), F.col("terms")), _share(F.col("of_lang"), F.col("lang_total"), F.col("terms"))
     shares = kept.join(totals, ["lang", "source"]).select("lang", "source", F.col("term").alias("item"), p.alias("p"), q.alias("q")).where("p > q")
     terms = shares.select("lang", "source", "item", divergence(F.col("p"), F.col("q")).alias("value"), F.lit("term").alias("part"))

@@ -29,7 +29,7 @@ from arborscan.operators.components import connected_components
 
 WORDS, SIMILARITY, FRAGMENTS = 3, 90, 8
 _TOGETHER = 64  # pairs that pass one copy of a pivot's segments
-_HELD = 1 << 22  # shingles of a block
+_HELD = 1 << 20  # shingles of a block
 
 
 def _digested(found: np.ndarray) -> bytes:

@@ -35,7 +35,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     def cut(batches):
         for batch in batches:
             out = ([], [], [], [], [])
-            for doc_id, body in zip(batch.column(0).to_pylist(), tokens.encoded((x.as_py() for x in batch.column(1)), text)):
+            for doc_id, body in zip(batch.column(0).to_pylist(), tokens.encoded(batch.column(1), text)):
                 ids = body + end
                 total = len(ids) // 4
                 stops = range(total % capacity or capacity, total + 1, capacity)

@@ -181,7 +181,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: in
         writer = ShardWriter(sink)
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for doc_id, body in zip(ids, tokens.encoded((x.as_py() for x in batch.column(1)), text)):
+            for doc_id, body in zip(ids, tokens.encoded(batch.column(1), text)):
                 writer.add(doc_id, body + end)
                 docs_in, ids_in = docs_in + 1, ids_in + len(body) // 4 + 1
         writer.close()

@@ -117,7 +117,21 @@ TEXTS = [(4, "Hello, world! don't stop  here\n\n next"), (1, None), (9, ""), (3,
 
 def test_pieces_encode_like_the_library(spark, tokenizer):
     odd = ["a'b c'd 'll we'll", "x  y   z", " lead", "trail ", "\n\n\n", "a\u00a0b", "co\u0301mbined", "ɏz ˈ word,'s", "(hello)world's", "1,000.5%", "\x1c\x1d word\x1f"]
-    assert [np.frombuffer(b, "<u4").tolist() for b in tokens.encoded(odd, tokens.definition(tokens.public()))] == [ids_of(tokenizer, t)[:-1] for t in odd]
+    assert [np.frombuffer(b, "<u4").tolist() for b in tokens.encoded(pa.array(odd), tokens.definition(tokens.public()))] == [ids_of(tokenizer, t)[:-1] for t in odd]
+
+
+def test_random_texts_encode_like_the_library(tokenizer):
+    draw = random.Random(11)
+    parts = [" ", "  ", "\n", "\r\n", "\t", "\u00a0", "\u3000", "\u2003", "\x85", "\x1c", "a", "word", "É", "été", "×", "÷", "ɏ", "Ж", "東", "🙂", "'s", "'ll", "'", ",", ".", "!?", "12", "½",
+             "co\u0301", "Straße", "under_score", "-", "<|endoftext|>"] + [f" neu{i}wort" for i in range(300)]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randrange(40))) for _ in range(3000)]
+    column = pa.array([None, "skipped", *texts])[1:]
+    got = [np.frombuffer(b, "<u4").tolist() for b in tokens.encoded(column, tokens.definition(tokens.public()))]
+    assert got[1:] == [ids_of(tokenizer, t)[:-1] for t in texts]
+    small = tokens.Encoder(tokens.definition(tokens.public()))
+    small.known = {str(i): b"" for i in range(tokens._REMEMBERED + 1)}  # the memory starts a new generation
+    data, bounds = np.frombuffer(texts[5].encode(), np.uint8), np.array([0, len(texts[5].encode())])
+    assert [np.frombuffer(b, "<u4").tolist() for b in small.encode(data, bounds)] == [got[6]]
 
 
 def test_token_files_round_trip(spark, tokenizer, tmp_path):
