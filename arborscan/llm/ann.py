@@ -11,8 +11,8 @@ from arborscan.llm.common import stored
 from arborscan.llm.vectors import FOUND, blocked, matrix, merged, usable
 
 TABLES, PROBES, SEED = 8, 28, 11
-ROWS, QUERIES = 1 << 13, 1 << 10
-STEPS, FEW = 4, 1 << 11  # ranges of norms in a power of two; rows of a range that are all compared
+ROWS, QUERIES, _TOGETHER = 1 << 15, 1 << 13, 1 << 8  # rows and queries of a block, queries of a block compared together
+STEPS, ENOUGH = 4, 10  # ranges of norms in a power of two; candidates for each of the k a query asks for
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -73,80 +73,91 @@ def search(table: DataFrame, is_query, k: int = 20, tables: int = TABLES, probes
 
     ``table`` has (vec_id, embedding; more columns are left out), ``is_query`` is a condition on
     vec_id. Rows are parted by their norms into ranges of a factor of 2 ** (1 / ``STEPS``), and every
-    range is searched, so that within one the nearest directions have the largest products. In a
-    range of up to ``FEW`` rows all are candidates, in others all rows in a query's probed buckets
-    of any table, none dropped; a query whose buckets hold fewer than k meets the whole range.
+    range is searched, so that within one the nearest directions have the largest products. Rows are hashed once;
+    each block of rows of a range is a set of hash tables in which a block of queries probes: a row is a candidate if it lies in
+    one of the query's probed buckets of any table, none is dropped. A query whose buckets of a range hold fewer
+    than ``ENOUGH`` * k rows meets the whole range: where the nearest are a good part of all, they are not near. Candidates are ranked by a matrix product first, and all that rounding
+    may put among the k best are scored exactly.
     ``score`` is the inner product of the original vectors, summed component by component in
     double precision, ties to the smaller id. Rows with a null id, null or zero vectors or null or
     non-finite components take no part; shorter vectors are padded with zeros. Rows that repeat an
     id are one candidate. Fewer candidates than k are all returned; an empty table gives none.
 
     Hard case: independent unit vectors, whose nearest ones are hardly nearer than the rest. There
-    the defaults find over 0.9 of the 20 nearest at any size, looking at half of all pairs in large ranges.
+    the defaults find over 0.9 of the 20 nearest, with half of all rows among the candidates.
     """
-    largest = F.array_max(F.transform("v", F.abs))
-    log2 = F.log2(largest) + F.log2(F.aggregate("v", F.lit(0.0), lambda s, x: s + (x / largest) * (x / largest))) / 2
-    rows = usable(table, nonzero=True).withColumn("norm_range", F.round(log2 * STEPS).cast("int"))
-    dims = rows.agg(F.max(F.size("v"))).first()[0]
-    hashing = CrossPolytope(dims or 1, tables)
+    rows = usable(table, nonzero=True)
+    dims = rows.agg(F.max(F.size("v"))).first()[0] or 1
+    hashing = CrossPolytope(dims, tables)
     buckets = min(probes, 2 * hashing.width)
-    sizes = {r["norm_range"]: r["count"] for r in rows.groupBy("norm_range").count().collect()}  # a few per power of two
-    few, many = (F.split(F.lit(",".join(str(r) for r, n in sorted(sizes.items()) if (n > FEW) == large)), ",").try_cast("array<int>") for large in (False, True))
-    hashed_ranges = any(n > FEW for n in sizes.values())
 
-    def keyed(side: DataFrame, ask: bool) -> DataFrame:
-        def hashed(batches):
+    def hashed(ask: bool):
+        def run(batches):
             for batch in batches:
-                x = matrix(batch.column(1).to_pandas(), hashing.dims)
-                codes = hashing.probes(x, buckets) if ask else hashing.points(x)[:, :, None]
-                lists = pa.FixedSizeListArray.from_arrays(pa.array(codes.ravel()), codes[0].size) if len(x) else pa.array([], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*batch.columns, lists.cast(pa.list_(pa.int32()))], ["vec_id", "v", "norm_range", "codes"])
-
-        def among(ranges):
-            return (side.withColumn("norm_range", F.explode(ranges)) if ask else side.where(F.array_contains(ranges, F.col("norm_range")))).select("vec_id", "v", "norm_range")
-
-        whole = among(few).withColumns({"hash_table": F.lit(-1), "bucket": F.lit(0)})
-        if not hashed_ranges:
-            return whole
-        each = buckets if ask else 1
-        once = side.withColumn("norm_range", F.lit(0)).select("vec_id", "v", "norm_range") if ask else among(many)  # a query's probes are those of every range
-        coded = once.mapInArrow(hashed, "vec_id long, v array<double>, norm_range int, codes array<int>")
-        if ask:
-            coded = coded.withColumn("norm_range", F.explode(many))
-        placed = coded.select("vec_id", "v", "norm_range", F.posexplode("codes").alias("at", "bucket")).select(
-            "vec_id", "v", "norm_range", F.floor(F.col("at") / each).cast("int").alias("hash_table"), "bucket")
-        return placed.unionByName(whole) if any(n <= FEW for n in sizes.values()) else placed
-
-    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+                if len(batch):
+                    x = matrix(batch.column(1).to_pandas(), dims)
+                    largest = np.abs(x).max(axis=1)
+                    log2 = np.log2(largest) + np.log2(((x / largest[:, None]) ** 2).sum(axis=1)) / 2
+                    codes = hashing.probes(x, buckets).reshape(len(x), -1) if ask else hashing.points(x)
+                    both = np.hstack([x, codes])
+                    lists = pa.FixedSizeListArray.from_arrays(pa.array(both.ravel()), both.shape[1]).cast(pa.list_(pa.float64()))
+                    yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(np.round(log2 * STEPS).astype(np.int32))],
+                                                     ["vec_id", "v", "norm_range"])
+        return run
+
+    def coded(side: DataFrame, ask: bool) -> DataFrame:
+        """(vec_id, v, norm_range): ``v`` is the vector followed by its buckets, or by those to probe."""
+        return stored(side.mapInArrow(hashed(ask), "vec_id long, v array<double>, norm_range int"), "codes")
+
+    def probed(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return compare(left, right, True)
+
+    def whole(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return compare(left, right, False)
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame, by_bucket: bool) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "norm_range": []})
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "norm_range": [], "seen": []})
         left = left.sort_values("row_id", kind="stable")
         ids, asked = left["row_id"].to_numpy(), right["query_id"].to_numpy()
-        x, q = matrix(left["x"], hashing.dims), matrix(right["q"], hashing.dims)
-        scores = np.zeros((len(q), len(x)))
-        for d in range(hashing.dims):
-            scores += q[:, d, None] * x[None, :, d]
-        ids, first = np.unique(ids, return_index=True)
-        if len(first) < len(x):  # rows that repeat an id: the best one
-            scores = np.maximum.reduceat(scores, first, axis=1)
-        scores[asked[:, None] == ids[None, :]] = -np.inf
-        keep = min(k, len(ids))
-        least = np.partition(scores, -keep, axis=1)[:, -keep]
-        row, column = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
-        value = scores[row, column]
-        order = np.lexsort((column, -value, row))
-        row, column, value = row[order], column[order], value[order]
-        first = np.searchsorted(row, np.arange(len(q)))
-        top = np.arange(len(row)) - first[row] < keep
-        return pd.DataFrame({"query_id": asked[row[top]], "vec_id": ids[column[top]], "score": value[top], "norm_range": left["norm_range"].iloc[0]})
-
-    schema = FOUND.format("double") + ", norm_range int"
-    queries = rows.where(is_query)
-    found = blocked(keyed(rows, False), keyed(queries, True), ["norm_range", "hash_table", "bucket"], compare, schema, ROWS, QUERIES)
-    if hashed_ranges:
-        found = stored(found, "found")
-        seen = found.groupBy("query_id", "norm_range").agg(F.count_distinct("vec_id").alias("n")).withColumnRenamed("query_id", "vec_id")
-        short = (queries.withColumn("norm_range", F.explode(many)).join(seen, ["vec_id", "norm_range"], "left")
-                 .where(F.coalesce("n", F.lit(0)) < k).select("vec_id", "v", "norm_range"))
-        found = found.unionByName(blocked(rows, short, ["norm_range"], compare, schema, ROWS, QUERIES))
-    return merged(found, k)
+        x, q = matrix(left["x"], dims + tables), matrix(right["q"], dims + tables * buckets)
+        code, probe = x[:, dims:].astype(np.int64), q[:, dims:].astype(np.int64).reshape(len(q), tables, buckets)
+        x, q = np.ascontiguousarray(x[:, :dims]), np.ascontiguousarray(q[:, :dims])
+        distinct, first = np.unique(ids, return_index=True)
+        length = np.sqrt((x ** 2).sum(axis=1))
+        out = []
+        for low in range(0, len(q), _TOGETHER):
+            own, mine = q[low: low + _TOGETHER], asked[low: low + _TOGETHER]
+            rough = own @ x.T
+            may = np.full(rough.shape, not by_bucket)
+            for t in range(tables if by_bucket else 0):
+                wanted = np.zeros((len(own), 2 * hashing.width), bool)
+                np.put_along_axis(wanted, probe[low: low + _TOGETHER, t], True, axis=1)
+                may |= wanted[:, code[:, t]]
+            may &= mine[:, None] != ids[None, :]
+            rough[~may] = -np.inf
+            best = np.maximum.reduceat(rough, first, axis=1) if len(distinct) < len(ids) else rough  # rows that repeat an id are one candidate
+            keep = min(k, best.shape[1])
+            least = np.partition(best, -keep, axis=1)[:, -keep]
+            slack = 1e-12 * np.sqrt((own ** 2).sum(axis=1)) * length.max()
+            row, column = np.nonzero(may & (rough >= (least - slack)[:, None]))
+            score = np.zeros(len(row))
+            for d in range(dims):
+                score += own[row, d] * x[column, d]
+            first_of = np.append(True, row[1:] != row[:-1]) if len(row) else np.zeros(0, bool)
+            seen = np.where(first_of, may.sum(axis=1)[row], 0)  # once per query and block
+            out.append(pd.DataFrame({"query_id": mine[row], "vec_id": ids[column], "score": score, "seen": seen}))
+        found = pd.concat(out)
+        found["seen"] = found.groupby("query_id")["seen"].transform("max")
+        found = found.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).drop_duplicates(["query_id", "vec_id"])
+        found.loc[found["query_id"].duplicated(), "seen"] = 0
+        return found.groupby("query_id", sort=False).head(k).assign(norm_range=left["norm_range"].iloc[0])
+
+    schema = FOUND.format("double") + ", norm_range int, seen long"
+    points, asking = coded(rows, False), coded(rows.where(is_query), True)
+    ranges = points.select("norm_range").distinct()  # a few per power of two
+    queries = asking.withColumn("norm_range", F.explode(ranges.agg(F.collect_list("norm_range")).scalar()))
+    found = stored(blocked(points, queries, ["norm_range"], probed, schema, ROWS, QUERIES), "found")
+    seen = found.groupBy("query_id", "norm_range").agg(F.sum("seen").alias("n")).withColumnRenamed("query_id", "vec_id")
+    short = queries.join(seen, ["vec_id", "norm_range"], "left").where(F.coalesce("n", F.lit(0)) < ENOUGH * k).drop("n")
+    return merged(found.unionByName(blocked(points, short, ["norm_range"], whole, schema, ROWS, QUERIES)), k)
