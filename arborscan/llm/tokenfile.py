@@ -141,9 +141,16 @@ class ShardReader:
         return np.frombuffer(b"".join(self.parts(int(rows[0]))), "<u4")
 
 
+def _qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme that Spark gives a path without one: executors must not take it for their own disks."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return whole.replace("file:/", "file:///", 1) if whole.startswith("file:/") and not whole.startswith("file://") else whole
+
+
 def _filesystem(folder: str):
     """The file system of a shared folder and the folder's path in it."""
-    return pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+    return pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
 
 
 def open_shard(path: str) -> ShardReader:
@@ -162,7 +169,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: in
     An empty table gives an empty manifest.
     """
     spark = docs.sparkSession
-    folder = folder or work_folder(spark, "token-files")
+    folder = _qualified(spark, folder or work_folder(spark, "token-files"))
     text = tokens.definition(tokenizer)
     end = struct.pack("<I", end_id)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"))

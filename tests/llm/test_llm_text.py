@@ -168,6 +168,19 @@ def test_reader_takes_only_the_frames_it_needs(tmp_path):
         reader.document(2)
 
 
+def test_token_files_of_a_plain_path_get_a_scheme(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    folder = tokenfile.write(docs, tokens.public(), f"{tmp_path}/plain")
+    assert folder == f"file://{tmp_path}/plain" and tokenfile.read(spark, folder).count() == 1
+    hadoop = spark._jsc.hadoopConfiguration()
+    hadoop.set("fs.defaultFS", "viewfs://store/")
+    hadoop.set("fs.viewfs.mounttable.store.link./in", f"file://{tmp_path}")
+    try:
+        assert tokenfile._qualified(spark, "/in/x") == "viewfs://store/in/x"
+    finally:
+        hadoop.unset("fs.defaultFS")
+
+
 def test_empty_token_files(spark, tmp_path):
     folder = tokenfile.write(spark.createDataFrame([], "doc_id long, text string"), tokens.public(), f"file://{tmp_path}/none")
     assert tokenfile.read(spark, folder).count() == 0
