@@ -64,7 +64,7 @@ def _by_language(batch: pa.RecordBatch):
     numbers = coded.indices.to_numpy(zero_copy_only=False)
     for k, lang in enumerate(coded.dictionary.to_pylist()):
         column = batch.column(1) if len(coded.dictionary) == 1 else batch.column(1).take(pa.array(np.flatnonzero(numbers == k)))
-        for _, _, data, bounds in buffers.parts(column, 1 << 23):
+        for _, _, data, bounds in buffers.parts(column, 1 << 22):
             yield lang, _Phrases(lang, data, bounds)
 
 

@@ -72,7 +72,7 @@ def _shard(lang: list, source: list, column: pa.Array) -> Iterator[pa.RecordBatc
     of_row = np.array([code[g] for g in zip(lang, source)], np.int64)
     by_group = np.argsort(of_row, kind="stable")
     of_row = of_row[by_group]
-    for low, high, data, bounds in buffers.parts(column.take(pa.array(by_group))):
+    for low, high, data, bounds in buffers.parts(column.take(pa.array(by_group)), 1 << 23):
         data = buffers.LOWER[data]
         starts, ends = buffers.runs(_TERM[data], bounds)
         if not len(starts):

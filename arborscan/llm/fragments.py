@@ -12,7 +12,7 @@ partial overlaps are summed per pair. Three steps keep the pairs few without los
   with the smallest share of shingles of its own.
 * Distances. One minus the similarity is a metric: two members of a pivot's group whose distances
   from it differ by more than links allow cannot link. Members that are neither linked with the pivot nor connected by now
-  meet only members in reach, with which they share a prefix shingle.
+  meet only members in reach, with which they share a prefix shingle and whose prefixes leave enough to share.
 """
 
 from __future__ import annotations
@@ -21,10 +21,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from arborscan.llm import buffers, shingles
 from arborscan.llm.common import parallelism, stored
+from arborscan.llm.shingles import mixed
 from arborscan.operators.components import connected_components
 
 WORDS, SIMILARITY, FRAGMENTS = 3, 90, 8
@@ -74,13 +75,18 @@ def repeated(docs: DataFrame, words: int) -> DataFrame:
     documents thus sends one posting per block.
     """
     slices = min(parallelism(docs.sparkSession), 1 << 16)
+    owners_in = max(1, slices // 8)  # tallies travel as blocks too, one per slice and bucket of documents
     shift, one = np.uint64(64 - buffers.KEY_BITS + 1), np.uint64(1)
 
     def tallied(owners):
         found, n = np.unique(owners, return_counts=True)
-        none = pa.nulls(len(found))
-        return pa.RecordBatch.from_arrays([none.cast(pa.int32()), none.cast(pa.binary()), pa.array(found, pa.int64()), pa.array(n, pa.int64())],
-                                          ["slice", "block", "doc_id", "n"])
+        bucket = (mixed(found.view(np.uint64)) % np.uint64(owners_in)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        found, n, cuts = found[order], n[order], np.searchsorted(bucket[order], np.arange(owners_in + 1))
+        filled = np.flatnonzero(np.diff(cuts))
+        bodies = [buffers.packed(found[cuts[k]: cuts[k + 1]].view(np.uint64), n[cuts[k]: cuts[k + 1]]) for k in filled]
+        return pa.RecordBatch.from_arrays([pa.nulls(len(filled), pa.int32()), pa.array(bodies, pa.binary()), pa.array(filled, pa.int32())],
+                                          ["slice", "block", "bucket"])
 
     def block(ids, sets):
         different = {_digested(own): k for k, own in enumerate(sets) if len(own)}
@@ -91,9 +97,8 @@ def repeated(docs: DataFrame, words: int) -> DataFrame:
         keys, owners, first, alone = _occurrences(keys, np.repeat(ids[kept], [len(sets[k]) for k in kept]))
         yield tallied(owners[~alone])
         sent = list(buffers.sliced(keys[first] | (~alone[first]).astype(np.uint64), owners[first], slices))
-        none = pa.nulls(len(sent), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in sent], pa.int32()), pa.array([b for _, b in sent], pa.binary()), none, none],
-                                         ["slice", "block", "doc_id", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in sent], pa.int32()), pa.array([b for _, b in sent], pa.binary()),
+                                          pa.nulls(len(sent), pa.int32())], ["slice", "block", "bucket"])
 
     def blocks(batches):
         for batch in batches:
@@ -108,13 +113,13 @@ def repeated(docs: DataFrame, words: int) -> DataFrame:
 
     def meet(postings):
         keys, owners, _, alone = _occurrences(*map(np.concatenate, zip(*postings)))
-        return tallied(owners[~alone & (keys & one == 0)]).select(["doc_id", "n"])
+        return tallied(owners[~alone & (keys & one == 0)]).select(["block", "bucket"])
 
     def add(batches):
         number, postings = None, []
         for batch in batches:
-            place, blocks_ = batch.column(0).to_pylist(), batch.column(1)
-            for own, body in zip(place, blocks_):
+            place = batch.column(0).to_pylist()
+            for own, body in zip(place, batch.column(1)):
                 if own is None:
                     continue
                 if own != number and number is not None:
@@ -122,15 +127,34 @@ def repeated(docs: DataFrame, words: int) -> DataFrame:
                     postings = []
                 number = own
                 postings.append(buffers.unpacked(body.as_py()))
-            known = pa.array([i for i, own in enumerate(place) if own is None], pa.int64())
-            yield batch.select(["doc_id", "n"]).take(known)
+            yield batch.select(["block", "bucket"]).take(pa.array([i for i, own in enumerate(place) if own is None], pa.int64()))
         if number is not None:
             yield meet(postings)
 
-    sent = _texts(docs).where("doc_id IS NOT NULL").mapInArrow(blocks, "slice int, block binary, doc_id long, n long")
-    to = F.coalesce("slice", F.pmod("doc_id", F.lit(slices)).cast("int"))
-    dealt = sent.withColumn("to", to).repartition(slices, "to").drop("to").sortWithinPartitions("slice")
-    return dealt.mapInArrow(add, "doc_id long, n long").groupBy("doc_id").agg(F.sum("n").alias("repeated"))
+    def summed(batches):
+        bucket, tallies = None, []
+
+        def result():
+            owners, n = (np.concatenate(x) for x in zip(*tallies))
+            found, number = np.unique(owners, return_inverse=True)
+            total = np.zeros(len(found), np.int64)
+            np.add.at(total, number, n)
+            return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(total)], ["doc_id", "repeated"])
+
+        for batch in batches:
+            for body, own in zip(batch.column(0), batch.column(1).to_pylist()):
+                if own != bucket and bucket is not None:
+                    yield result()
+                    tallies = []
+                bucket = own
+                tallies.append(buffers.unpacked(body.as_py()))
+        if bucket is not None:
+            yield result()
+
+    sent = _texts(docs).where("doc_id IS NOT NULL").mapInArrow(blocks, "slice int, block binary, bucket int")
+    dealt = sent.withColumn("to", F.coalesce("slice", F.pmod(F.xxhash64("block"), F.lit(slices)).cast("int"))).repartition(slices, "to").drop("to")
+    met = dealt.sortWithinPartitions("slice").mapInArrow(add, "block binary, bucket int")
+    return met.repartition(owners_in, "bucket").sortWithinPartitions("bucket").mapInArrow(summed, "doc_id long, repeated long")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -151,7 +175,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
 
 def segments(sets: DataFrame, similarity: int, fragments: int) -> tuple[DataFrame, DataFrame]:
-    """(s, fragment, shingles) of sets that may still link, and (s, own, prefix): the share of shingles of their own, and the prefix.
+    """(s, fragment, shingles) of sets that may still link, and (s, own, prefix): the number of shingles of their own, and the others (df, x) of the prefix.
 
     Only shingles of two or more sets are listed; the others come first in the global order and
     overlap with nothing. Fragments hold about equal numbers of postings.
@@ -165,7 +189,7 @@ def segments(sets: DataFrame, similarity: int, fragments: int) -> tuple[DataFram
     lines = listed.groupBy("s").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("line"))
     unshared = size - F.size("line")
     prefix = F.slice("line", 1, F.greatest(size - required + 1 - unshared, F.lit(0)).cast("int"))
-    heads = lines.select("s", (unshared / size).alias("own"), F.transform(prefix, lambda e: e["x"]).alias("prefix")).where(F.size("prefix") > 0)
+    heads = lines.select("s", unshared.cast("long").alias("own"), prefix.alias("prefix")).where(F.size("prefix") > 0)
     heads = stored(heads, "prefixes")
     fragment = sum((F.when(place >= cut, 1).otherwise(0) for cut in cuts), F.lit(0))
     cut = listed.join(heads.select("s"), "s").groupBy("s", fragment.alias("fragment")).agg(F.collect_list("x").alias("shingles"))
@@ -186,10 +210,22 @@ def overlaps(pairs: DataFrame, cut: DataFrame) -> DataFrame:
     return partial.groupBy("a", "b").agg(F.sum("partial").alias("common"))
 
 
+def _reachable(common: Column, similarity: int) -> Column:
+    """Whether sets r and m with at most this overlap may be similar."""
+    return 100 * common >= similarity * (F.col("r.s.n") + F.col("m.s.n") - common)
+
+
+def _most_common() -> Column:
+    """The most shingles r and m can share by their prefixes: up to the earlier end of the two, all shingles of both are known."""
+    ends = F.least(F.element_at("r.prefix", -1), F.element_at("m.prefix", -1))
+    rest = [F.col(f"{side}.s.n") - F.col(f"{side}.own") - F.size(F.filter(f"{side}.prefix", lambda e: e <= ends)) for side in "rm"]
+    return F.size(F.array_intersect("r.prefix", "m.prefix")) + F.least(*rest)
+
+
 def links(cut: DataFrame, heads: DataFrame, similarity: int) -> DataFrame:
     """Links (src, dst) of ids that connect all similar sets."""
     similar = 100 * F.col("common") >= similarity * (F.col("a.n") + F.col("b.n") - F.col("common"))
-    buckets = heads.select("s", "own", F.explode("prefix").alias("x"))
+    buckets = heads.select("s", (F.col("own") / F.col("s.n")).alias("own"), F.explode("prefix.x").alias("x"))
     shared = buckets.groupBy("x").agg(F.min(F.struct("own", "s")).alias("first"), F.count("*").alias("n")).where("n > 1")
     pairs = stored(buckets.join(shared.select("x", F.col("first.s").alias("a")), "x").where("s <> a").select("a", F.col("s").alias("b")).distinct(), "pairs")
     distance = 1 - F.col("common") / (F.col("a.n") + F.col("b.n") - F.col("common"))
@@ -198,13 +234,14 @@ def links(cut: DataFrame, heads: DataFrame, similarity: int) -> DataFrame:
     labels = connected_components(first)
     apart = 1 - similarity / 100 + 1e-6
     members = (measured.join(labels.withColumnRenamed("node", "_id"), F.col("b.id") == F.col("_id"), "left").join(heads.withColumnRenamed("s", "b"), "b")
-               .select("a", F.col("b").alias("s"), "similar", "distance", F.coalesce("component", "b.id").alias("label"), "prefix",
+               .select("a", F.col("b").alias("s"), "similar", "distance", F.coalesce("component", "b.id").alias("label"), "own", "prefix",
                        F.floor(F.col("distance") / apart).alias("cell")))
     near = members.where("NOT similar").withColumn("cell", F.explode(F.sequence(F.col("cell") - 1, F.col("cell") + 1)))
     r, m = near.alias("r"), members.alias("m")
     may = ((F.col("r.label") != F.col("m.label")) & (F.col("m.similar") | (F.col("r.s") < F.col("m.s")))
            & (F.abs(F.col("r.distance") - F.col("m.distance")) <= apart)
-           & (100 * F.least("r.s.n", "m.s.n") >= similarity * F.greatest("r.s.n", "m.s.n")) & F.arrays_overlap("r.prefix", "m.prefix"))
+           & _reachable(F.least(F.col("r.s.n") - F.col("r.own"), F.col("m.s.n") - F.col("m.own")), similarity)
+           & F.arrays_overlap("r.prefix", "m.prefix") & _reachable(_most_common(), similarity))
     more = r.join(m, (F.col("r.a") == F.col("m.a")) & (F.col("r.cell") == F.col("m.cell")) & may)
     more = stored(more.select(F.least("r.s", "m.s").alias("a"), F.greatest("r.s", "m.s").alias("b")).distinct(), "pairs")
     second = overlaps(more, cut).where(similar).select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"))
