@@ -122,6 +122,11 @@ def _segments_meet(s: Column, t: Column) -> Column:
     return reduce(lambda m, n: m | n, touch, proper)
 
 
+def sides(shape: Column) -> Column:
+    """array<struct<a,b>>: the sides of all rings."""
+    return _all_segments(shape)
+
+
 def _all_segments(shape: Column) -> Column:
     return F.flatten(F.transform(shape, _segments))
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from arborscan.functions import rings
 
+TILE = 256  # cells along a line that one run may cover
+
 
 def _first(low: Column, size: float) -> Column:
     """Index of the first cell whose centre is not left of ``low``."""
@@ -24,14 +26,42 @@ def _span(low: str, high: str, size: float) -> Column:
     return F.when(start <= stop, F.sequence(start, stop)).otherwise(F.array().cast("array<bigint>"))
 
 
-def from_rings(shapes: DataFrame, id: str, shape: str, size: float = 1.0, keys: list[str] = ()) -> DataFrame:
-    """Cells whose centre lies inside the rings: candidate cells of the box, then even-odd test."""
+def spans(shapes: DataFrame, id: str, shape: str, size: float = 1.0, keys: list[str] = ()) -> DataFrame:
+    """Scanline conversion: runs (keys, id, cy, c0, c1) of cells whose centres lie inside the rings, c1 excluded.
+
+    Every side meets the lines of centres between its ends; the crossings of a shape on a line, sorted, are paired by the
+    even-odd rule. The work follows the outline: neither the box nor the covered area is looked at,
+    and the lines of a large shape are spread over tasks.
+    """
     size = float(size)
-    box = shapes.withColumn("_b", rings.bounds(F.col(shape)))
-    grid = (box.withColumns({"x0": F.col("_b.xmin"), "x1": F.col("_b.xmax") + size, "y0": F.col("_b.ymin"), "y1": F.col("_b.ymax") + size})
-            .withColumn("cx", F.explode(_span("x0", "x1", size))).withColumn("cy", F.explode(_span("y0", "y1", size))))
-    return (grid.where(rings.contains_point(F.col(shape), (F.col("cx") + 0.5) * size, (F.col("cy") + 0.5) * size))
-            .select(*keys, id, "cx", "cy"))
+    numbered = shapes.withColumn("_row", F.monotonically_increasing_id())
+    sides = numbered.select(*keys, id, "_row", F.explode(rings.sides(F.col(shape))).alias("_s"))
+    ends = sides.select(*keys, id, "_row", *[F.col(f"_s.{end}.{c}").cast("double").alias(f"_{end}{c}") for end in "ab" for c in "xy"])
+    low, high = F.least("_ay", "_by"), F.greatest("_ay", "_by")
+    lines = ends.withColumns({"y0": low, "y1": high}).withColumn("cy", F.explode(_span("y0", "y1", size)))
+    middle = (F.col("cy") + 0.5) * size
+    at = (F.col("_bx") - F.col("_ax")) * (middle - F.col("_ay")) / (F.col("_by") - F.col("_ay")) + F.col("_ax")
+    line = Window.partitionBy("_row", "cy").orderBy("_x")
+    paired = lines.select(*keys, id, "_row", "cy", at.alias("_x")).withColumns({"_n": F.row_number().over(line), "_next": F.lead("_x").over(line)})
+    return (paired.where("_n % 2 = 1").select(*keys, id, "cy", _first(F.col("_x"), size).alias("c0"), _first(F.col("_next"), size).alias("c1"))
+            .where("c0 < c1"))
+
+
+def runs(shapes: DataFrame, keys: list[str], id: str, shape: str, size: float = 1.0, tile: int = TILE) -> DataFrame:
+    """Disjoint runs (keys, cy, tile, c0, c1) of the cells that any shape of a group covers, cut at multiples of ``tile`` cells."""
+    first, last = F.floor(F.col("c0") / tile), F.floor((F.col("c1") - 1) / tile)
+    cut = spans(shapes, id, shape, size, keys).withColumn("tile", F.explode(F.sequence(first, last)))
+    cut = cut.select(*keys, "cy", "tile", F.greatest("c0", F.col("tile") * tile).alias("c0"), F.least("c1", (F.col("tile") + 1) * tile).alias("c1")).distinct()
+    line = Window.partitionBy(*keys, "cy", "tile").orderBy("c0", "c1")
+    before = F.max("c1").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    marked = cut.withColumn("_new", F.coalesce(F.col("c0") > before, F.lit(True)).cast("int"))
+    island = marked.withColumn("_run", F.sum("_new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    return island.groupBy(*keys, "cy", "tile", "_run").agg(F.min("c0").alias("c0"), F.max("c1").alias("c1")).drop("_run")
+
+
+def from_rings(shapes: DataFrame, id: str, shape: str, size: float = 1.0, keys: list[str] = ()) -> DataFrame:
+    """Cells whose centre lies inside the rings, by scanlines."""
+    return spans(shapes, id, shape, size, keys).select(*keys, id, F.explode(F.sequence(F.col("c0"), F.col("c1") - 1)).alias("cx"), "cy")
 
 
 def area(cells: DataFrame, by: list[str], size: float = 1.0) -> DataFrame:

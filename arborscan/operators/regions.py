@@ -129,12 +129,25 @@ def polygonize(regions: DataFrame, keys: list[str], transform: tuple = (1.0, 0.0
 
 
 def rasterize(shapes: DataFrame, keys: list[str], id: str, shape: str, size: float = 1.0) -> DataFrame:
-    """Distinct cells whose centre lies in any shape of the group."""
-    return cell_sets.from_rings(shapes, id, shape, size, keys).select(*keys, F.col("cx").alias("x"), F.col("cy").alias("y")).distinct()
+    """Distinct cells (keys, x, y) whose centre lies in any shape of the group."""
+    covered = cell_sets.runs(shapes, keys, id, shape, size)
+    return covered.select(*keys, F.explode(F.sequence(F.col("c0"), F.col("c1") - 1)).alias("x"), F.col("cy").alias("y"))
+
+
+def covered(pixels: DataFrame, shapes: DataFrame, keys: list[str], id: str, shape: str, by: list[str] = (), how: str = "left") -> DataFrame:
+    """``pixels`` (keys, x, y) joined to the runs of the shapes, a pixel at most once per group of ``by``.
+
+    Adds ``by`` and ``_in`` (true inside). Runs end at tile borders, so a pixel meets the runs of its line and tile only;
+    covered areas are never written out cell by cell.
+    """
+    runs = cell_sets.runs(shapes, [*keys, *by], id, shape).withColumnsRenamed({"cy": "_y", "tile": "_tile"}).withColumn("_in", F.lit(True))
+    for key in keys:
+        runs = runs.withColumnRenamed(key, f"_{key}")
+    same = [F.col(key) == F.col(f"_{key}") for key in keys]
+    place = [F.col("y") == F.col("_y"), F.floor(F.col("x") / cell_sets.TILE) == F.col("_tile"), F.col("x") >= F.col("c0"), F.col("x") < F.col("c1")]
+    return pixels.join(runs, [*same, *place], how).drop("_y", "_tile", "c0", "c1", *[f"_{key}" for key in keys])
 
 
 def mask_by_polygons(pixels: DataFrame, shapes: DataFrame, keys: list[str], id: str, shape: str) -> DataFrame:
     """Pixels with ``v`` set to 0 outside the shapes."""
-    covered = rasterize(shapes, keys, id, shape).withColumn("_in", F.lit(True))
-    return (pixels.join(covered, [*keys, "x", "y"], "left")
-            .withColumn("v", F.when(F.col("_in"), F.col("v")).otherwise(0)).drop("_in"))
+    return covered(pixels, shapes, keys, id, shape).withColumn("v", F.when(F.col("_in"), F.col("v")).otherwise(0)).drop("_in")

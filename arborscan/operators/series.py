@@ -12,8 +12,7 @@ def state_colors(pixels: DataFrame, markup: DataFrame, by: str) -> DataFrame:
 
     ``pixels``: by, band 0..2, x, y, v; ``markup``: pk, state, shape.
     """
-    covered = regions.rasterize(markup, ["state"], "pk", "shape")
-    inside = pixels.where(F.col("v") != 0).join(covered, ["x", "y"])
+    inside = regions.covered(pixels.where(F.col("v") != 0), markup, [], "pk", "shape", ["state"], "inner")
     mean = lambda band: F.avg(F.when(F.col("band") == band, F.col("v"))) / 255
     return (inside.groupBy(by, "state").agg(mean(0).alias("red"), mean(1).alias("green"), mean(2).alias("blue"))
             .withColumn("brightness", F.col("red") + F.col("green") + F.col("blue")))

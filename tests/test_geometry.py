@@ -123,3 +123,53 @@ def test_components_of_long_chain_and_star(spark):
     edges = spark.createDataFrame(chain + star + [(5000, 5000)], "src long, dst long")
     got = {r["node"]: r["component"] for r in connected_components(edges).collect()}
     assert all(got[i] == 0 for i in range(301)) and all(got[1000 + i] == 1000 for i in range(300)) and len(got) == 601
+
+
+def _star(draw, corners, holes):
+    """A jagged ring round the origin, with a hole if asked for; corners at any fraction."""
+    import math
+
+    def ring(scale):
+        points = []
+        for k in range(corners):
+            a, r = 2 * math.pi * k / corners, scale * draw.uniform(0.4, 1.0)
+            points.append((r * math.cos(a), r * math.sin(a)))
+        return points + points[:1]
+
+    return [ring(14.0)] + ([ring(3.0)] if holes else [])
+
+
+def test_scanlines_cover_what_the_even_odd_rule_covers(spark):
+    import random
+
+    draw = random.Random(5)
+    shapes = [_star(draw, draw.choice([3, 7, 40]), k % 2) for k in range(20)] + [[[(0, 0), (6, 0), (6, 4), (0, 4), (0, 0)]]] * 2
+    rows = [(k, k % 3, [[{"x": float(x), "y": float(y)} for x, y in ring] for ring in shape]) for k, shape in enumerate(shapes)]
+    df = spark.createDataFrame(rows, "id long, g int, s array<array<struct<x:double,y:double>>>")
+
+    def inside(shape, px, py):
+        odd = False
+        for ring in shape:
+            for (ax, ay), (bx, by) in zip(ring, ring[1:]):
+                if (ay > py) != (by > py) and px < (bx - ax) * (py - ay) / (by - ay) + ax:
+                    odd = not odd
+        return odd
+
+    want = {(k, x, y) for k, s in enumerate(shapes) for x in range(-16, 16) for y in range(-16, 16) if inside(s, x + 0.5, y + 0.5)}
+    got = [tuple(r) for r in cells.from_rings(df, "id", "s").select("id", "cx", "cy").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    runs = cells.runs(df, ["g"], "id", "s", tile=5).collect()
+    assert all(r.c0 // 5 == (r.c1 - 1) // 5 == r.tile and r.c0 < r.c1 for r in runs)
+    covered = [(r.g, x, r.cy) for r in runs for x in range(r.c0, r.c1)]
+    assert len(covered) == len(set(covered)) and set(covered) == {(k % 3, x, y) for k, x, y in want}
+    coarse = {tuple(r) for r in cells.from_rings(df, "id", "s", 2.5).select("id", "cx", "cy").collect()}
+    assert coarse == {(k, x, y) for k, s in enumerate(shapes) for x in range(-8, 8) for y in range(-8, 8) if inside(s, (x + 0.5) * 2.5, (y + 0.5) * 2.5)}
+    assert cells.from_rings(df.limit(0), "id", "s").count() == 0
+
+
+def test_a_large_shape_is_cut_into_runs(spark):
+    side = 100_000.0
+    shape = [[(0.0, 0.0), (side, 0.0), (side, 40.0), (0.0, 40.0), (0.0, 0.0)]]
+    df = spark.createDataFrame([(1, [[{"x": x, "y": y} for x, y in r] for r in shape])], "id long, s array<array<struct<x:double,y:double>>>")
+    runs = cells.runs(df, [], "id", "s")
+    assert runs.count() == 40 * -(-100_000 // cells.TILE) and runs.agg({"c1": "max"}).first()[0] == 100_000
