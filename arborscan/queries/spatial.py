@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from arborscan.functions import crs, polygons, rings
+from arborscan.functions import crs, overlay, polygons, rings
 from arborscan.operators import cells, components, matching, spatial, stats, zones
 from arborscan.queries.registry import Tables, query
 
@@ -223,6 +223,22 @@ def region_union(t: Tables):
     return cells.union(grid, "component").groupBy("component").agg(F.count("*").alias("cells"))
 
 
+# unit cells of the boxes, whose corners are whole numbers: a side of a cell without its neighbour is part of the outline
+_UNIT = """k AS (SELECT DISTINCT c.component, d.x0 + i AS x, d.y0 + j AS y FROM v_detections d JOIN c USING (det_id), (SELECT unnest(range(0, 24)) AS i),
+  (SELECT unnest(range(0, 21)) AS j) WHERE d.x0 + i < d.x1 AND d.y0 + j < d.y1)"""
+
+
+@query("region_outline", f"""
+WITH RECURSIVE {_COMP}, {_UNIT}, s AS (SELECT component, x, y, unnest([1, -1, 0, 0]) AS i, unnest([0, 0, 1, -1]) AS j FROM k)
+SELECT s.component, CAST(count(*) // 4 AS DOUBLE) AS area, CAST(count(*) - count(n.x) AS DOUBLE) AS perimeter
+FROM s LEFT JOIN k n ON n.component = s.component AND n.x = s.x + s.i AND n.y = s.y + s.j GROUP BY s.component""")
+def region_outline(t: Tables):
+    """Dissolved components as polygons: their area and the length of all outlines."""
+    shapes = _components(t).select("component", rings.rectangle(*[F.col(c) for c in BOX]).alias("shape"))
+    whole = overlay.dissolve(shapes, ["component"], "shape")
+    return whole.select("component", overlay.area(F.col("polygons")).alias("area"), overlay.perimeter(F.col("polygons")).alias("perimeter"))
+
+
 _ELL_PAIRS = f"""SELECT d.det_id, m.mask_id, {_common('d', 'm')} AS common, 0.75 * ((d.x1 - d.x0) * (d.y1 - d.y0) + (m.x1 - m.x0) * (m.y1 - m.y0)) AS areas
  FROM v_detections d JOIN v_masks m ON d.tile_id = m.tile_id AND m.kind = 'forest' WHERE {_sql(_HIT, 'd', 'm')}"""
 
@@ -235,7 +251,19 @@ def _ell_pairs(t: Tables):
 
 @query("geom_union", f"SELECT det_id, mask_id, round(areas - common, 6) AS area FROM ({_ELL_PAIRS})")
 def geom_union(t: Tables):
-    return _ell_pairs(t).select("det_id", "mask_id", F.round(polygons.union_area(F.col("s"), F.col("m")), 6).alias("area"))
+    """Area of the united shape itself, built as polygons."""
+    return _ell_pairs(t).select("det_id", "mask_id", F.round(overlay.area(overlay.union(F.col("s"), F.col("m"))), 6).alias("area"))
+
+
+@query("overlay_polygons", f"""
+SELECT det_id, mask_id, round(common, 6)::DOUBLE AS common, round(0.75 * own - common, 6)::DOUBLE AS rest FROM (SELECT det_id, mask_id, common, own FROM
+ (SELECT d.det_id, m.mask_id, {_common('d', 'm')} AS common, (d.x1 - d.x0) * (d.y1 - d.y0) AS own FROM v_detections d JOIN v_masks m
+  ON d.tile_id = m.tile_id AND m.kind = 'forest' WHERE {_sql(_HIT, 'd', 'm')})) WHERE common > 0""")
+def overlay_polygons(t: Tables):
+    """Detections cut by concave masks: the polygons inside and those outside, by their areas."""
+    cut = _ell_pairs(t).select("det_id", "mask_id", overlay.intersection(F.col("s"), F.col("m")).alias("inside"), overlay.difference(F.col("s"), F.col("m")).alias("outside"))
+    return cut.where(F.size("inside") > 0).select("det_id", "mask_id", F.round(overlay.area(F.col("inside")), 6).alias("common"),
+                                                  F.round(overlay.area(F.col("outside")), 6).alias("rest"))
 
 
 @query("geom_intersection_area", f"SELECT det_id, mask_id, round(common, 6)::DOUBLE AS area FROM ({_ELL_PAIRS})")
