@@ -13,7 +13,7 @@ from arborscan.llm.shingles import _powers, mixed
 #: A-Z to a-z, every other byte to itself.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-#: Keys of blocks keep this many bits of a 64-bit hash.
+#: Keys of blocks keep this many bits of a 64-bit hash, where not said otherwise.
 KEY_BITS = 48
 
 
@@ -70,9 +70,9 @@ def hashes(words: pa.StringArray) -> np.ndarray:
     return mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
-def slice_bounds(slices: int) -> np.ndarray:
-    """First key of every slice of the key range, and the end of the last; slices end at multiples of 2 ** (KEY_BITS - 16)."""
-    return (np.arange(slices + 1) * (1 << 16) + slices - 1).astype(np.uint64) // np.uint64(slices) << np.uint64(KEY_BITS - 16)
+def slice_bounds(slices: int, bits: int = KEY_BITS) -> np.ndarray:
+    """First key of every slice of the range of ``bits``-bit keys, and the end of the last; slices end at multiples of 2 ** (bits - 16)."""
+    return (np.arange(slices + 1) * (1 << 16) + slices - 1).astype(np.uint64) // np.uint64(slices) << np.uint64(bits - 16)
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -91,9 +91,9 @@ def unpacked(block: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(steps, dtype=np.uint64), values.view(np.int64)
 
 
-def sliced(keys: np.ndarray, values: np.ndarray, slices: int) -> Iterator[tuple[int, bytes]]:
+def sliced(keys: np.ndarray, values: np.ndarray, slices: int, bits: int = KEY_BITS) -> Iterator[tuple[int, bytes]]:
     """(slice, block) of every slice that holds some of the sorted keys."""
-    cuts = np.searchsorted(keys, slice_bounds(slices))
+    cuts = np.searchsorted(keys, slice_bounds(slices, bits))
     for number in np.flatnonzero(np.diff(cuts)):
         low, high = cuts[number], cuts[number + 1]
         yield int(number), packed(keys[low:high], values[low:high])

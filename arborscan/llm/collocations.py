@@ -24,7 +24,7 @@ from arborscan.llm.shingles import mixed
 
 MIN_COUNT, LONGEST, SHARE, TOP = 10, 3, 50, 2000
 SCALE = 1_000_000
-MAP_BITS = 27  # the map of frequent keys has 2 ** MAP_BITS bits, 16 MB
+MAP_BITS, KEY_BITS = 27, 40  # the map of frequent keys has 2 ** MAP_BITS bits, 16 MB; bits of a key
 _COMPACT = 1 << 22  # keys of a slice that wait until they are added up
 
 #: Bytes that part pieces, and bytes that part words inside a piece.
@@ -55,7 +55,7 @@ class _Phrases:
             if length > 1:
                 joined = mixed(joined * np.uint64(2 * length + 1) + self.hash[length - 1:])
             starts = np.flatnonzero(self.piece[:n] == self.piece[length - 1:]) if length > 1 else np.arange(n)
-            yield length, starts, joined[starts] >> np.uint64(64 - buffers.KEY_BITS)
+            yield length, starts, joined[starts] >> np.uint64(64 - KEY_BITS)
 
 
 def _by_language(batch: pa.RecordBatch):
@@ -64,21 +64,21 @@ def _by_language(batch: pa.RecordBatch):
     numbers = coded.indices.to_numpy(zero_copy_only=False)
     for k, lang in enumerate(coded.dictionary.to_pylist()):
         column = batch.column(1) if len(coded.dictionary) == 1 else batch.column(1).take(pa.array(np.flatnonzero(numbers == k)))
-        for _, _, data, bounds in buffers.parts(column, 1 << 22):
+        for _, _, data, bounds in buffers.parts(column, 6 << 20):
             yield lang, _Phrases(lang, data, bounds)
 
 
 def _frequent_keys(texts: DataFrame, min_count: int, longest: int) -> bytearray:
     """Map of the keys (their first MAP_BITS bits) that occur at least ``min_count`` times."""
     slices = min(parallelism(texts.sparkSession), 1 << 16)
-    bounds = buffers.slice_bounds(slices)
-    shift = np.uint64(buffers.KEY_BITS - MAP_BITS)
+    bounds = buffers.slice_bounds(slices, KEY_BITS)
+    shift = np.uint64(KEY_BITS - MAP_BITS)
 
     def blocks(batches):
         for batch in batches:
             for _, phrases in _by_language(batch):
                 keys, counts = np.unique(np.concatenate([k for _, _, k in phrases.keys(longest)]), return_counts=True)
-                found = list(buffers.sliced(keys, np.minimum(counts, min_count), slices))
+                found = list(buffers.sliced(keys, np.minimum(counts, min_count), slices, KEY_BITS))
                 yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.int32()), pa.array([b for _, b in found], pa.binary())],
                                                  ["slice", "block"])
 
@@ -132,7 +132,7 @@ def grams(docs: DataFrame, min_count: int, longest: int) -> DataFrame:
     """
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     frequent = texts.sparkSession.sparkContext.broadcast(bytes(_frequent_keys(texts, min_count, longest)))
-    names, shift = ["lang", *_words(longest), "f"], np.uint64(buffers.KEY_BITS - MAP_BITS)
+    names, shift = ["lang", *_words(longest), "f"], np.uint64(KEY_BITS - MAP_BITS)
 
     def count(batches):
         bits = np.frombuffer(frequent.value, np.uint8)
