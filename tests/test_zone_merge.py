@@ -129,3 +129,11 @@ def test_repeated_batch_changes_nothing(spark):
 def test_bad_option(spark):
     with pytest.raises(ValueError):
         zone_merge.merge(None, None, None, None, multipart="maybe")
+
+
+def test_replay_and_stream_agree_on_the_tables(spark):
+    from arborscan.queries import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    batch, stream = ({tuple(r) for r in QUERIES[name](spark, folder).collect()} for name in ("replay_results", "stream_zone_merge"))
+    assert batch == stream and len(batch) > 100
