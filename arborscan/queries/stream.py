@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from arborscan.functions import rings
 from arborscan.operators import catalog
-from arborscan.plans import runs, zone_merge
+from arborscan.plans import runs, shape_merge, zone_merge
 from arborscan.queries.catalogue import _DAILY, _daily
 from arborscan.queries.registry import Tables, query
+from arborscan.queries.spatial import _ell
 from arborscan.session import work_folder
 from arborscan.streaming import ingest, pairs, zones
 
@@ -98,6 +100,23 @@ def replay_results(t: Tables):
     return result.stored.select("id", "zone_id", "image_date_previous", "image_date_current")
 
 
+@query("zone_merge_shapes")
+def zone_merge_shapes(t: Tables):
+    """L-shaped detections merged by their true shapes, with the area of the union that each row stores.
+
+    Two batches, by date; the second reads what the first has stored for its tiles.
+    """
+    accepted, _ = zone_merge.prepare(_detections(t.table("orders")))
+    shaped = accepted.withColumn("rings", _ell(*(F.col(c) for c in ("x0", "y0", "x1", "y1"))))
+    store = shape_merge.Store(t.spark, work_folder(t.spark, "shapes"), seq="struct<day: date, id: long>")
+    first, last = shaped.agg(F.min("image_date_1"), F.max("image_date_1")).first()
+    if first is not None:
+        middle = first + (last - first) / 2
+        for batch, part in enumerate((F.col("image_date_1") <= middle, F.col("image_date_1") > middle)):
+            store.save(shaped.where(part), batch, reach=5.0)
+    return store.rows().select("id", "zone_id", "image_date_previous", "image_date_current", F.round(rings.area(F.col("rings")), 6).alias("united"))
+
+
 @query("backfill_then_incremental", """
 WITH c AS (SELECT s.tile_id, s.image_date, min(s.scene_id) AS scene_id, min(CASE WHEN t.first_date IS NULL THEN 'backfill' ELSE 'incremental' END) AS mode
   FROM v_scenes s JOIN v_tiles t ON s.tile_id = t.tile_id WHERE t.is_tracked = 1 AND s.nodata_tenths < 50 AND s.cloud_tenths < 500
