@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from pyspark.sql import Column, DataFrame, functions as F
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
-
-from arborscan.operators import cells as cell_sets
+from arborscan.operators import cells as cell_sets, outlines
 from arborscan.operators.components import connected_components
 from arborscan.operators.rasters import to_chips
 from arborscan.operators.segments import label_cells
@@ -40,92 +36,36 @@ def label_regions(mask: DataFrame, keys: list[str], size: int = 64) -> DataFrame
             .select(*keys, "x", "y", F.coalesce("component", F.col("_node")).alias("region")))
 
 
-_RING = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
-
-
-def _walk(ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray) -> list[tuple[list, list]]:
-    """Closed walks over directed boundary edges as (corners, owner cells).
-
-    At a corner where two cells of the region touch diagonally the walk changes over to
-    the other cell, which keeps 8-connected regions in one outer ring.
-    """
-    dx, dy = bx - ax, by - ay
-    owner = list(zip(ax + np.where((dx < 0) | (dy > 0), -1, 0), ay + np.where((dx < 0) | (dy < 0), -1, 0)))
-    leaving: dict = {}
-    for i, start in enumerate(zip(ax, ay)):
-        leaving.setdefault(start, []).append(i)
-    unused, rings = set(range(len(ax))), []
-    for first in sorted(unused, key=lambda i: (ay[i], ax[i])):
-        if first not in unused:
-            continue
-        corners, owners, i = [], [], first
-        while i in unused:
-            unused.discard(i)
-            corners.append((float(ax[i]), float(ay[i])))
-            owners.append(owner[i])
-            options = [j for j in leaving[(bx[i], by[i])] if j in unused]
-            if not options:
-                break
-            i = next((j for j in options if owner[j] != owner[i]), options[0]) if len(options) > 1 else options[0]
-        rings.append((corners, owners))
-    return rings
-
-
-def _simplify(points: list) -> list:
-    """Drop repeated points and points in the middle of a straight run."""
-    kept = [p for i, p in enumerate(points) if p != points[i - 1]] or points[:1]
-    if len(kept) < 3:
-        return kept
-    step = lambda a, b: (np.sign(b[0] - a[0]), np.sign(b[1] - a[1]))
-    return [p for i, p in enumerate(kept) if step(kept[i - 1], p) != step(p, kept[(i + 1) % len(kept)])]
-
-
-def _signed(points: list) -> float:
-    return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(points, points[1:] + points[:1])) / 2
-
-
 def polygonize(regions: DataFrame, keys: list[str], transform: tuple = (1.0, 0.0, 0.0, 0.0, 1.0, 0.0),
-               boundary: str = "cell", holes: str = "separate") -> DataFrame:
+               boundary: str = "cell", holes: str = "separate", block: int = outlines.BLOCK) -> DataFrame:
     """Region cells -> polygons (keys, region, part, hole, shape).
 
     ``boundary='center'`` runs through cell centres (contours of fewer than three points
     are dropped), ``'cell'`` along cell borders. ``holes='separate'`` gives hole contours
-    as polygons of their own, ``'ring'`` puts them into their region's polygon. Only
-    boundary edges are gathered per region, and the result is one geometry value anyway.
+    as polygons of their own, ``'ring'`` puts them into their region's polygon. Unit edges become
+    straight runs line by line, runs become chains block by block, and chains are put in order by
+    pointer jumping (``outlines``): only the corners of a finished ring ever stand in one row, and no task holds
+    more than a block of a region that covers a whole scene. Coordinates lie within +-2**29.
     """
-    edges = cell_sets.boundary(regions.select(*keys, "region", F.col("x").alias("cx"), F.col("y").alias("cy")), "region", keys)
-    outline = edges.groupBy(*keys, "region").agg(F.collect_list(F.struct("a", "b")).alias("_e"))
-    ends = {"ax": "a.x", "ay": "a.y", "bx": "b.x", "by": "b.y"}
-    arrays = outline.select(*keys, "region", *[F.col(f"_e.{path.split('.')[0]}.{path.split('.')[1]}").alias(name) for name, path in ends.items()])
-    kinds = {field.name: field for field in regions.schema.fields}
-    schema = T.StructType([*[kinds[k] for k in keys], T.StructField("region", T.StringType()), T.StructField("part", T.IntegerType()),
-                           T.StructField("hole", T.BooleanType()), T.StructField("shape", T.ArrayType(_RING))])
-    a, b, c, d, e, f = transform
-
-    def world(points: list) -> list:
-        # an affine transform maps centres by adding half a cell
-        shift = 0.5 if boundary == "center" else 0.0
-        placed = [{"x": a * (x + shift) + b * (y + shift) + c, "y": d * (x + shift) + e * (y + shift) + f} for x, y in points]
-        return placed + placed[:1]
-
-    def trace(row: tuple) -> list[list]:
-        *head, ax, ay, bx, by = row
-        rings = []
-        for corners, owners in _walk(ax, ay, bx, by):
-            hole = _signed(corners) < 0
-            points = _simplify([(float(x), float(y)) for x, y in owners] if boundary == "center" else corners)
-            if len(points) > 2:
-                rings.append((hole, world(points)))
-        if holes == "ring":
-            outer, inner = ([ring for hole, ring in rings if hole is side] for side in (False, True))
-            return [[*head, 0, False, [*outer, *inner]]] if outer else []
-        return [[*head, n, hole, [ring]] for n, (hole, ring) in enumerate(rings)]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame([part for row in frame.itertuples(index=False, name=None) for part in trace(row)], columns=schema.names)
-
-    return arrays.mapInPandas(run, schema)
+    own = [*keys, "region"]
+    edges = cell_sets.boundary(regions.select(*own, F.col("x").alias("cx"), F.col("y").alias("cy")), "region", keys)
+    a, b, c, d, e, f = (F.lit(float(v)) for v in transform)
+    shift = 0.5 if boundary == "center" else 0.0  # an affine transform maps centres by adding half a cell
+
+    def world(x: Column, y: Column) -> Column:
+        x, y = x.cast("double") + shift, y.cast("double") + shift
+        return F.struct((a * x + b * y + c).alias("x"), (d * x + e * y + f).alias("y"))
+
+    if boundary == "center":
+        line = F.transform(outlines.centres(F.col("points")), lambda p: world(p["x"], p["y"]))
+    else:
+        line = F.transform("points", lambda s: world(s["x0"], s["y0"]))
+    contours = (outlines.rings(edges, keys, "region", block).select(*own, "ring", "hole", line.alias("line")).where(F.size("line") > 2)
+                .select(*own, "ring", "hole", F.concat("line", F.slice("line", 1, 1)).alias("line")))
+    if holes == "separate":
+        return outlines.numbered(cut_lineage(contours), own, "ring").select(*own, "part", "hole", F.array("line").alias("shape"))
+    joined = contours.groupBy(*own).agg(F.sort_array(F.collect_list(F.struct("hole", "ring", "line"))).alias("_r"))
+    return joined.where(~F.col("_r")[0]["hole"]).select(*own, F.lit(0).alias("part"), F.lit(False).alias("hole"), F.col("_r.line").alias("shape"))
 
 
 def rasterize(shapes: DataFrame, keys: list[str], id: str, shape: str, size: float = 1.0) -> DataFrame:

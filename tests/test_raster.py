@@ -139,6 +139,53 @@ def test_polygonize_holes_and_centres(spark):
     assert len(diagonal) == 1 and not diagonal[0]["hole"]
 
 
+def spiral(side):
+    mask = np.zeros((side, side), bool)
+    x, y, dx, dy = 0, 0, 1, 0
+    mask[0, 0] = True
+    while True:
+        for _ in range(2):
+            beyond = (x + 2 * dx, y + 2 * dy)
+            free = 0 <= x + dx < side and 0 <= y + dy < side and not (0 <= beyond[0] < side and 0 <= beyond[1] < side and mask[beyond[1], beyond[0]])
+            if free:
+                break
+            dx, dy = -dy, dx
+        if not free or mask[y + dy, x + dx]:
+            return mask
+        x, y = x + dx, y + dy
+        mask[y, x] = True
+
+
+def filled(shape, size):
+    """Cells whose centre lies inside by even-odd."""
+    grid = np.zeros(size, int)
+    for ring in shape:
+        for p, q in zip(ring, ring[1:]):
+            if p["x"] == q["x"]:
+                low, high = sorted((int(p["y"]), int(q["y"])))
+                grid[low:high, int(p["x"]):] += 1
+    return grid % 2 == 1
+
+
+@pytest.mark.parametrize("block", [1, 5, 256])
+def test_outlines_across_blocks(spark, block):
+    masks = [np.random.default_rng(11).random((19, 23)) < 0.55, spiral(23), np.ones((12, 31), bool)]
+    masks[2][3:9, 4:27:2] = False
+    rows = [(k, f"r{labels[y, x]}", int(x), int(y)) for k, labels in enumerate(map(flood_labels, masks)) for y, x in zip(*np.nonzero(labels))]
+    df = spark.createDataFrame(rows, "k int, region string, x long, y long")
+    expected = {}
+    for k, name, x, y in rows:
+        expected.setdefault((k, name), set()).add((x, y))
+    found = regions.polygonize(df, ["k"], holes="ring", block=block).collect()
+    assert {(r["k"], r["region"]): {(int(x), int(y)) for y, x in zip(*np.nonzero(filled(r["shape"], masks[r["k"]].shape)))} for r in found} == expected
+    assert len(found) == len(expected) and all(ring[0] == ring[-1] for r in found for ring in r["shape"])
+    # every corner turns, and the comb's eleven slits and its last one are holes of their own with parts counted on
+    turns = [(p["x"] == q["x"]) != (q["x"] == s["x"]) for r in found for ring in r["shape"] for p, q, s in zip(ring, ring[1:], ring[2:])]
+    assert all(turns)
+    parts = regions.polygonize(df.where("k = 2"), ["k"], block=block).select("part", "hole").collect()
+    assert sorted((r["part"], r["hole"]) for r in parts) == [(n, n > 0) for n in range(13)]
+
+
 def test_chamfer_distance_and_flood(spark):
     mask = np.zeros((7, 9))
     mask[1:6, 1:8] = 1
