@@ -6,6 +6,10 @@ per chip through the shuffle instead of nine rows per cell.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from arborscan.functions import bands, chips as chip_fn
@@ -125,6 +129,77 @@ def mosaic(sources: list[DataFrame], keys: list[str], nodata: float | None = Non
     return tagged.groupBy(*keys, "x", "y").agg(F.max_by("v", "_n").alias("v"))
 
 
+class Grid(NamedTuple):
+    """Header of a north-up raster: upper left corner, cell size and number of cells."""
+
+    left: float
+    top: float
+    width: int
+    height: int
+    cell_x: float = 1.0
+    cell_y: float = 1.0
+
+    @property
+    def right(self) -> float:
+        return self.left + self.width * self.cell_x
+
+    @property
+    def bottom(self) -> float:
+        return self.top - self.height * self.cell_y
+
+
+def common_grid(grids: list[Grid], cell: tuple[float, float] | None = None, aligned: bool = False) -> Grid:
+    """The grid around all grids, with the cell size of the first unless ``cell`` gives one.
+
+    ``aligned`` widens the extent to multiples of the cell size, so that mosaics of neighbouring areas share one lattice.
+    """
+    dx, dy = cell or (grids[0].cell_x, grids[0].cell_y)
+    left, right = min(g.left for g in grids), max(g.right for g in grids)
+    bottom, top = min(g.bottom for g in grids), max(g.top for g in grids)
+    if aligned:
+        left, right = math.floor(left / dx) * dx, math.ceil(right / dx) * dx
+        bottom, top = math.floor(bottom / dy) * dy, math.ceil(top / dy) * dy
+    return Grid(left, top, int((right - left) / dx + 0.5), int((top - bottom) / dy + 0.5), dx, dy)
+
+
+def on_grid(cells: DataFrame, source: Grid, target: Grid, others: list[str]) -> DataFrame:
+    """Cells (others, x, y) of one grid as cells of another: each target cell takes the source cell its centre falls into.
+
+    The source's edges move to the nearest lines of the target first (starts down from nine tenths of a cell, ends by
+    halves), and its cells share that window evenly. A coarse cell is written out once per target cell it covers and
+    a fine one that holds no centre is dropped before any shuffle; a window without cells gives none.
+    """
+    def along(axis: str, near: float, far: float, size: int, limit: int) -> Column:
+        start, stop = math.floor(near + 0.1), math.floor(far + 0.5)
+        n = max(stop - start, 0)
+        first = lambda s: F.ceil((s * (2 * n) - size) / F.lit(2 * size)).cast("long")
+        low, high = F.greatest(first(F.col(axis)) + start, F.lit(0)), F.least(first(F.col(axis) + 1) + start, F.lit(limit))
+        inside = F.col(axis).between(0, size - 1) & (high > low)
+        return F.explode(F.when(inside, F.sequence(low, high - 1))).alias(axis)
+
+    across = along("x", (source.left - target.left) / target.cell_x, (source.right - target.left) / target.cell_x, source.width, target.width)
+    down = along("y", (target.top - source.top) / target.cell_y, (target.top - source.bottom) / target.cell_y, source.height, target.height)
+    wide = cells.select(*others, "y", across)
+    return wide.select(*others, "x", down)
+
+
+def mosaic_grids(sources: list[tuple[DataFrame, Grid]], keys: list[str], nodata: float | None = None, init: float | None = None,
+                 cell: tuple[float, float] | None = None, aligned: bool = False) -> tuple[DataFrame, Grid]:
+    """``mosaic`` of sources with grids of their own (cell size and place): cells on the common grid, and that grid.
+
+    Cells count from the common grid's upper left corner. With ``init`` every cell no source covers gets that value,
+    for every key that occurs in a source. Only headers are looked at before the job runs.
+    """
+    target = common_grid([grid for _, grid in sources], cell, aligned)
+    placed = [on_grid(df, grid, target, [c for c in df.columns if c not in ("x", "y")]) for df, grid in sources]
+    extent = None
+    if init is not None:
+        names = reduce(DataFrame.unionByName, [df.select(*keys, F.lit(1).alias("_")) for df in placed]).distinct()
+        rows = names.withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(target.height - 1).cast("long")))).repartition(*keys, "y")
+        extent = rows.withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(target.width - 1).cast("long"))))
+    return mosaic(placed, keys, nodata, init, extent), target
+
+
 def accumulate(parts: DataFrame, keys: list[str]) -> DataFrame:
     """Sum of window predictions per cell of the full raster."""
     return parts.groupBy(*keys, "x", "y").agg(F.sum("v").alias("v"))

@@ -299,6 +299,20 @@ def mosaic(t: Tables):
     return rasters.mosaic(sources, [], nodata=100)
 
 
+@query("mosaic_grids", """
+WITH s AS (SELECT 0 AS n, scene * 8 + x AS x, CAST(y AS BIGINT) + 4 AS y, v FROM v_pixels WHERE band = 0
+ UNION ALL SELECT 1, (scene * 8 + x) * 2 + i + 3, y * 2 + j, v FROM v_pixels, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j) WHERE band = 1
+ UNION ALL SELECT 2, (scene * 8 + x) // 2 + 1, y // 2 + 6, v FROM v_pixels WHERE band = 2 AND x % 2 = 1 AND y % 2 = 1)
+SELECT x, y, CAST(arg_max(v, n) AS DOUBLE) AS v FROM s WHERE v <> 100 GROUP BY x, y""")
+def mosaic_grids(t: Tables):
+    """Bands with cells of 10, 20 and 5 metres on one lattice of 10 metres."""
+    scene = _scene(t)
+    width = 8 * (t.view("chips").agg(F.max("scene")).first()[0] + 1)
+    grids = [rasters.Grid(0, 120, width, 8, 10, 10), rasters.Grid(30, 160, width, 8, 20, 20), rasters.Grid(10, 100, width, 8, 5, 5)]
+    sources = [(scene.where(F.col("band") == b).select("x", "y", "v"), grid) for b, grid in enumerate(grids)]
+    return rasters.mosaic_grids(sources, [], nodata=100, aligned=True)[0]
+
+
 @query("resample_nearest", """
 SELECT chip_id, x * 2 + i AS x, y * 2 + j AS y, CAST(v AS DOUBLE) AS v FROM v_pixels, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j)""")
 def resample_nearest(t: Tables):

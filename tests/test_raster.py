@@ -210,6 +210,27 @@ def test_calc_rules(spark):
         rasters.align_bands(wide, ["s"], [0, 1], ["a", "b"]).collect()
 
 
+def test_mosaic_of_unlike_grids(spark):
+    rng = np.random.default_rng(4)
+    grids = [rasters.Grid(5, 83, 9, 7, 10, 10), rasters.Grid(-22, 61, 6, 5, 20, 15), rasters.Grid(31, 70, 13, 9, 4, 5)]
+    images = [rng.integers(1, 99, (g.height, g.width)) for g in grids]
+    images[2][::3, ::2] = 0
+    sources = [(spark.createDataFrame([("a", x, y, float(v)) for (y, x), v in np.ndenumerate(i)], "k string, x long, y long, v double"), g) for i, g in zip(images, grids)]
+    out, target = rasters.mosaic_grids(sources, ["k"], nodata=0.0, init=-1.0, aligned=True)
+    assert target == rasters.Grid(-30, 90, 13, 11, 10, 10)
+    expected = np.full((target.height, target.width), -1.0)
+    for image, g in zip(images, grids):
+        x0, x1 = int((g.left + 30) / 10 + 0.1), int((g.right + 30) / 10 + 0.5)
+        y0, y1 = int((90 - g.top) / 10 + 0.1), int((90 - g.bottom) / 10 + 0.5)
+        for y in range(y0, min(y1, target.height)):
+            for x in range(x0, min(x1, target.width)):
+                v = image[int((y - y0 + 0.5) * g.height / (y1 - y0)), int((x - x0 + 0.5) * g.width / (x1 - x0))]
+                expected[y, x] = v or expected[y, x]
+    got = out.collect()
+    assert len(got) == expected.size and {(r["x"], r["y"]): r["v"] for r in got} == {(x, y): v for (y, x), v in np.ndenumerate(expected)}
+    assert rasters.mosaic_grids([(sources[0][0].limit(0), grids[0])], ["k"], init=0.0)[0].count() == 0
+
+
 def test_mosaic_rules(spark):
     ddl = "x int, y int, v double, masked boolean"
     first = spark.createDataFrame([(0, 0, 1.0, False), (1, 0, 2.0, False), (2, 0, 3.0, False)], ddl)
