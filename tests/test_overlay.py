@@ -105,3 +105,47 @@ def test_overlay_columns_of_nulls_and_several_polygons(spark):
     got = {r.id: r for r in df.select("id", "b", overlay.difference(F.col("a"), F.col("b")).alias("d")).withColumn(
         "back", overlay.union(F.flatten("d"), F.col("b"))).withColumn("size", overlay.area(F.col("back"))).collect()}
     assert len(got[1].d) == 2 and got[1].size == 7.0 and got[2].d is None and got[2].back is None
+
+
+def near(ring, px, py):
+    """Distance of points to a ring of corners."""
+    best = np.full(px.shape, np.inf)
+    for (ax, ay), (bx, by) in zip(ring, ring[1:]):
+        along = np.clip(((px - ax) * (bx - ax) + (py - ay) * (by - ay)) / ((bx - ax) ** 2 + (by - ay) ** 2), 0, 1)
+        best = np.minimum(best, np.hypot(px - ax - along * (bx - ax), py - ay - along * (by - ay)))
+    return best
+
+
+def holds(rings_, px, py):
+    inside = np.zeros(px.shape, bool)
+    for ring in rings_:
+        for (ax, ay), (bx, by) in zip(ring, ring[1:]):
+            if ay != by:
+                inside ^= ((ay > py) != (by > py)) & (px < ax + (py - ay) * (bx - ax) / (by - ay))
+    return inside
+
+
+def test_offset_against_distances(spark):
+    notched = [(0, 0), (9, 0), (9, 6), (5.5, 6), (5.5, 1.5), (4, 1.5), (4, 6), (0, 6), (0, 0)]
+    skew = [(0, 0), (8, 3), (3, 9), (2.5, 4), (0, 0)]
+    framed = [(0, 0), (10, 0), (10, 10), (0, 10), (0, 0)]
+    window = [(4, 4), (4, 5.5), (5.5, 5.5), (5.5, 4), (4, 4)]
+    shapes = {1: [notched], 2: [skew], 3: [framed, window]}
+    rows = [(k, [[(float(x), float(y)) for x, y in ring] for ring in shape]) for k, shape in shapes.items()] + [(4, []), (None, None)]
+    df = spark.createDataFrame(rows, f"id int, shape {SHAPE}")
+    draw = np.random.default_rng(8)
+    px, py = draw.uniform(-3, 13, 4000), draw.uniform(-3, 13, 4000)
+    for distance in (1.0, -1.0):
+        found = {r["id"]: [[(p["x"], p["y"]) for p in ring] for polygon in r["polygons"] for ring in polygon] for r in overlay.offset(df, ["id"], "shape", distance).collect()}
+        assert found.pop(4) == [] and found.pop(None) == [] and set(found) == set(shapes)
+        for k, shape in shapes.items():
+            away = np.min([near(ring, px, py) for ring in shape], axis=0)
+            inside = holds(shape, px, py)
+            expected = inside | (away < 1) if distance > 0 else inside & (away > 1)
+            clear = abs(away - 1) > 0.01  # a circle of 64 sides stays within a hundredth
+            assert (holds(found[k], px, py) == expected)[clear].all()
+    # a gap of one and a half closes when both sides grow by one, a window too; shrunk by five the frame is gone
+    grown = {r["id"]: r["polygons"] for r in overlay.offset(df.where("id < 4"), ["id"], "shape", 1.0).collect()}
+    assert [len(polygon) for polygon in grown[3]] == [1]
+    assert overlay.offset(df.where("id = 3"), ["id"], "shape", -6.0).first()["polygons"] == []
+    assert len(overlay.offset(df.where("id = 3"), ["id"], "shape", 0.0).first()["polygons"][0]) == 2
