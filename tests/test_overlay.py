@@ -149,3 +149,30 @@ def test_offset_against_distances(spark):
     assert [len(polygon) for polygon in grown[3]] == [1]
     assert overlay.offset(df.where("id = 3"), ["id"], "shape", -6.0).first()["polygons"] == []
     assert len(overlay.offset(df.where("id = 3"), ["id"], "shape", 0.0).first()["polygons"][0]) == 2
+
+
+def test_many_pairs_go_through_the_steps_together():
+    draw = random.Random(4)
+    pairs = [(star(draw, draw.choice([3, 5, 12]), 0, 0, 10), box(*(sorted(draw.sample(range(-9, 9), 2))[i] for i in (0, 0, 1, 1)))) for _ in range(400)]
+    pairs[7] = (box(math.nan, 0, 1, 1), box(0, 0, 1, 1))  # unknown corners disturb no other pair
+    pairs[8] = ([], [])
+    for kind in ("union", "intersection", "difference"):
+        together = overlay.combine_many(pairs, kind)
+        for (a, b), found in zip(pairs, together):
+            one = overlay.combine(a, b, kind)
+            assert [[ring.tolist() for ring in polygon] for polygon in one] == [[ring.tolist() for ring in polygon] for polygon in found]
+
+
+def test_overlay_columns_keep_nulls_and_empty_shapes(spark):
+    ring = [[{"x": float(x), "y": float(y)} for x, y in ((0, 0), (2, 0), (2, 2), (0, 2), (0, 0))]]
+    df = spark.createDataFrame([(1, ring, ring), (2, None, ring), (3, [], ring), (4, [], [])], f"id int, a {SHAPE}, b {SHAPE}")
+    got = {r["id"]: r["u"] for r in df.select("id", overlay.union(F.col("a"), F.col("b")).alias("u")).collect()}
+    assert [len(got[1]), got[2], len(got[3]), got[4]] == [1, None, 1, []]
+
+
+def test_keys_of_one_shape_take_no_part_in_the_rounds(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(overlay, "cut_lineage", lambda df: rounds.append(df.count()) or df.localCheckpoint())
+    df = spark.createDataFrame(rows([(k, box(5000 * k, 0, 5000 * k + 1, 1)) for k in range(50)] + [(0, box(90_000, 0, 90_001, 1))]), f"key int, shape {SHAPE}")
+    assert overlay.dissolve(df, ["key"], "shape").count() == 50
+    assert rounds.count(51) == 1 and rounds.count(50) == 1  # what comes in and what goes out
