@@ -79,11 +79,21 @@ def union(cells: DataFrame, region: str, keys: list[str] = ()) -> DataFrame:
 
 
 def dilate(cells: DataFrame, region: str, radius: int = 1, keys: list[str] = ()) -> DataFrame:
-    """Regions grown by ``radius`` cells in every direction (square buffer)."""
+    """Regions grown by ``radius`` cells in every direction (square buffer).
+
+    Cells meet as blocks of 8 x 8, one bit each: a block's bits are set before the shuffle, which sees one row per
+    region and block that a task touches.
+    """
     step = F.sequence(F.lit(-radius), F.lit(radius))
-    return (cells.withColumn("_dx", F.explode(step)).withColumn("_dy", F.explode(step))
-            .select(*keys, region, (F.col("cx") + F.col("_dx")).alias("cx"), (F.col("cy") + F.col("_dy")).alias("cy"))
-            .distinct())
+    grown = (cells.select(*keys, region, "cx", "cy", F.explode(step).alias("_dx")).withColumn("_dy", F.explode(step))
+             .select(*keys, region, (F.col("cx") + F.col("_dx")).cast("long").alias("_x"), (F.col("cy") + F.col("_dy")).cast("long").alias("_y")))
+    bit = F.expr("shiftleft(1L, CAST((_x & 7) | ((_y & 7) << 3) AS INT))")
+    blocks = grown.groupBy(*keys, region, F.shiftright("_x", 3).alias("_bx"), F.shiftright("_y", 3).alias("_by")).agg(F.bit_or(bit).alias("_bits"))
+    there = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("getbit", F.col("_bits"), i) == 1)
+    kinds = {f.name: f.dataType for f in cells.schema.fields}
+    return blocks.withColumn("_i", F.explode(there)).select(
+        *keys, region, (F.col("_bx") * 8 + F.col("_i") % 8).cast(kinds["cx"]).alias("cx"),
+        (F.col("_by") * 8 + F.floor(F.col("_i") / 8)).cast(kinds["cy"]).alias("cy"))
 
 
 def boundary(cells: DataFrame, region: str, keys: list[str] = ()) -> DataFrame:
