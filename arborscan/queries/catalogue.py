@@ -11,6 +11,8 @@ from arborscan.queries.registry import Tables, query
 from arborscan.session import work_folder
 from arborscan.sources import chips as chip_files, geojson, kml
 
+MARKS_PER_FILE = 100_000  # placemarks of a KML file
+
 
 @query("scene_listing", "SELECT scene_id, path FROM v_scenes WHERE path LIKE 'L2/tiles/36/U/YA/%'")
 def scene_listing(t: Tables):
@@ -97,7 +99,8 @@ def tile_bounds_read(t: Tables):
     ring = F.struct(F.struct(F.struct(F.concat_ws(" ", *corner).alias("coordinates")).alias("LinearRing")).alias("outerBoundaryIs"))
     marks = t.view("masks").select(F.concat(F.lit("T"), F.col("mask_id").cast("string"), "kind").alias("name"), ring.alias("Polygon"))
     folder = work_folder(t.spark, "kml")
-    marks.write.format("xml").option("rootTag", "kml").option("rowTag", "Placemark").save(folder)
+    # a KML file is read by one task: files of bounded length, however much one task writes
+    marks.write.format("xml").option("rootTag", "kml").option("rowTag", "Placemark").option("maxRecordsPerFile", MARKS_PER_FILE).save(folder)
     return kml.read_tile_bounds(t.spark, folder)
 
 

@@ -115,3 +115,14 @@ def test_manifest_error_when_a_folder_is_empty(spark):
     files = spark.createDataFrame([(1, "IMG_DATA/R10m/x_B04_10m.jp2"), (1, "IMG_DATA/R20m/x_B11_20m.jp2"), (1, "QI_DATA/other.jp2"), (2, "IMG_DATA/R10m/x_B04_10m.jp2")], "scene_id int, file string")
     got = {r["scene_id"]: r["is_downloaded"] for r in catalog.band_manifest(files, ["scene_id"]).collect()}
     assert got == {1: 2, 2: -1}
+
+
+def test_kml_files_are_bounded(spark, tmp_path, monkeypatch):
+    from arborscan.queries import QUERIES, catalogue
+    monkeypatch.setattr(catalogue, "MARKS_PER_FILE", 10)
+    monkeypatch.setattr(catalogue, "work_folder", lambda *_: str(tmp_path / "kml"))
+    spark.range(1, 46).selectExpr("id AS c_custkey").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    spark.range(1, 26).selectExpr("id AS p_partkey", "5 AS p_size").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    assert QUERIES["tile_bounds_read"](spark, str(tmp_path)).count() == 70
+    marks = [f.read_text().count("<Placemark>") for f in (tmp_path / "kml").glob("part-*")]
+    assert sum(marks) == 70 and max(marks) <= 10
