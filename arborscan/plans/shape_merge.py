@@ -18,7 +18,7 @@ detections takes one round.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from arborscan.functions import polygons, rings
-from arborscan.functions.overlay import combine
+from arborscan.functions.overlay import combine_many
 from arborscan.operators import spatial
 from arborscan.operators.components import connected_components
 from arborscan.session import cut_lineage
@@ -34,6 +34,7 @@ from arborscan.sources.stored import read_if_there
 
 REACH = 50.0
 TOGETHER = 2_000  # detections of a component that one task walks through in a round
+_SIDE_BY_SIDE = 512  # components whose unions a task makes together
 _ROW = "id long, seq {seq}, tile_id long, zone_id string, image_date_previous date, rings array<array<struct<x:double,y:double>>>"
 _OUTCOME = "kind string, id long, other long, zone_id string, image_date_previous date, image_date_current date, flat array<array<double>>"
 
@@ -130,15 +131,37 @@ def _walked(due: DataFrame, new: DataFrame, near: DataFrame, known: DataFrame, l
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for group in zip(frame["entries"], frame["rows"], frame["links"]):
-                found = list(_walk(*[() if x is None else x for x in group], multipart, dates))
+            for start in range(0, len(frame), _SIDE_BY_SIDE):
+                groups = [[() if x is None else x for x in group] for group in frame.iloc[start: start + _SIDE_BY_SIDE].itertuples(index=False)]
+                found = _side_by_side([_walk(*group, multipart, dates) for group in groups])
                 yield pd.DataFrame(found, columns=["kind", "id", "other", "zone_id", "image_date_previous", "image_date_current", "flat"])
 
     return groups.mapInPandas(run, _OUTCOME)
 
 
-def _walk(entries, rows, pairs, multipart: str, dates: str) -> Iterator[tuple]:
-    """Outcomes of one component: entries and rows in order, ``pairs`` (p, q) of later ones near earlier ones."""
+def _side_by_side(walks: list[Generator]) -> list[tuple]:
+    """Outcomes of independent walks; the unions that they wait for are made together, one of each walk at a time."""
+    outcomes, waiting = [], [(walk, None) for walk in walks]
+    while waiting:
+        asked = []
+        for walk, answer in waiting:
+            try:
+                found = walk.send(answer)
+                while len(found) > 2:
+                    outcomes.append(found)
+                    found = next(walk)
+                asked.append((walk, found))
+            except StopIteration:
+                pass
+        waiting = list(zip([walk for walk, _ in asked], combine_many([shapes for _, shapes in asked], "union")))
+    return outcomes
+
+
+def _walk(entries, rows, pairs, multipart: str, dates: str) -> Generator:
+    """Outcomes of one component: entries and rows in order, ``pairs`` (p, q) of later ones near earlier ones.
+
+    Two shapes, where they come in place of an outcome, ask for their union.
+    """
     meets, followers = defaultdict(set), defaultdict(set)
     for pair in pairs:
         meets[pair["p"]].add(pair["q"])
@@ -155,8 +178,9 @@ def _walk(entries, rows, pairs, multipart: str, dates: str) -> Iterator[tuple]:
             united = [own]
             for q in hits:
                 if q not in covered:  # what another row has united adds nothing
-                    united = [[ring.ravel().tolist() for polygon in combine(united[0], made[q][2], "union") for ring in polygon]]
-            whole = combine(united[0], united[0], "union")
+                    joined = yield united[0], made[q][2]
+                    united = [[ring.ravel().tolist() for polygon in joined for ring in polygon]]
+            whole = yield united[0], united[0]
             if len(whole) != 1 and multipart == "drop":
                 for p in followers[key]:
                     meets[p].discard(key)

@@ -129,3 +129,15 @@ def test_store_reads_its_own_tiles(spark, tmp_path):
     filters = plan.split("PartitionFilters: [")[1].split("]")[0]
     assert "tile_id" in filters and "= 1" in filters
     assert store.rows(df.limit(0)).count() == 0
+
+
+def test_walks_ask_for_their_unions_together(monkeypatch):
+    asked = []
+    real = shape_merge.combine_many
+    monkeypatch.setattr(shape_merge, "combine_many", lambda pairs, kind: asked.append(len(pairs)) or real(pairs, kind))
+    square = lambda x: [[x, 0.0, x + 2, 0.0, x + 2, 2.0, x, 2.0, x, 0.0]]
+    entry = lambda k, x: {"id": k, "image_date_0": 0, "image_date_1": 1, "zone_id": str(k), "flat": square(x)}
+    walks = [shape_merge._walk([entry(0, 0.0), entry(1, 1.0)], [], [{"p": 1, "q": 0}], "drop", "reference") for _ in range(20)]
+    found = shape_merge._side_by_side(walks)
+    assert asked == [20, 20, 0] and [r[0] for r in found].count("stored") == 40
+    assert all(len(r[6]) == 1 for r in found if r[1] == 1)
