@@ -17,11 +17,14 @@ Boxes are columns ``x0, y0, x1, y1``. Joins return the pair as structs ``a`` and
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from arborscan.session import cut_lineage
+from arborscan.session import cut_lineage, wider_shuffles
+
+SHARE = 200_000  # rows of a large join per shuffle partition at most, so that a task's sorts do not grow with the tables
 
 
 def _extent(pad: Column | float) -> Column:
@@ -148,6 +151,8 @@ def knn_mask_flag(polygons: DataFrame, masks: DataFrame, keys: list[str], id: st
         dx, dy = a["x0"] + a["x1"] - b["x0"] - b["x1"], a["y0"] + a["y1"] - b["y0"] - b["y1"]
         return dx * dx + dy * dy
 
+    spark = polygons.sparkSession
+    rows = polygons.count() + masks.count()
     hits = intersecting(polygons, masks, keys, cell, exact)
     nearest = (hits.select(*[F.col(f"a.{c}").alias(c) for c in [*keys, id, "x0", "y0", "x1", "y1"]],
                            F.struct(centre_gap_sq(F.col("a"), F.col("b")).alias("d"), F.col(f"b.{mask_id}").alias("m")).alias("_hit"))
@@ -155,7 +160,8 @@ def knn_mask_flag(polygons: DataFrame, masks: DataFrame, keys: list[str], id: st
     if k is None:
         flagged = nearest.select(id, F.lit(1).alias("flag"))
     else:
-        nearest = cut_lineage(nearest)
+        with wider_shuffles(spark, math.ceil(rows / SHARE)):
+            nearest = cut_lineage(nearest)
         probe = _centre(nearest)
         nearer = box_join(probe, _centre(masks.select(*keys, mask_id, "x0", "y0", "x1", "y1")), keys, cell * 2,
                           pad=F.sqrt(F.col("_hit.d").cast("double")),
@@ -168,50 +174,75 @@ def knn_mask_flag(polygons: DataFrame, masks: DataFrame, keys: list[str], id: st
 
 
 def k_nearest(points: DataFrame, targets: DataFrame, keys: list[str], id: str, target_id: str, k: int,
-              cell: float) -> DataFrame:
+              cell: float, together: int = 512) -> DataFrame:
     """The ``k`` targets with nearest centre per point, rank 1..k (ties by target id).
 
-    Target counts per cell and size class are pre-aggregated. For every occupied point
-    cell the finest class whose 3x3 block holds k targets is looked up; the k nearest then
-    lie no farther than the block's farthest corner, at most three cells away. If no block
-    holds k, the coarsest class spans everything and all targets qualify.
+    Targets are counted per cell of a quadtree over all centres. A home is a cell of fewer than k targets
+    in one that holds k, or a finest cell: for its points the k nearest are no farther than that
+    parent's diagonal, so the targets this close to the home go there as arrays of about ``together``, and
+    each point sorts its home's array in place. Copies are made per home, not per point, and the k nearest of a point
+    need no further shuffle unless its home has several arrays or its id several rows.
     """
-    p, t = _centre(points.select(*keys, id, "x0", "y0", "x1", "y1")), _centre(targets.select(*keys, target_id, "x0", "y0", "x1", "y1"))
+    p, t = (_centre(side.select(*keys, name, "x0", "y0", "x1", "y1")).select(*keys, name, "x0", "y0") for side, name in ((points, id), (targets, target_id)))
     cell = 2.0 * cell
-    reach = p.select("x0", "y0").unionByName(t.select("x0", "y0")).agg(
-        F.greatest(F.max(F.abs("x0")), F.max(F.abs("y0"))).alias("m"))
-    top = reach.select(F.ceil(F.log2(F.greatest(F.col("m") / cell, F.lit(1.0)))).cast("int") + 1).scalar()
-
-    def at(df: DataFrame) -> DataFrame:
-        size = F.lit(cell) * F.pow(F.lit(2.0), F.col("_class"))
-        return df.withColumns({"_cx": F.floor(F.col("x0") / size), "_cy": F.floor(F.col("y0") / size)})
-
-    def classes(df: DataFrame) -> DataFrame:
-        return at(df.withColumn("_class", F.explode(F.sequence(F.lit(0), top))))
-
-    cells = [*keys, "_class", "_cx", "_cy"]
-    counts = classes(t).groupBy(*cells).agg(F.count("*").alias("_n"))
-    homes = (p.select(*keys, F.floor(F.col("x0") / cell).alias("_hx"), F.floor(F.col("y0") / cell).alias("_hy")).distinct())
-    around = homes.withColumn("_class", F.explode(F.sequence(F.lit(0), top)))
-    ratio = F.pow(F.lit(2.0), F.col("_class"))
-    around = (around.withColumn("_cx", F.explode(F.expr("sequence(-1, 1)"))).withColumn("_cy", F.explode(F.expr("sequence(-1, 1)")))
-              .withColumns({"_cx": F.floor(F.col("_hx") / ratio) + F.col("_cx"), "_cy": F.floor(F.col("_hy") / ratio) + F.col("_cy")}))
-    enough = (around.join(counts, cells).groupBy(*keys, "_hx", "_hy", "_class").agg(F.sum("_n").alias("_n"))
-              .groupBy(*keys, "_hx", "_hy")
-              .agg(F.coalesce(F.min(F.when(F.col("_n") >= k, F.col("_class"))), F.max("_class")).alias("_class")))
-    seeded = (p.withColumns({"_hx": F.floor(F.col("x0") / cell), "_hy": F.floor(F.col("y0") / cell)})
-              .join(enough, [*keys, "_hx", "_hy"]))
-    size = F.lit(cell) * F.pow(F.lit(2.0), F.col("_class"))
-    far = lambda c, x: F.greatest(F.col(x) - (F.col(c) - 1) * size, (F.col(c) + 2) * size - F.col(x))
-    reach_sq = F.col("_reach")
-    beside = lambda c, x: F.greatest(F.col(c) * size - F.col(x), F.col(x) - (F.col(c) + 1) * size, F.lit(0.0))
-    spread = (at(seeded).withColumn("_reach", far("_cx", "x0") * far("_cx", "x0") + far("_cy", "y0") * far("_cy", "y0"))
-              .withColumn("_dx", F.explode(F.expr("sequence(-3, 3)"))).withColumn("_dy", F.explode(F.expr("sequence(-3, 3)")))
-              .withColumns({"_cx": F.col("_cx") + F.col("_dx"), "_cy": F.col("_cy") + F.col("_dy")})
-              .where(beside("_cx", "x0") * beside("_cx", "x0") + beside("_cy", "y0") * beside("_cy", "y0") <= reach_sq)
-              .select(*cells, id, "_reach", F.col("x0").alias("_px"), F.col("y0").alias("_py")))
-    met = spread.join(classes(t), cells)
-    gap = (F.col("x0") - F.col("_px")) * (F.col("x0") - F.col("_px")) + (F.col("y0") - F.col("_py")) * (F.col("y0") - F.col("_py"))
+    ends = p.select("x0", "y0").unionByName(t.select("x0", "y0")).agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("x0", "y0")]).first()
+    low = {c: ends[f"min_{c}"] for c in ("x0", "y0")}
+    if None in low.values():
+        low = {c: 0 for c in low}
+    wide = max((ends[f"max_{c}"] or 0) - low[c] for c in low)
+    top = max(0, math.ceil(math.log2(wide / cell + 1)))
+    size = lambda c: F.lit(cell) * F.pow(F.lit(2.0), c)
+
+    def at(df: DataFrame, classes: Column) -> DataFrame:
+        spread = df.withColumn("_class", F.explode(classes))
+        return spread.withColumns({n: F.floor((F.col(c) - F.lit(low[c])) / size(F.col("_class"))) for n, c in (("_cx", "x0"), ("_cy", "y0"))})
+
+    place = [*keys, "_class", "_cx", "_cy"]
+    finest = lambda df: at(df, F.array(F.lit(0))).groupBy(*place).agg(F.count("*").cast("long").alias("_n"))
+    spots = finest(p).withColumns({"_m": F.lit(1), "_n": F.lit(0).cast("long")}).unionByName(finest(t).withColumn("_m", F.lit(0)))
+    up = lambda c: F.expr(f"shiftright({c}, _class)")
+    counts = cut_lineage(spots.withColumn("_class", F.explode(F.sequence(F.lit(0), F.lit(top + 1)))).withColumns({"_cx": up("_cx"), "_cy": up("_cy")})
+                         .groupBy(*place).agg(F.sum("_n").alias("_n"), F.max("_m").alias("_m")))
+    rich = counts.where((F.col("_n") >= k) & (F.col("_class") <= top)).select(*place)
+    # cells with points and fewer than k targets in a cell that holds k
+    some = counts.where("_m = 1").select(*keys, F.col("_class").alias("_c"), F.col("_cx").alias("_x"), F.col("_cy").alias("_y"), "_n")
+    poor = some.where(F.col("_n") < k).withColumns({"_class": F.col("_c") + 1, "_cx": F.shiftright("_x", 1), "_cy": F.shiftright("_y", 1)})
+    homes = poor.join(rich, place, "left_semi").withColumn("_of", F.col("_c") + 1)
+    whole = some.where((F.col("_c") == 0) & (F.col("_n") >= k) | (F.col("_c") == top) & (F.col("_n") < k)).withColumn("_of", F.col("_c"))
+    named_home = [*keys, F.col("_c").alias("_class"), F.col("_x").alias("_cx"), F.col("_y").alias("_cy"), "_of"]
+    homes = cut_lineage(homes.select(*named_home).unionByName(whole.select(*named_home)))
+    counts = counts.where("_n > 0").drop("_m")
+
+    # the box around a home that its targets lie in, in cells one class above its parent
+    reach = size(F.col("_of")) * math.sqrt(2.0) * (1 + 1e-9)
+    edge = {f"_{n}{i}": F.lit(low[c]) + (F.col(f"_c{n}") + i) * size(F.col("_class")) for n, c in (("x", "x0"), ("y", "y0")) for i in (0, 1)}
+    boxed = homes.withColumns({**edge, "_reach": reach, "_up": F.col("_of") + 1})
+    around = lambda n, c: F.explode(F.sequence(F.floor((F.col(f"_{n}0") - F.col("_reach") - F.lit(low[c])) / size(F.col("_up"))),
+                                               F.floor((F.col(f"_{n}1") + F.col("_reach") - F.lit(low[c])) / size(F.col("_up")))))
+    boxed = boxed.withColumn("_bx", around("x", "x0")).withColumn("_by", around("y", "y0"))
+    coarse = [*keys, "_up", "_bx", "_by"]
+    named = lambda df: df.withColumnsRenamed({"_class": "_up", "_cx": "_bx", "_cy": "_by"})
+    parts = F.ceil(F.sum("_n").over(Window.partitionBy(*place)) / together)
+    held = cut_lineage(boxed.join(named(counts), coarse).withColumn("_parts", parts).drop("_n"))
+    classes = sorted(r[0] for r in held.select("_up").distinct().collect())
+    met = held.join(named(at(t, _numbers(classes))), coarse)
+    beside = lambda n, c: F.greatest(F.col(f"_{n}0") - F.col(c), F.col(c) - F.col(f"_{n}1"), F.lit(0.0))
+    met = met.where(beside("x", "x0") * beside("x", "x0") + beside("y", "y0") * beside("y", "y0") <= F.col("_reach") * F.col("_reach"))
+    lists = (met.select(*place, "_parts", F.pmod(F.xxhash64(target_id), "_parts").alias("_part"), target_id, "x0", "y0")
+             .groupBy(*place, "_parts", "_part").agg(F.collect_list(F.struct(target_id, "x0", "y0")).alias("_t")))
+
+    own = sorted(r[0] for r in homes.select("_class").distinct().collect())
+    single = p.withColumn("_same", F.count("*").over(Window.partitionBy(id)))
+    there = at(single, _numbers(own)).withColumnsRenamed({"x0": "_px", "y0": "_py"}).join(lists, place)
+    gap = lambda c: (c["x0"] - F.col("_px")) * (c["x0"] - F.col("_px")) + (c["y0"] - F.col("_py")) * (c["y0"] - F.col("_py"))
+    nearest = F.slice(F.sort_array(F.transform("_t", lambda c: F.struct(gap(c).alias("dist4"), c[target_id].alias("m")))), 1, k)
+    alone = (F.col("_same") == 1) & (F.col("_parts") == 1)
+    ranked = there.where(alone).select(id, F.posexplode(nearest).alias("_r", "_c")).select(
+        id, F.col("_c.m").alias(target_id), "_c.dist4", (F.col("_r") + 1).alias("rank"))
     order = Window.partitionBy(id).orderBy("dist4", target_id)
-    return (met.where(gap <= reach_sq).select(id, target_id, gap.alias("dist4")).withColumn("rank", F.row_number().over(order))
-            .where(F.col("rank") <= k))
+    merged = there.where(~alone).select(id, F.explode(nearest).alias("_c")).select(id, F.col("_c.m").alias(target_id), "_c.dist4")
+    return ranked.unionByName(merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+
+
+def _numbers(values: list[int]) -> Column:
+    return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<int>")

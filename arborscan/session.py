@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,3 +66,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+@contextmanager
+def wider_shuffles(spark: SparkSession, partitions: int) -> Iterator[None]:
+    """At least ``partitions`` shuffle partitions for what is materialised inside; adaptive execution still merges small ones and splits skewed ones."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    initial = spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
+    spark.conf.set("spark.sql.shuffle.partitions", str(max(partitions, int(before))))
+    if initial is not None:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(max(partitions, int(initial))))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        if initial is not None:
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", initial)

@@ -173,3 +173,34 @@ def test_a_large_shape_is_cut_into_runs(spark):
     df = spark.createDataFrame([(1, [[{"x": x, "y": y} for x, y in r] for r in shape])], "id long, s array<array<struct<x:double,y:double>>>")
     runs = cells.runs(df, [], "id", "s")
     assert runs.count() == 40 * -(-100_000 // cells.TILE) and runs.agg({"c1": "max"}).first()[0] == 100_000
+
+
+def test_nearest_by_homes_against_all_pairs(spark):
+    import random
+
+    from arborscan.operators import spatial
+    draw = random.Random(3)
+    spot = lambda: (draw.randrange(-3000, 3000), draw.randrange(-3000, 3000)) if draw.random() < 0.4 else (draw.randrange(40), draw.randrange(40))
+    boxes = lambda n, ids: [(draw.choice(["a", "b", "c"]), ids(i), *(p := spot()), p[0] + 2, p[1] + 4) for i in range(n)]
+    points, targets = boxes(120, lambda i: draw.choice([i, i, 5, None])), boxes(300, lambda i: i // 2)
+    targets = [t for t in targets if t[0] != "c"] + [("c", 1000, 0, 0, 2, 4)]
+    want = []
+    for id in {p[1] for p in points}:
+        met = sorted(((p[2] + p[4] - t[2] - t[4]) ** 2 + (p[3] + p[5] - t[3] - t[5]) ** 2, t[1]) for p in points if p[1] == id for t in targets if t[0] == p[0])
+        want += [(id, m, d, r) for r, (d, m) in enumerate(met[:4], 1)]
+    p, t = (spark.createDataFrame(x, f"key string, {name} long, x0 long, y0 long, x1 long, y1 long") for x, name in ((points, "id"), (targets, "target")))
+    order = lambda r: (r[0] is None, r[0] or 0, r[3])
+    for together in (512, 16):  # homes with one array and with several
+        got = spatial.k_nearest(p, t, ["key"], "id", "target", 4, 8, together=together).collect()
+        assert sorted(map(tuple, got), key=order) == sorted(want, key=order)
+    assert spatial.k_nearest(p, t.limit(0), ["key"], "id", "target", 4, 8).count() == 0
+
+
+def test_dilation_over_block_borders_shuffles_blocks(spark):
+    from arborscan.operators import cells
+    given = {("a", 0, 0), ("a", 7, 7), ("a", -1, 20), ("b", -9, -8), (None, 3, 3)}
+    df = cells.dilate(spark.createDataFrame(sorted(given, key=str) * 2, "region string, cx long, cy long"), "region", 9)
+    want = {(r, x + i, y + j) for r, x, y in given for i in range(-9, 10) for j in range(-9, 10)}
+    got = [tuple(r) for r in df.collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert "bit_or" in df._jdf.queryExecution().toString()
