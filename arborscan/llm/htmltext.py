@@ -1,9 +1,11 @@
 """Main text of web pages by wrappers that are learned per host.
 
 A wrapper is a union-free regular expression over structural tokens: fixed tags, fixed texts, text
-slots, optional and repeated groups. It grows by aligning the token streams of some pages of a
-host, one after another; a text that all of them have at the same kind of place is part of the
-template. Where a page fits its host's wrapper, what stands in slots is the page's own, and
+slots, optional and repeated groups. All pages of a host teach it: a text that (nearly) all of them
+have at the same kind of place is part of the template; a page's tokens with repeats folded are its
+shape, and the unlike shapes of a kind of pages are aligned, first in parts, then the parts with each
+other. Pages are of one kind if minimum hashes of their nested tags agree.
+Where a page fits its host's wrapper, what stands in slots is the page's own, and
 template texts outside a marked article are left out. A page that does not fit (cut or unlike
 pages, hosts of few pages) is read by its own tags alone. All walks keep their own stacks, so
 pages may nest as deep as they like.
@@ -16,8 +18,9 @@ import hashlib
 import html
 import json
 import re
+import zlib
 from collections import Counter
-from collections.abc import Generator, Iterator
+from collections.abc import Generator, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -28,8 +31,10 @@ from pyspark.sql import DataFrame, functions as F
 from arborscan.llm.common import stored
 from arborscan.llm.urlfilter import host
 
-SAMPLES = 8  # pages that teach a host's wrapper
 ENOUGH = 4  # unlike pages that have to share a text before it is template
+TENTHS = 9  # of a host's unlike pages have to share it
+PARTS = 64  # parts in which a kind's shapes are aligned first
+_RECENT, _SHORT = 1000, 2000  # shapes a task remembers, and the longest key streams among them
 
 # fixed values: elements by their role in a page
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -49,6 +54,8 @@ _DIGITS = re.compile(r"[0-9]+")
 #: A class that begins so tells about something else on the page, as in ``has-sidebar``.
 ABOUT = frozenset("has no with without is not".split())
 TEXT = "#"
+#: Four hash functions; pages whose nested tags are shared in a share s are of one kind with probability s ** 4.
+_HASHES = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F], np.uint64)
 
 
 def tokens(page: str) -> list[tuple[str, str]]:
@@ -228,6 +235,26 @@ def text_keys(stream: list[tuple[str, str]]) -> list[str]:
     return out
 
 
+@lru_cache(maxsize=65536)
+def _nesting(outer: str, key: str) -> int:
+    return zlib.crc32(f"{outer}\n{key}".encode("utf-8", "surrogatepass"))
+
+
+def kind(stream: list[tuple[str, str]]) -> int:
+    """A number that pages of like elements share: four minimum hashes of the set of elements with what is around them."""
+    nested, open_ = set(), [""]
+    for key, _ in stream:
+        if key.startswith("/"):
+            open_.pop()
+        elif key != TEXT:
+            nested.add(_nesting(open_[-1], key))
+            open_.append(key)
+    if not nested:
+        return 0
+    least = (np.array(list(nested), np.uint64)[:, None] * _HASHES % (1 << 32)).min(0)
+    return int.from_bytes(hashlib.blake2b(least.astype("<u8").tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
 def _with_slots(keys: list[str], fixed: set[str] | frozenset[str]) -> list[str]:
     return [TEXT if key.startswith(TEXT) and key not in fixed else key for key in keys]
 
@@ -276,7 +303,10 @@ def _merged(a: list, b: list, again: bool) -> Generator:
             body.append((yield _merged(x, y, False)))
     else:
         body = yield _aligned(a[1], b[1])
-    return [a[0], body, a[2] and b[2] if again else a[2] or b[2], again or a[3] or b[3], a[4] if a[4] == b[4] else a[0]]
+    sign = a[4] if a[4] == b[4] else a[0]
+    if a[0] == TEXT and TEXT in (a[4], b[4]):  # a page that has its own text there: still the template's place on the others
+        sign = b[4] if a[4] == TEXT else a[4]
+    return [a[0], body, a[2] and b[2] if again else a[2] or b[2], again or a[3] or b[3], sign]
 
 
 def _folded(items: list) -> Generator:
@@ -446,13 +476,30 @@ class Wrapper:
         return (own[0], own[-1] + 1) if own else (0, 0)
 
 
+def shape(keys: list[str], fixed: set[str] | frozenset[str] = frozenset()) -> str:
+    """A page's own wrapper as JSON: its keys with texts that are not ``fixed`` as slots, repeats folded."""
+    return json.dumps(_flat(parsed(_with_slots(keys, fixed))))
+
+
+def aligned(shapes: Iterable[str]) -> str:
+    """One shape for several, aligned one after another; pages without tokens have no say."""
+    wrapper: list = []
+    for written in shapes:
+        items = _nested(json.loads(written))
+        if items:
+            wrapper = _run(_aligned(wrapper, items)) if wrapper else items
+    return json.dumps(_flat(wrapper))
+
+
 def learned(pages: list[str]) -> Wrapper:
-    """The wrapper of some pages of a host. Pages with the same texts teach once; fewer than ``ENOUGH`` unlike ones have no template texts."""
-    streams = [keys for keys in (text_keys(tokens(page)) for page in pages) if keys]
-    unlike = {tuple(key for key in keys if key.startswith(TEXT)): keys for keys in reversed(streams)}
-    texts = [set(held) for held in unlike if held]
-    fixed = set.intersection(*texts) if len(texts) >= ENOUGH else set()
-    return Wrapper(infer([_with_slots(keys, fixed) for keys in reversed(unlike.values())]), fixed)
+    """The wrapper of a few pages of a host, as ``learn`` makes it. Pages with the same texts count once; fewer than ``ENOUGH`` unlike ones have no template texts."""
+    streams = [text_keys(tokens(page)) for page in pages]
+    unlike = {tuple(key for key in keys if key.startswith(TEXT)) for keys in streams} - {()}
+    held = Counter(key for texts in unlike for key in set(texts))
+    fixed = {key for key, n in held.items() if len(unlike) >= ENOUGH and 10 * n >= TENTHS * len(unlike)}
+    shapes = Counter(shape(keys, fixed) for keys in streams)
+    items = aligned(sorted(shapes, key=lambda x: (-shapes[x], x)))
+    return Wrapper(_nested(json.loads(items)), fixed)
 
 
 def extracted(page: str | None, wrapper: Wrapper | None) -> tuple[str, bool]:
@@ -466,35 +513,97 @@ def extracted(page: str | None, wrapper: Wrapper | None) -> tuple[str, bool]:
     return main_text(stream), False
 
 
+def _template_texts(pages: DataFrame) -> DataFrame:
+    """(host, fixed): keys of the texts that nine of ten unlike pages of a host have. Pages with the same texts count once."""
+
+    def read(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            hosts, signs, texts = [], [], []
+            for name, page in zip(batch.column(0).to_pylist(), batch.column(1)):
+                held = [key[1:] for key in text_keys(tokens(page.as_py())) if key.startswith(TEXT)]
+                if held:
+                    hosts.append(name)
+                    signs.append(int(_digest("".join(held)), 16))
+                    texts.append(np.array([int(x, 16) for x in sorted(set(held))], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(hosts, pa.string()), pa.array(np.array(signs, np.uint64).view(np.int64)), pa.array(texts, pa.list_(pa.int64()))],
+                ["host", "sign", "texts"])
+
+    found = pages.where("html IS NOT NULL").mapInArrow(read, "host string, sign long, texts array<long>")
+    unlike = stored(found.groupBy("host", "sign").agg(F.min("texts").alias("texts")), "page-texts")
+    many = unlike.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= ENOUGH)
+    held = unlike.select("host", F.explode("texts").alias("text")).groupBy("host", "text").agg(F.count("*").alias("n")).where(F.col("n") >= ENOUGH)
+    shared = held.join(many, "host").where(F.col("n") * 10 >= F.col("pages") * TENTHS)
+    key = F.concat(F.lit(TEXT), F.lpad(F.lower(F.hex("text")), 16, "0"))
+    return stored(shared.groupBy("host").agg(F.array_sort(F.collect_list(key)).alias("fixed")), "template-texts")
+
+
+def _shapes(pages: DataFrame) -> DataFrame:
+    """(host, kind, shape, n): the unlike shapes of a kind of (host, html, fixed) and their pages; null pages have the empty shape."""
+
+    def read(batches: Iterator[pa.RecordBatch]):
+        recent: dict[tuple, str] = {}
+        for batch in batches:
+            seen: Counter[tuple[str, int, str]] = Counter()
+            for name, page, fixed in zip(*(batch.column(i) for i in range(3))):
+                page_tokens = tokens(page.as_py() or "")
+                keys = _with_slots(text_keys(page_tokens), frozenset(fixed.as_py() or ()))
+                stream = tuple(keys)
+                found = recent.get(stream)
+                if found is None:
+                    found = shape(keys, {key for key in keys if key != TEXT})
+                    if len(recent) > _RECENT:
+                        recent.clear()
+                    if len(keys) <= _SHORT:
+                        recent[stream] = found
+                seen[name.as_py(), kind(page_tokens), found] += 1
+            hosts, kinds, shapes = zip(*seen) if seen else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(hosts, pa.string()), pa.array(kinds, pa.int64()), pa.array(shapes, pa.string()), pa.array(list(seen.values()), pa.int64())],
+                ["host", "kind", "shape", "n"])
+
+    return pages.mapInArrow(read, "host string, kind long, shape string, n long").groupBy("host", "kind", "shape").agg(F.sum("n").alias("n"))
+
+
 def learn(pages: DataFrame) -> DataFrame:
-    """(host, wrapper): JSON wrappers from at most ``SAMPLES`` pages of each host.
+    """(host, kind, wrapper): JSON wrappers from all pages of each host, one per kind of its pages.
 
-    The pages are picked by a hash of their id, one per residue class, from ids and urls alone, so
-    that a host of any size costs a partial aggregate; their html follows in a second step.
+    Equal shapes teach once, however many pages have them. A kind's unlike shapes are aligned in
+    ``PARTS`` parts, dealt by a hash, and then the parts with each other, frequent ones first; what
+    comes out depends on the pages alone, not on their order. Pages that share few elements are of
+    different kinds, so that a host of unlike pages (malformed urls have one) has many small wrappers.
     """
-    keyed = pages.select("page_id", host(F.col("url")).alias("host"))
-    ticket = F.xxhash64("page_id", "host")
-    picked = (keyed.groupBy("host", F.pmod(ticket, F.lit(SAMPLES)).alias("class")).agg(F.min(F.struct(ticket.alias("t"), "page_id")).alias("p"))
-              .select(F.col("p.page_id").alias("page_id"), "host"))
-    samples = pages.select("page_id", host(F.col("url")).alias("host"), "html").join(picked, ["page_id", "host"], "left_semi")
-    # a page_id that many rows share is one page before the pages of a host meet
-    samples = samples.groupBy("host", "page_id").agg(F.min("html").alias("html"))
+    keyed = pages.select(host(F.col("url")).alias("host"), "html")
+    fixed = _template_texts(keyed)
+    shapes = _shapes(keyed.join(fixed, "host", "left").select("host", "html", "fixed"))
 
-    def one(sample: pd.DataFrame) -> pd.DataFrame:
-        pages = sample.dropna(subset=["html"]).sort_values("page_id")["html"]
-        return pd.DataFrame({"host": [sample["host"].iloc[0]], "wrapper": [learned(list(pages)).to_json()]})
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["n", "shape"], ascending=[False, True])
+        return pd.DataFrame({"host": [part["host"].iloc[0]], "kind": [part["kind"].iloc[0]], "shape": [aligned(part["shape"])], "n": [part["n"].sum()]})
 
-    return stored(samples.groupBy("host").applyInPandas(one, "host string, wrapper string"), "wrappers")
+    for parts in (PARTS, 1):
+        shapes = shapes.groupBy("host", "kind", F.pmod(F.xxhash64("shape"), F.lit(parts))).applyInPandas(one, "host string, kind long, shape string, n long")
+    texts = F.to_json(F.coalesce("fixed", F.array().cast("array<string>")))
+    return stored(shapes.join(fixed, "host", "left").select("host", "kind", F.concat(F.lit("["), "shape", F.lit(", "), texts, F.lit("]")).alias("wrapper")), "wrappers")
 
 
 def extract(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars, fits) for every row of ``pages`` (page_id, url, html; more columns are left out).
 
+    ``wrappers`` (host, kind, wrapper) come from ``learn``, of these pages or others of their hosts.
     ``text`` is empty for null, empty and textless pages; of several articles all are kept, in page
     order; ``n_chars`` counts code points; ``fits`` tells whether the page matched its host's wrapper. Malformed and null urls share the
     empty host. Repeated pages come out repeated; nothing is cut.
     """
-    joined = pages.select("page_id", "url", "html", host(F.col("url")).alias("host")).join(wrappers, "host", "left")
+
+    def tell(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            kinds = [kind(tokens(page.as_py() or "")) for page in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kinds, pa.int64())], [*batch.schema.names, "kind"])
+
+    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host(F.col("url")).alias("host"))
+    told = keyed.mapInArrow(tell, "page_id long, url string, html string, host string, kind long")
+    joined = told.join(wrappers, ["host", "kind"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]):
         known: dict[str, Wrapper | None] = {}
@@ -513,5 +622,5 @@ def extract(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(fits, pa.bool_())],
                 ["page_id", "url", "text", "n_chars", "fits"])
 
-    return joined.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "wrapper").mapInArrow(
+    return joined.select("page_id", "url", "html", "wrapper").mapInArrow(
         run, "page_id long, url string, text string, n_chars long, fits boolean")

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from arborscan.llm import htmltext
 
@@ -88,3 +89,39 @@ def test_a_page_id_that_many_rows_share(spark):
     assert sorted(r.text for r in got if r.page_id == 1) == sorted(f"own {i}" for i in range(60))
     assert {r.text for r in got if r.page_id and r.page_id > 1} == {f"own {i}" for i in range(2, 40)}
     assert [r.text for r in got if r.page_id is None] == ["null", "null"]
+
+
+def test_all_pages_of_a_host_teach(spark):
+    def html(i):
+        # every 40th page has a box of its own kind, every 30th another text in the footer's place
+        box = f"<section><h4>box {i}</h4></section>" if i % 40 == 7 else ""
+        foot = f"Other {i}" if i % 30 == 11 else "All rights"
+        return f"<body><p>Fixed</p><h2>own {i}</h2>{box}<div><b>{'Story ' * (1 + i % 3)}{i}</b></div><address>{foot}</address></body>"
+
+    def text(i):
+        return f"own {i} " + (f"box {i} " if i % 40 == 7 else "") + "Story " * (1 + i % 3) + str(i) + (f" Other {i}" if i % 30 == 11 else "")
+
+    rows = [(i, "http://h.example/x", html(i)) for i in range(400)] + [(400 + i, "http://few.example/x", html(i)) for i in range(3)]
+    df = spark.createDataFrame(rows + [(500, "http://null.example/", None)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in htmltext.extract(df.repartition(7), htmltext.learn(df.repartition(7))).collect()}
+    assert all(got[i].fits and got[i].text == text(i) for i in range(400))
+    assert all(got[400 + i].text.startswith("Fixed own") for i in range(3)) and got[500].text == ""
+    # wrappers depend on the pages alone
+    first, second = (sorted(map(tuple, htmltext.learn(part).collect())) for part in (df.coalesce(1), df.orderBy(F.desc("page_id")).repartition(5)))
+    assert first == second
+
+
+def test_shapes_align_in_any_number():
+    pages = [f"<body><h1>{i}</h1>{'<p>a</p>' * (i % 4)}{'<ul><li>x %d</li></ul>' % i if i % 5 == 0 else ''}{'<pre>c</pre>' if i % 7 == 3 else ''}<h3>{i}</h3></body>" for i in range(80)]
+    wrapper = htmltext.learned(pages)
+    assert all(htmltext.extracted(page, wrapper)[1] for page in pages)
+    assert htmltext.extracted("<body><h1>1</h1><table><tr><td>2</td></tr></table></body>", wrapper)[1] is False
+
+
+def test_kinds_of_pages():
+    def told(page):
+        return htmltext.kind(htmltext.tokens(page))
+
+    assert told("<body><p>a</p><p>b</p></body>") == told("<body><p>c</p></body>") and told("") == told("text alone") == 0
+    unlike = [f"<body><{t} class=x{chr(97 + i % 26)}{t}><p>a</p></{t}></body>" for i, t in enumerate(["div", "section", "ul", "pre", "table"] * 10)]
+    assert len({told(page) for page in unlike}) > 20
