@@ -20,7 +20,7 @@ _LETTER[65:91] = _LETTER[97:123] = True
 _MARK[33:127] = ~_LETTER[33:127]
 _MARK[48:58] = _MARK[ord("'")] = False
 
-_REMEMBERED, _LONG, _ROW, _CHARACTERS = 400_000, 64, 256, 1 << 23
+_REMEMBERED, _LONG, _ROW, _CHARACTERS = 100_000, 64, 256, 1 << 21
 _ENCODERS: dict[int, Encoder] = {}
 
 

@@ -342,3 +342,20 @@ def test_weights_reach_an_entropy(spark):
 def test_registered_queries_of_this_subpackage():
     names = {n.split("_")[0] for n in contract.queries() if n.startswith("op")}
     assert {f"op{i}" for i in range(1, 11)} <= names and "pipeline" in contract.queries()
+
+
+def test_memory_of_an_encoder_is_small(monkeypatch):
+    own = tokens.Encoder(tokens.definition(tokens.public()))
+    for step in range(5):
+        own._ids([f"x{n}" for n in range(60_000 * step, 60_000 * (step + 1))])
+    assert len(own.known) + len(own.older) <= 250_000
+    sizes = []
+
+    class Sized:
+        def encode(self, data, bounds):
+            sizes.append(len(data))
+            return [b""] * (len(bounds) - 1)
+
+    monkeypatch.setattr(tokens, "encoder", lambda definition: Sized())
+    assert len(list(tokens.encoded(pa.array(["word " * 20_000] * 100), ""))) == 100
+    assert sum(sizes) == 10_000_000 and max(sizes) <= 1 << 22
